@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellumix.llm import line_quality
+from vellumix.llm.line_quality import op4_line_quality
 from vellumix.llm.ogg import op1_ogg
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ogg": op1_ogg}
+    return {"op1_ogg": op1_ogg, "op4_line_quality": op4_line_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_quality": line_quality.ORACLE_SQL}
