@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumix.llm import line_quality
+from vellumix.llm import licenses, line_quality
+from vellumix.llm.licenses import op8_licenses
 from vellumix.llm.line_quality import op4_line_quality
 from vellumix.llm.ogg import op1_ogg
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ogg": op1_ogg, "op4_line_quality": op4_line_quality}
+    return {"op1_ogg": op1_ogg, "op4_line_quality": op4_line_quality, "op8_licenses": op8_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_quality": line_quality.ORACLE_SQL}
+    return {"op4_line_quality": line_quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL}
