@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumix.llm import licenses, line_quality
+from vellumix.llm.bloom_lm import op10_bloom_lm
 from vellumix.llm.licenses import op8_licenses
 from vellumix.llm.line_quality import op4_line_quality
 from vellumix.llm.ogg import op1_ogg
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ogg": op1_ogg, "op4_line_quality": op4_line_quality, "op8_licenses": op8_licenses}
+    return {"op1_ogg": op1_ogg, "op4_line_quality": op4_line_quality, "op8_licenses": op8_licenses, "op10_bloom_lm": op10_bloom_lm}
 
 
 def oracle_sql() -> dict[str, str]:
