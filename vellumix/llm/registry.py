@@ -10,13 +10,14 @@ from vellumix.llm import licenses, line_quality, warc
 from vellumix.llm.bloom_lm import op10_bloom_lm
 from vellumix.llm.licenses import op8_licenses
 from vellumix.llm.line_quality import op4_line_quality
+from vellumix.llm.neighbour_quality import op9_neighbour_quality
 from vellumix.llm.ogg import op1_ogg
 from vellumix.llm.packing import op6_packing
 from vellumix.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ogg": op1_ogg, "op4_line_quality": op4_line_quality, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_licenses": op8_licenses, "op10_bloom_lm": op10_bloom_lm}
+    return {"op1_ogg": op1_ogg, "op4_line_quality": op4_line_quality, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_licenses": op8_licenses, "op9_neighbour_quality": op9_neighbour_quality, "op10_bloom_lm": op10_bloom_lm}
 
 
 def oracle_sql() -> dict[str, str]:
