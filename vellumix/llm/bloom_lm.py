@@ -28,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,20 +57,35 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Hashed:
-    """Token hashes of some texts, one after another; ``bounds`` cut them into texts."""
+    """Tokens of some texts, one after another; ``bounds`` cut them into texts.
 
-    def __init__(self, texts: list[bytes], hashes: _common.WordHashes) -> None:
+    ``vocabulary`` has the hashes of the different tokens, ``ids`` each token's place in it.
+    """
+
+    def __init__(self, texts: list[bytes]) -> None:
         each = [tokens(t) for t in texts]
         self.bounds = np.cumsum([0] + [len(x) for x in each])
-        self.words = np.fromiter((h for x in each for h in map(hashes.__getitem__, x)), np.uint64, int(self.bounds[-1]))
-        before = np.empty_like(self.words)
-        before[1:] = self.words[:-1]
-        before[self.bounds[:-1]] = hashes[END]
-        self.before = before
+        index = _Index()
+        end = index[END]
+        self.ids = np.fromiter((i for x in each for i in map(index.__getitem__, x)), np.int32, int(self.bounds[-1]))
+        self.vocabulary = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+        self.before_ids = np.empty_like(self.ids)
+        self.before_ids[1:] = self.ids[:-1]
+        self.before_ids[self.bounds[:-1]] = end
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.vocabulary[self.ids]
 
     @property
     def pairs(self) -> np.ndarray:
-        return pair_hashes(self.before, self.words)
+        return pair_hashes(self.vocabulary[self.before_ids], self.words)
+
+
+class _Index(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +93,14 @@ def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _starts(hashes: np.ndarray, segments: int) -> np.ndarray:
-    """Where each segment's range begins among sorted hashes."""
-    lows = [-(-(s << 64) // segments) for s in range(segments)]
-    return np.append(np.searchsorted(hashes, np.array(lows, np.uint64)), len(hashes))
+    """Where each segment's range begins among sorted hashes, and their number."""
+    lows = np.arange(segments, dtype=np.uint64) << np.uint64(64 - segments.bit_length() + 1) if segments > 1 else np.zeros(1, np.uint64)
+    return np.append(np.searchsorted(hashes, lows), len(hashes))
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of each hash: floor(hash * segments / 2**64)."""
-    n = np.uint64(segments)
-    high = (hashes >> np.uint64(32)) * n + (((hashes & np.uint64(0xFFFFFFFF)) * n) >> np.uint64(32))
-    return (high >> np.uint64(32)).astype(np.int64)
+    """The segment of each hash: its leading bits (``segments`` is a power of two)."""
+    return (hashes >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int64) if segments > 1 else np.zeros(len(hashes), np.int64)
 
 
 _PART = "segment int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary"
@@ -129,9 +143,9 @@ def count_at(level: np.ndarray) -> np.ndarray:
 
 
 def _steps(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first bit, step) of (hash, level): double hashing."""
+    """(first bit, step) of (hash, level), to be masked to the table's size: double hashing."""
     a = _mix(hashes + np.uint64((level * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
-    return a, _mix(a) | np.uint64(1)
+    return a, (a >> np.uint64(32)) | np.uint64(1)
 
 
 HASHES = 4
@@ -141,21 +155,23 @@ def build_filter(words: tuple, pairs: tuple, share: int) -> tuple[bytes, int, in
     """(bits, lowest level kept of words, of pairs) for a segment's counts, in at most ``share`` bytes."""
     hashes = [words[0], _mix(pairs[0] ^ np.uint64(0xA5A5A5A5A5A5A5A5))]
     each = [levels(x[1]) for x in (words, pairs)]
-    cuts = [1, 1]
+    cuts, most = [1, 1], 1 << ((share * 8).bit_length() - 1)  # tables have a power of two of bits
 
     def entries(k: int) -> int:
         return int(np.maximum(each[k] - cuts[k] + 1, 0).sum())
 
-    while entries(0) + entries(1) > share * 8 // LEAST_BITS:
+    while entries(0) + entries(1) > most // LEAST_BITS:
         k = int(entries(1) >= entries(0))  # the larger kind gives up its lowest level
         cuts[k] += 1
-    bits = min(share * 8, max(64, (entries(0) + entries(1)) * MOST_BITS)) // 8 * 8
+    bits = 64
+    while bits * 2 <= min(most, (entries(0) + entries(1)) * MOST_BITS):
+        bits *= 2
     table = np.zeros(bits, np.bool_)
     for own, level, cut in zip(hashes, each, cuts, strict=True):
         for q in range(cut, int(level.max(initial=0)) + 1):
             a, b = _steps(own[level >= q], q)
             for i in range(HASHES):
-                table[(a + np.uint64(i) * b) % np.uint64(bits)] = True
+                table[(a + np.uint64(i) * b) & np.uint64(bits - 1)] = True
     return np.packbits(table, bitorder="little").tobytes(), *cuts
 
 
@@ -168,36 +184,39 @@ class Filter:
         size = [len(by[s][0]) if s in by else 0 for s in range(segments)]
         self.bits = np.frombuffer(b"".join(by[s][0] for s in range(segments) if s in by) or b"\0", np.uint8)
         self.start = np.cumsum([0, *size[:-1]]).astype(np.uint64) * np.uint64(8)
-        self.size = np.array(size, np.uint64) * np.uint64(8)
+        self.mask = np.array(size, np.uint64) * np.uint64(8) - np.uint64(1)
+        self.empty = np.array(size) == 0
         self.cuts = np.array([by[s][1:] if s in by else (1, 1) for s in range(segments)], np.int64)
 
     def level(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         """The levels of words (kind 0) or pairs (1)."""
         segment = segment_of(hashes, self.segments)
         out = np.zeros(len(hashes), np.int64)
-        live = np.flatnonzero(self.size[segment] > 0)
+        live = np.flatnonzero(~self.empty[segment]) if self.empty.any() else np.arange(len(hashes))
         x = (_mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) if kind else hashes)[live]
         segment = segment[live]
-        start, size, cut = self.start[segment], self.size[segment], self.cuts[segment, kind]
+        start, mask, cut = self.start[segment], self.mask[segment], self.cuts[segment, kind]
         for q in range(1, 65):
             if not len(live):
                 break
             found = cut > q  # levels under the cut aren't in the filter: go on
             keep = np.flatnonzero(~found)
-            a, b = _steps(x, q)
+            a, b = _steps(x[keep], q)
+            at0, m = start[keep], mask[keep]
             for i in range(HASHES):
-                at = start[keep] + (a[keep] + np.uint64(i) * b[keep]) % size[keep]
-                keep = keep[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                at = at0 + ((a + np.uint64(i) * b) & m)
+                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep, a, b, at0, m = keep[hit], a[hit], b[hit], at0[hit], m[hit]
             found[keep] = True
-            out[live[found & (cut <= q)]] = q
-            live, x, start, size, cut = live[found], x[found], start[found], size[found], cut[found]
+            out[live[keep]] = q
+            live, x, start, mask, cut = live[found], x[found], start[found], mask[found], cut[found]
         return out
 
 
 def scores(text: Hashed, filter_: Filter, n: int, v: int) -> np.ndarray:
     """log10 of each token's smoothed probability after the token before it."""
-    word = count_at(filter_.level(text.words, 0))
-    before = count_at(filter_.level(text.before, 0))
+    each = count_at(filter_.level(text.vocabulary, 0))
+    word, before = each[text.ids], each[text.before_ids]
     pair = np.minimum(count_at(filter_.level(text.pairs, 1)), np.minimum(word, before))
     alone = (word + 1) / (n + v + 1)
     return np.log10((pair + PRIOR * alone) / (before + PRIOR))
@@ -207,13 +226,13 @@ def train(docs: DataFrame, text: str = "text", segments: int | None = None, filt
     """The model as a table in the shared folder (a row a segment) and its number of segments."""
     _common.ship(docs.sparkSession)
     source = docs.select(_common.text_bytes(text).alias("data"))
-    n_segments = segments or max(32, source.rdd.getNumPartitions())
+    n_segments = 1 << ((segments or max(32, source.rdd.getNumPartitions())) - 1).bit_length()
     share = max(64, filter_bytes // n_segments)
 
     def count(batches):
-        hashes, words, pairs, held = _common.WordHashes(), [], [], 0
+        words, pairs, held = [], [], 0
         for batch in _common.slices(batches, "data", 4 << 20):
-            part = Hashed(batch.column("data").to_pylist(), hashes)
+            part = Hashed(batch.column("data").to_pylist())
             words.append(part.words)
             pairs.append(part.pairs)
             held += len(part.words)
@@ -262,28 +281,25 @@ def score(docs: DataFrame, model: DataFrame, segments: int, max_vocabulary: int
         table = spark.sparkContext.broadcast((np.frombuffer(b"".join(p[1] for p in parts), np.uint64), np.frombuffer(b"".join(p[2] for p in parts), np.int64)))
 
         def run(batches):
-            hashes = _common.WordHashes()
             words, counts = table.value
             for batch in _common.slices(batches, "data", 4 << 20):
-                part = Hashed(batch.column("data").to_pylist(), hashes)
-                c = np.zeros(len(part.words), np.int64)
+                part = Hashed(batch.column("data").to_pylist())
+                c = np.zeros(len(part.vocabulary), np.int64)
                 if len(words):
-                    own, inverse = np.unique(part.words, return_inverse=True)
-                    at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                    c = np.where(words[at] == own, counts[at], 0)[inverse]
+                    at = np.minimum(np.searchsorted(words, part.vocabulary), len(words) - 1)
+                    c = np.where(words[at] == part.vocabulary, counts[at], 0)
                 starts, total = part.bounds[:-1], np.diff(part.bounds)
-                base = np.add.reduceat(np.log10(c + 1.0), starts) - total * unknown
+                base = np.add.reduceat(np.log10(c + 1.0)[part.ids], starts) - total * unknown
                 lm = np.add.reduceat(scores(part, filter_.value, n, v), starts)
-                known = np.add.reduceat((c > 0).astype(np.int64), starts)
+                known = np.add.reduceat((c > 0).astype(np.int64)[part.ids], starts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(total, pa.int64()), pa.array(known), pa.array(np.full(len(total), n, np.int64)), pa.array(base), pa.array(lm)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
         return source.mapInArrow(run, _SCORED)
 
     def spread(batches):
         """A row for each word of a text with its count, and one with the text's score."""
-        hashes = _common.WordHashes()
         for batch in _common.slices(batches, "data", 1 << 20):
-            part = Hashed(batch.column("data").to_pylist(), hashes)
+            part = Hashed(batch.column("data").to_pylist())
             lm = np.add.reduceat(scores(part, filter_.value, n, v), part.bounds[:-1])
             text = np.repeat(np.arange(batch.num_rows), np.diff(part.bounds))
             order = np.lexsort((part.words, text))
