@@ -37,8 +37,18 @@ def test_round_trip(text, dropout, seed):
 @given(st.text(st.sampled_from("▁aeinorsth漢"), min_size=1, max_size=m.LONGEST), st.sampled_from([0.0, 0.1, 0.5, 0.9]), st.integers(0, 5))
 def test_agenda_and_numpy_agree(word, dropout, variant):
     merger, _ = tools()
-    [got] = merger.segment([(word, variant)], dropout, 7)
-    assert got.tolist() == merger.agenda(word, m.word_key(word, variant, 7), dropout)
+    got, starts = merger.segment([word, word], np.array([variant, variant]), dropout, 7)
+    assert starts.tolist() == [0, len(got) // 2, len(got)] and got.tolist() == 2 * merger.agenda(word, m.word_key(word, variant, 7), dropout)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab  \n▁é"), max_size=30))
+def test_marked_words(text):
+    merger, _ = tools()
+    index = m._Index()
+    refs = merger.word_refs(text, index) if text else []
+    names = list(index)
+    assert [merger.marked(names[i]) for i in refs] == merger.words(text)
 
 
 def test_seeds_and_variants_vary_the_segmentation():

@@ -6,8 +6,8 @@ where it starts, meets and ends, is skipped if a keyed hash of these is under ``
 same seed always gives the same segmentation, other seeds and variants give others, and all decode
 to the same text. A document's variant is a hash of its text modulo ``VARIANTS``.
 
-Words (cut before a space that follows another character, and around line feeds, which no piece
-joins) are segmented once a batch, all words of a length together in numpy; ``agenda`` does the
+Words (cut before line feeds and before spaces that follow another character, where no piece
+reaches across) are segmented once a batch, all words of a length together in numpy; ``agenda`` does the
 same with a priority queue for one word, for very long words and for the tests. Characters without
 a piece, and a literal U+2581, are written as bytes, so every text decodes exactly.
 
@@ -18,10 +18,10 @@ batch's words.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 20240601, 4
 LONGEST = 32  # characters of words that are segmented together
 #: A space stands for a literal U+2581 here, which real spaces no longer are.
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}\n ]+|{SPACE}+|[^{SPACE}\n ]+|[\n ]")
+_WORDS = re.compile(f"{SPACE}+[^{SPACE}\n ]*|\n?[^{SPACE}\n ]+|[\n ]")
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _64 = (1 << 64) - 1
 
@@ -62,9 +62,28 @@ def place(start: int, meet: int, end: int) -> int:
     return (start << 42 | meet << 21 | end) & _64
 
 
+def word_keys(points: np.ndarray, variant: np.ndarray, seed: int) -> np.ndarray:
+    """The keyed hashes of words (rows of code points) that their candidate merges' hashes start from."""
+    key = _mix(variant.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & _64))
+    for j in range(points.shape[1]):
+        key = _mix(key ^ (points[:, j].astype(np.uint64) + np.uint64((j + 1) * 0xD6E8FEB86659FD93 & _64)))
+    return key
+
+
 def word_key(word: str, variant: int, seed: int) -> int:
-    """The keyed hash of a word that its candidate merges' hashes start from."""
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8, key=f"{seed} {variant}".encode()).digest(), "little")
+    """``word_keys`` of one word."""
+    return int(word_keys(code_points([word], len(word)), np.array([variant]), seed)[0])
+
+
+def code_points(words: list[str], size: int) -> np.ndarray:
+    """Words of one length as rows of code points."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), size)
+
+
+class _Index(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Merger:
@@ -83,6 +102,7 @@ class Merger:
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.rank = np.full(n, 1 << 30, np.int64)
         self.rank[order] = np.arange(len(order))
+        self.low = np.array([self.bytes[b] for b in range(128)], np.int32)
         self.text = [b""] * n
         for b, i in self.bytes.items():
             self.text[i] = bytes([b])
@@ -90,6 +110,10 @@ class Merger:
             self.text[i] = p.replace(SPACE, " ").encode()
         self.n = n
         self.merges = {(a, b): i for p, i in self.pieces.items() for k in range(1, len(p)) if (a := self.pieces.get(p[:k])) is not None and (b := self.pieces.get(p[k:])) is not None}
+        self.character = -1 - np.arange(0x110000, dtype=np.int32)
+        for p, i in self.pieces.items():
+            if len(p) == 1:
+                self.character[ord(p)] = i
         # The same as an open-addressed table for numpy.
         self.mask = (1 << (len(self.merges) * 3).bit_length()) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
@@ -158,32 +182,27 @@ class Merger:
                 propose(before[i], i)
         return self.spelled([x for x, a in zip(ids, alive, strict=True) if a])
 
-    def together(self, ids: np.ndarray, keys: np.ndarray, dropout: float) -> list[np.ndarray]:
-        """The merged pieces of many words of one length (rows)."""
-        rows, width = ids.shape
-        out: list = [None] * rows
+    def together(self, points: np.ndarray, keys: np.ndarray, dropout: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The merged pieces of many words of one length, as (rows of ``points``, their pieces)."""
+        ids, width = self.character[points], points.shape[1]
+        out, live = [], np.arange(len(ids))
         limit = np.uint64(min(int(dropout * 2**64), _64))
-        live = np.arange(rows)
-        bounds = np.tile(np.arange(width + 1, dtype=np.uint64), (rows, 1))  # where each piece starts, and the end
+        bounds = np.tile(np.arange(width + 1, dtype=np.uint64), (len(ids), 1))  # where each piece starts, and the end
         while len(live):
-            if ids.shape[1] > 1:
-                piece = self.merged(ids[:, :-1], ids[:, 1:])
-                piece[(ids[:, :-1] < 0) | (ids[:, 1:] < 0)] = -1
-                if dropout > 0:
-                    spot = bounds[:, :-2] << np.uint64(42) | bounds[:, 1:-1] << np.uint64(21) | bounds[:, 2:]
-                    piece[_mix(keys[:, None] ^ _mix(spot)) < limit] = -1
-                rank = np.where(piece >= 0, self.rank[piece], 1 << 40)
-                best = rank.argmin(axis=1)
-                found = rank[np.arange(len(live)), best] < 1 << 40
-            else:
-                found = np.zeros(len(live), np.bool_)
-            for k in np.flatnonzero(~found):
-                out[live[k]] = ids[k]
-            live, ids, keys, bounds = live[found], ids[found], keys[found], bounds[found]
-            if not len(live):
-                break
-            best, row = best[found], np.arange(len(live))
-            ids[row, best] = piece[found][row, best]
+            if ids.shape[1] == 1:
+                return [*out, (live, ids)]
+            piece = self.merged(ids[:, :-1], ids[:, 1:])
+            piece[(ids[:, :-1] < 0) | (ids[:, 1:] < 0)] = -1
+            if dropout > 0:
+                spot = bounds[:, :-2] << np.uint64(42) | bounds[:, 1:-1] << np.uint64(21) | bounds[:, 2:]
+                piece[_mix(keys[:, None] ^ _mix(spot)) < limit] = -1
+            rank = np.where(piece >= 0, self.rank[piece], 1 << 40)
+            best = rank.argmin(axis=1)
+            found = rank[np.arange(len(live)), best] < 1 << 40
+            out.append((live[~found], ids[~found]))
+            live, ids, keys, bounds, piece, best = live[found], ids[found], keys[found], bounds[found], piece[found], best[found]
+            row = np.arange(len(live))
+            ids[row, best] = piece[row, best]
             # The second piece of the pair leaves, and with it the bound where they met.
             at = np.arange(ids.shape[1] - 1)
             ids = np.take_along_axis(ids, at + (at > best[:, None]), axis=1)
@@ -197,26 +216,51 @@ class Merger:
             return []
         return _WORDS.findall(SPACE + text.translate({0x20: SPACE, 0x2581: " "}))
 
-    def segment(self, words: list[tuple[str, int]], dropout: float, seed: int) -> list[np.ndarray]:
-        """The pieces of (word, variant) pairs."""
-        out: list = [None] * len(words)
+    def word_refs(self, text: str, index: _Index) -> np.ndarray:
+        """``words`` as places in ``index``, which has them marked: after a U+2581 as they are, else without the space before them."""
+        if SPACE not in text:
+            found = text.replace("\n", " \n").split(" ")
+            if "" not in found:  # no two spaces together, so all words but those after line feeds have one before them
+                return np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+        return np.array([index[w if w[0] == "\n" else w[1:] if len(w) > 1 and w[0] == SPACE != w[1] else SPACE + w] for w in self.words(text)], np.int64)
+
+    @staticmethod
+    def marked(word: str) -> str:
+        """The word that ``word_refs`` marked."""
+        return word if word[0] == "\n" else word[1:] if word[0] == SPACE else SPACE + word
+
+    def segment(self, words: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of words in their variants, one after another, and where each word's begin (and the end)."""
         by: dict[int, list[int]] = {}
-        for i, (w, _) in enumerate(words):
+        for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
+        blocks, sizes = [], np.zeros(len(words), np.int64)
         for size, own in by.items():
             if size > LONGEST:
-                for i in own:
-                    out[i] = np.array(self.agenda(words[i][0], word_key(*words[i], seed), dropout), np.int32)
-                continue
-            ids = np.array([self.characters(words[i][0]) for i in own], np.int64)
-            keys = np.array([word_key(*words[i], seed) for i in own], np.uint64)
-            for i, got in zip(own, self.together(ids, keys, dropout), strict=True):
-                out[i] = got.astype(np.int32) if got.min() >= 0 else np.array(self.spelled(got.tolist()), np.int32)
-        return out
+                parts = [(np.array([i]), np.array([self.agenda(words[i], word_key(words[i], int(variants[i]), seed), dropout)], np.int32)) for i in own]
+            else:
+                own = np.array(own)
+                points = code_points([words[i] for i in own], size)
+                parts = [(own[rows], ids) for rows, ids in self.together(points, word_keys(points, variants[own], seed), dropout)]
+            for rows, ids in parts:
+                low = (ids < 0) & (ids >= -128) & (ids != -1 - ord(" "))
+                ids[low] = self.low[-1 - ids[low]]
+                odd = (ids < 0).any(axis=1)  # these have other characters to be spelled
+                for i, x in zip(rows[odd], ids[odd], strict=True):
+                    blocks.append((np.array([i]), np.array([self.spelled(x.tolist())], np.int32)))
+                blocks.append((rows[~odd], ids[~odd]))
+        for rows, ids in blocks:
+            sizes[rows] = ids.shape[1]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.zeros(int(starts[-1]), np.int32)
+        for rows, ids in blocks:
+            flat[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return flat, starts
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
         """One text's ids."""
-        return [int(i) for part in self.segment([(w, variant) for w in self.words(text)], dropout, seed) for i in part]
+        words = self.words(text)
+        return self.segment(words, np.full(len(words), variant), dropout, seed)[0].tolist()
 
     def decode(self, ids) -> str:
         """The text that ``encode`` got: pieces and bytes joined, without the space put before them."""
@@ -236,30 +280,30 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path:
 
     def run(batches):
         merger = Merger(path)
-        text_of = merger.text.__getitem__
-        for batch in _common.slices(batches, "data", 12 << 20):
+        for batch in _common.slices(batches, "data", 16 << 20):
             texts = batch.column("data").to_pylist()
-            index: dict[tuple[str, int], int] = {}
-            refs = []
-            for t in texts:
-                variant = zlib.crc32(t) % variants
-                refs.append([index.setdefault((w, variant), len(index)) for w in merger.words(t.decode(errors="replace"))])
-            words = list(index)
-            parts = merger.segment(words, dropout, seed)
-            plain = parts if dropout == 0 else None
-            if plain is None:
-                bare = {w: i for i, w in enumerate(dict.fromkeys(w for w, _ in words))}
-                lengths = np.array([len(p) for p in merger.segment([(w, 0) for w in bare], 0.0, seed)], np.int64)
-                plain_size = lengths[[bare[w] for w, _ in words]] if words else lengths
-            else:
-                plain_size = np.array([len(p) for p in parts], np.int64)
-            parts = [p.astype("<i4").tobytes() for p in parts]
-            spelled = [b"".join(map(text_of, np.frombuffer(p, "<i4").tolist())) for p in parts]
+            each = [_Index() for _ in range(variants)]  # each variant's words
+            own = [zlib.crc32(t) % variants for t in texts]
+            refs = [merger.word_refs(t.decode(errors="replace"), each[v]) if t else np.zeros(0, np.int64) for t, v in zip(texts, own, strict=True)]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            marked = [w for index in each for w in index]
+            words = list(map(merger.marked, marked))
+            flat, starts = merger.segment(words, np.repeat(np.arange(variants), np.diff(first)), dropout, seed)
+            size = np.diff(starts)
+            bare = _Index()
+            at = np.fromiter(map(bare.__getitem__, words), np.int64, len(words))
+            plain = np.diff(merger.segment(list(bare), np.zeros(len(bare), np.int64), 0.0, seed)[1])[at] if dropout else size
+            pieces = list(map(merger.text.__getitem__, flat.tolist()))
+            bounds, data = starts.tolist(), flat.astype("<i4").tobytes()
+            parts = [data[4 * a : 4 * b] for a, b in pairwise(bounds)]
+            spelled = [b"".join(pieces[a:b]) for a, b in pairwise(bounds)]
             rows = []
-            for t, own in zip(texts, refs, strict=True):
-                ids = b"".join(map(parts.__getitem__, own))
-                back = b"".join(map(spelled.__getitem__, own))[1:]
-                rows.append((len(ids) // 4, int(plain_size[own].sum()) if own else 0, zlib.crc32(ids), back == t, ids if keep_ids else None))
+            for t, v, r in zip(texts, own, refs, strict=True):
+                r = r + first[v]
+                places = r.tolist()
+                ids = b"".join(map(parts.__getitem__, places))
+                back = b"".join(map(spelled.__getitem__, places))[1:]
+                rows.append((len(ids) // 4, int(plain[r].sum()), zlib.crc32(ids), back == t, ids if keep_ids else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
