@@ -17,8 +17,11 @@ refused.
 
 from __future__ import annotations
 
+import functools
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from vellumix.llm import _common
 
 CAPACITY, CLOSING_ID = 4096, 1
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit numbers")
 
 
 def tokenizer_path() -> str:
@@ -43,10 +48,10 @@ class WordIds:
 
     For vocabularies whose pre-tokenizer never joins text across a space or line feed: then a
     text's ids are its words' ids one after another, and a word is encoded once a batch.
-    Remembers a bounded number of words.
+    Remembers a bounded number of words, from one task of a worker to the next.
     """
 
-    MOST = 300_000
+    MOST, TOGETHER = 1_000_000, 20_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,14 +60,22 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    @functools.cache
+    def of(cls, path: str) -> WordIds:
+        """This process's encoder for a file."""
+        return cls(path)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         each = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*each) if w not in self.known]
+        used = set().union(*each)
+        new = list(used.difference(self.known))
         if len(self.known) + len(new) > self.MOST:
-            used = set().union(*each)
-            self.known = {w: ids for w, ids in self.known.items() if w in used}
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
+            self.known = {w: ids for w, ids in self.known.items() if w in used} | {"": b""}
+        for at in range(0, len(new), self.TOGETHER):
+            part = new[at : at + self.TOGETHER]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in each]
 
 
@@ -80,7 +93,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path:
     closing = np.array([closing_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, number = WordIds(path), Counter()
+        encoder, number = WordIds.of(path), Counter()
         for batch in _common.slices(batches, "data", 16 << 20):
             rows = []
             [task] = set(batch.column("task").to_pylist())
