@@ -10,11 +10,15 @@ share two thirds of their shingles at least, so a link is missed by all samples
 (1 - (2/3)**3)**24, 0.0002, at the threshold, and far less above it.
 
 Candidates: the texts of a bucket are first aligned with one of them, the one that lies in the most
-populous buckets (of a family of near copies, the likely original). Where that leaves a bucket in
-several classes, further texts of it are aligned with all that follow them, ``LEADERS`` at a time,
-until the bucket is in one class or all its pairs of different classes have been aligned; pairs
-whose lengths alone rule a link out aren't. No bucket is capped and no step emits more than
-``LEADERS`` pairs for a row of a bucket.
+populous buckets (of a family of near copies, the likely original). Texts of buckets that this
+leaves in several classes are then joined exactly: a link needs so many common shingles that
+
+* a text too few of whose shingles occur in other classes can have no further link, and leaves;
+* of what is left, with shingles in order of frequency, rarest first, two linked texts share one of
+  their first n - needed + 1; only pairs of different classes that do, and whose lengths allow a
+  link, are aligned, and of each such shingle not those within its most frequent class.
+
+No bucket is capped, and no pairs are made within a class.
 
 Scale: equal texts count once from the start. What is shuffled by bucket are 24 small rows for a
 text; texts are shuffled only where they are in candidate pairs. Hot buckets and leaders are large
@@ -38,7 +42,7 @@ from vellumix.llm import _common
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, PICKS = 24, 3
-LEADERS = 16
+ROUNDS = 3  # of dropping texts without possible links; any number is right
 _MOST = np.uint64((1 << 64) - 1)
 
 
@@ -91,24 +95,36 @@ def labelled(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return _mix(hashes + occurrence * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: About so many of a text's labels are looked at for a sample's smallest ones.
+NARROW = 14
+
+
 def sketches(labels: np.ndarray, n: np.ndarray, samples: int = SAMPLES, picks: int = PICKS) -> np.ndarray:
     """For each text with shingles, a key for each sample: its smallest labels in text order."""
     n = n[n > 0]
     out = np.zeros((len(n), samples), np.uint64)
     if not len(n):
         return out
-    starts = np.cumsum(n) - n
-    last = len(labels)
+    text_of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    # The smallest ones are nearly always under a bound that depends on the length alone.
+    bound = np.where(n > NARROW, (NARROW / n * 2.0**64).clip(max=2.0**63 * 1.99), 0).astype(np.uint64)
+    bound[n <= NARROW] = _MOST
+    under, want, last = np.repeat(bound, n), np.minimum(n, picks), len(labels)
     for s in range(samples):
-        v = _mix(labels ^ _odd(s))
+        v = labels * _odd(s)
+        at = np.flatnonzero(v <= under)
+        text = text_of[at]
+        short = np.flatnonzero(np.bincount(text, minlength=len(n)) < want)
+        if len(short):  # too few under the bound: look at all of these texts' labels
+            at = np.sort(np.concatenate([at[~np.isin(text, short)], np.flatnonzero(np.isin(text_of, short))]))
+            text = text_of[at]
+        order = np.lexsort((v[at], text))
+        at, text = at[order], text[order]
+        first = np.searchsorted(text, np.arange(len(n)))
+        rank = np.arange(len(at)) - first[text]
         places = np.full((len(n), picks), last)
-        for p in range(picks):
-            least = np.minimum.reduceat(v, starts)
-            at = np.flatnonzero(v == np.repeat(least, n))
-            text = np.searchsorted(starts, at, side="right") - 1
-            some = n[text] > p  # shorter texts have all their shingles picked by now
-            places[text[some], p] = at[some]
-            v[at] = _MOST
+        chosen = rank < picks
+        places[text[chosen], rank[chosen]] = at[chosen]
         places.sort(axis=1)
         key = np.full(len(n), _odd(s + 1000))
         for p in range(picks):
@@ -301,33 +317,11 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     texts = _texts(docs, id_column, text, distinct.join(buckets.select(F.col("v").alias("digest")).distinct(), "digest").select("digest", "least"))
     texts, texts_path = _common.materialize(texts, "candidates")
     links, links_path = _common.materialize(verified(pairs, texts), "links")
-    links_paths, pairs_paths = [links_path], [pairs_path]
-    while True:
-        labels, kept = components(links)
-        found = buckets.join(labels, "v", "left").withColumn("c", F.xxhash64(F.coalesce("c", "v")))
-        # Buckets of several classes; texts that have led one are done with it.
-        mixed = found.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        left = found.join(mixed, "key")
-        order = Window.partitionBy("key").orderBy(F.desc("pop"), F.desc("v"))
-        left, left_path = _common.materialize(left.withColumn("rank", F.row_number().over(order)), "left")
-        for k in kept:
-            _common.discard(spark, k)
-        if left.isEmpty():
-            _common.discard(spark, left_path)
-            break
-        heads = left.where(F.col("rank") <= LEADERS).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
-        more = left.join(heads, "key").where((F.col("rank") > F.col("ra")) & (F.col("c") != F.col("ca")) & _in_reach("m", "n")).select("a", F.col("v").alias("b")).distinct()
-        tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more, more_path = _common.materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new, new_path = _common.materialize(verified(more, texts), "links")
-        links, pairs = links.unionByName(new), pairs.unionByName(more)
-        links_paths.append(new_path)
-        pairs_paths.append(more_path)
-        buckets, next_path = _common.materialize(left.where(F.col("rank") > LEADERS).select("key", "v", "n", "pop"), "buckets")
-        for path in (buckets_path, left_path):
-            _common.discard(spark, path)
-        buckets_path = next_path
-    for path in (buckets_path, texts_path, *pairs_paths):
+    labels, kept = components(links)
+    more, more_paths = _across(buckets, labels, texts, pairs)
+    new, new_path = _common.materialize(verified(more, texts), "links")
+    links = links.unionByName(new)
+    for path in (buckets_path, texts_path, pairs_path, *kept, *more_paths):
         _common.discard(spark, path)
 
     labels, _ = components(links)
@@ -344,6 +338,49 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     return sketched.select("doc_id", "digest").join(result, "digest").select("doc_id", "digest", "class_id", "class_digest", "n_links", "n_copies")
 
 
+def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All pairs (a, b) of texts in buckets of several classes that may be linked across classes, but those tried.
+
+    Also returns the paths of the tables that the pairs need.
+    """
+    found = buckets.join(labels, "v", "left").withColumn("c", F.xxhash64(F.coalesce("c", "v")))
+    mixed = found.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    open_ = found.join(mixed, "key", "left_semi").select("v", "c", "n").distinct().withColumn("t", F.monotonically_increasing_id())
+    open_, open_path = _common.materialize(open_, "open")
+
+    def spread(batches):
+        for batch in _common.slices(batches, "data", 1 << 20):
+            hashes, n = shingles(batch.column("data").to_pylist())
+            columns = {c: np.repeat(batch.column(c).to_numpy(), n) for c in ("t", "c", "n")}
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns.values()), pa.array(labelled(hashes, n).view(np.int64))], names=["t", "c", "n", "h"])
+
+    rows = open_.join(texts.select(F.col("digest").alias("v"), "data"), "v").select("t", "c", "n", "data").mapInArrow(spread, "t long, c long, n int, h long")
+    rows, path = _common.materialize(rows, "shingles")
+    needed = F.col("n") - F.floor(F.lit(1 - SIMILARITY) * F.col("n") + F.lit(1e-9))
+    for _ in range(ROUNDS):
+        shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+        able = rows.join(shared, "h", "left_semi").groupBy("t", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= needed).select("t")
+        rows, next_path = _common.materialize(rows.join(able, "t", "left_semi"), "shingles")
+        _common.discard(rows.sparkSession, path)
+        path = next_path
+    frequency = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("t").orderBy("df", "h")
+    prefix = rows.join(frequency, "h").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - needed + 1)
+    prefix, prefix_path = _common.materialize(prefix.select("t", "c", "n", "h"), "prefixes")
+    main = prefix.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("classes"))
+    main = main.where("classes > 1").select("h", F.col("top.c").alias("main"))
+    marked = prefix.join(main, "h")
+    minor = marked.where(F.col("c") != F.col("main")).select("h", F.col("t").alias("ta"), F.col("c").alias("ca"), F.col("n").alias("m"))
+    other = marked.select("h", F.col("t").alias("tb"), F.col("c").alias("cb"), "n", (F.col("c") == F.col("main")).alias("is_main"))
+    near = minor.join(other, "h").where((F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("ta") < F.col("tb"))) & _in_reach("m", "n"))
+    # A pair may be minor on either side for different shingles.
+    numbers = near.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
+    names = open_.select("t", "v")
+    pairs = numbers.join(names.select(F.col("t").alias("ta"), F.col("v").alias("a")), "ta").join(names.select(F.col("t").alias("tb"), F.col("v").alias("b")), "tb").select("a", "b")
+    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti"), [open_path, path, prefix_path]
+
+
 def _texts(docs: DataFrame, id_column: str, text: str, wanted: DataFrame) -> DataFrame:
     """One text for each wanted (digest, least id)."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), digest(text).alias("digest"), _common.text_bytes(text).alias("data"))
