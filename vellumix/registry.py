@@ -1,20 +1,405 @@
-"""All queries of the library, with the DuckDB SQL that checks them."""
+"""All queries of the library, with the DuckDB SQL that checks them.
+
+Queries run over the whole tables, through the views of ``plans.views`` where the tables' own text
+would leave a rule without work.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumix import errors, settings
+from vellumix.functions import arrays, protect
+from vellumix.functions import math as M
+from vellumix.functions import text as T
+from vellumix.functions.dialect import DUCK, SPARK, Dialect
+from vellumix.operators import jobs, markdown, pages, spans, translate
+from vellumix.plans import views
+from vellumix.sources import files
+from vellumix.streaming import chunks as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+CAP = 400  # characters of a chunk in the checks: small, so that documents have several
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return put
+
+
+def _rules(name: str, view: str, keys: tuple[str, ...], **rules: Callable[[Dialect], str]) -> None:
+    """A query that shows row-local rules beside a view's keys."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return views.frame(spark, sf_dir, view).select(*keys, *[F.expr(r(SPARK)).alias(n) for n, r in rules.items()])
+
+    _add(name, f"SELECT {', '.join(keys)}, " + ", ".join(f"{r(DUCK)} AS {n}" for n, r in rules.items()) + f" FROM {views.sql(view)}")(run)
+
+
+def _lines_of(view: str) -> str:
+    """DuckDB: the view's lines (doc_id, n, line) as they are."""
+    return f"(SELECT doc_id, i AS n, ls[i + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, {T.lines(DUCK, 'text')} AS ls FROM {views.sql(view)})))"
+
+
+def _line_rules(name: str, view: str, **rules: Callable[[Dialect], str]) -> None:
+    """As ``_rules``, for each line of the view's texts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = views.frame(spark, sf_dir, view).select("doc_id", F.posexplode(F.expr(T.lines(SPARK, "text"))).alias("n", "line"))
+        return own.select("doc_id", F.col("n").cast("long").alias("n"), *[F.expr(r(SPARK)).alias(k) for k, r in rules.items()])
+
+    _add(name, "SELECT doc_id, n, " + ", ".join(f"{r(DUCK)} AS {k}" for k, r in rules.items()) + f" FROM {_lines_of(view)}")(run)
+
+
+# Scalars and predicates.
+_rules("q_basename", "urls", ("id",), base_name=lambda d: T.base_name(d, "url"))
+_rules("q_url_validate", "urls", ("id",), error=lambda d: T.url_error(d, "url"), upload_error=lambda d: T.upload_error(d, "url"), upload_name=lambda d: T.upload_name(d, "url"))
+_rules("q_normalize_off", "dirty_docs", ("doc_id",), text=lambda d: T.normalized(d, "text", "off"))
+_rules("q_normalize_symbols", "dirty_docs", ("doc_id",), text=lambda d: T.symbols_repaired(d, T.without_controls(d, "text")))
+_rules("q_normalize_cons", "dirty_docs", ("doc_id",), text=lambda d: T.normalized(d, "text"))
+_rules("q_control_count", "dirty_docs", ("doc_id",), n_control=lambda d: T.control_count(d, "text"))
+_line_rules("q_repeat_key", "conv_pages", key=lambda d: T.repeat_key(d, "line"))
+_line_rules("q_heading", "conv_pages", is_heading=lambda d: T.heading(d, "line"), level=lambda d: T.heading_level(d, "line"), title_case=lambda d: T.title_case(d, T.strip(d, "line")), front_matter=lambda d: T.front_matter(d, "line"))
+_line_rules("q_heading_worth", "math_docs", worth=lambda d: M.worth_translating(d, "line"))
+_rules("q_math_like", "math_docs", ("doc_id",), **{f"{n}_{c}": (lambda d, r=r, c=c: r(d, c)) for c in ("formula", "text") for n, r in (("math", M.math_like), ("formulaish", M.formulaish), ("words", M.force_translatable), ("signals", M.signal_score), ("sums", M.has_sum_or_product))})
+_rules("q_math_layout", "math_docs", ("doc_id",), collapsed=lambda d: M.collapsed(d, "formula"), layout=lambda d: M.sum_layout(d, "'∑ n  i = 1  i2 + formula'"), squares=lambda d: M.squares(d, "formula"), fraction=lambda d: M.set_fraction(d, "formula"), inline=lambda d: M.inline_squares(d, "formula"), tied=lambda d: M.tied_relations(d, "formula"))
+_rules("q_section_count", "md_docs", ("doc_id",), n_sections=lambda d: T.markdown_sections(d, "text"))
+_rules("q_long_split", "math_docs", ("doc_id",), parts=lambda d: arrays.long_split(d, "text", f"({M.math_like(d, 'text')})"))
+_rules("q_quality_retry", "translations", ("doc_id",), english=lambda d: T.english_words(d, "translated"), chinese=lambda d: T.cjk_characters(d, "translated"), retry=lambda d: T.needs_retry(d, f"({M.math_like(d, 'source')})", "translated"))
+_rules("q_retry_better", "translations", ("doc_id",), better=lambda d: T.retry_better(d, "source", "translated"))
+_rules("q_residual", "translations", ("doc_id",), residual=lambda d: T.residual_english(d, f"({M.math_like(d, 'source')})", "translated"))
+_rules("q_boundaries", "translations", ("doc_id",), text=lambda d: T.restore_boundaries(d, "source", "translated"))
+_rules("q_fake_translate", "translations", ("doc_id",), text=lambda d: T.fake_translation(d, "source"))
+_rules("q_cache_key", "translations", ("doc_id",), key=lambda d: T.cache_key(d, "'model-a'", T.fingerprint(d, "'prompt'", f"'{translate.POLICY}'"), "source"))
+_rules("q_md_blocks", "md_docs", ("doc_id",), blocks=lambda d: arrays.blocks(d, "text"))
+
+
+@_add("q_payloads", f"SELECT id, starts_with(payload, '%PDF-') AS is_pdf, {files.payload_error(DUCK, 'payload', 'content_type')} AS error FROM {views.sql('payloads')}")
+def _payloads(spark, sf_dir):
+    return files.with_payload_error(views.frame(spark, sf_dir, "payloads")).select("id", "is_pdf", "error")
+
+
+# Pages.
+def _as_pages(spark, sf_dir):
+    return views.frame(spark, sf_dir, "conv_pages")
+
+
+_STRIPPED = DUCK.keep(DUCK.map(T.lines(DUCK, "text"), "e", T.strip(DUCK, "e")), "e", "e <> ''")
+_NONBLANK = f"(SELECT doc_id, page_number, {_STRIPPED} AS ls FROM {views.sql('conv_pages')})"
+
+
+@_add("q_lines", f"SELECT doc_id, page_number, CAST(i AS INTEGER) AS line_no, ls[i + 1] AS line FROM (SELECT *, unnest(range(len(ls))) AS i FROM {_NONBLANK})")
+def _lines(spark, sf_dir):
+    return pages.lines(_as_pages(spark, sf_dir))
+
+
+_REPEATED = f"""SELECT doc_id, side, {T.repeat_key(DUCK, 'line')} AS key, count(*) AS n FROM (
+  SELECT doc_id, 'top' AS side, unnest(ls[1:4]) AS line FROM {_NONBLANK}
+  UNION ALL SELECT doc_id, 'bottom', unnest(list_reverse(ls)[1:4]) FROM {_NONBLANK}) GROUP BY ALL HAVING count(*) >= 2"""
+
+
+@_add("q_repeated_lines", _REPEATED)
+def _repeated(spark, sf_dir):
+    return pages.repeated_lines(_as_pages(spark, sf_dir))
+
+
+def _cleaned_sql() -> str:
+    rstrip = DUCK.map(T.lines(DUCK, "norm"), "e", DUCK.sub("e", f"[{T.WS}]+$", ""))
+    return f"""
+WITH rep AS ({_REPEATED}),
+sets AS (SELECT doc_id, coalesce(list(key) FILTER (side = 'top'), []) AS top, coalesce(list(key) FILTER (side = 'bottom'), []) AS bottom FROM rep GROUP BY doc_id),
+p AS (SELECT v.doc_id, page_number, {T.normalized(DUCK, 'text')} AS norm, coalesce(top, []) AS top, coalesce(bottom, []) AS bottom FROM {views.sql('conv_pages')} v LEFT JOIN sets USING (doc_id)),
+l AS (SELECT *, {rstrip} AS ls FROM p),
+w AS (SELECT *, {arrays.without_repeats(DUCK, 'ls', 'top', 'bottom')} AS kept FROM l),
+clean AS (SELECT doc_id, page_number, {T.strip(DUCK, f"array_to_string({arrays.joined_lines(DUCK, 'kept')}, chr(10))")} AS text FROM w)"""
+
+
+@_add("q_strip_headers", _cleaned_sql() + " SELECT doc_id, page_number, text FROM clean")
+def _clean(spark, sf_dir):
+    return pages.cleaned(_as_pages(spark, sf_dir)).select("doc_id", "page_number", "text")
+
+
+def _units_sql() -> str:
+    matter = DUCK.map("us", "u", f"u.type = 'bullet' OR NOT {T.front_matter(DUCK, 'u.text')}")
+    return (
+        _cleaned_sql()
+        + f""",
+u0 AS (SELECT doc_id, page_number, {arrays.units(DUCK, 'text')} AS us, min(page_number) OVER (PARTITION BY doc_id) AS first FROM clean),
+u1 AS (SELECT doc_id, page_number, CASE WHEN page_number > first THEN us WHEN list_position({matter}, true) IS NULL THEN [] ELSE us[list_position({matter}, true):] END AS us FROM u0 WHERE len(us) > 0),
+units AS (SELECT doc_id, page_number, CAST(i AS INTEGER) AS unit_no, us[i + 1].type AS type, us[i + 1].text AS text FROM (SELECT *, unnest(range(len(us))) AS i FROM u1))"""
+    )
+
+
+@_add("q_units", _units_sql() + " SELECT * FROM units")
+def _units(spark, sf_dir):
+    return pages.units(pages.cleaned(_as_pages(spark, sf_dir)))
+
+
+_SECTIONS = (
+    _units_sql()
+    + f""",
+raws AS (SELECT *, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_number, unit_no) AS raw FROM units),
+g AS (SELECT doc_id, raw, max(text) FILTER (type = 'heading') AS heading, list_sort(list(DISTINCT page_number)) AS page_numbers, count(*) FILTER (type <> 'heading') AS n_paragraphs FROM raws GROUP BY doc_id, raw),
+real AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS BIGINT) AS section_index, coalesce(heading, '正文') AS heading, CASE WHEN heading IS NULL THEN 1 ELSE {T.heading_level(DUCK, 'heading')} END AS level, page_numbers, n_paragraphs FROM g WHERE n_paragraphs > 0),
+sections AS (SELECT * FROM real UNION ALL SELECT DISTINCT doc_id, CAST(0 AS BIGINT), '正文', CAST(1 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM clean WHERE doc_id NOT IN (SELECT doc_id FROM real))"""
+)
+
+
+@_add("q_sections", _SECTIONS + " SELECT * FROM sections")
+def _sections(spark, sf_dir):
+    return pages.sections(pages.cleaned(_as_pages(spark, sf_dir)))
+
+
+@_add(
+    "q_image_section",
+    _SECTIONS
+    + """,
+img AS (SELECT doc_id, page_number, concat('p', CAST(page_number AS VARCHAR), '_img1') AS image_id FROM clean),
+own AS (SELECT doc_id, page_number, min(section_index) AS s FROM (SELECT doc_id, section_index, unnest(page_numbers) AS page_number FROM sections) GROUP BY ALL),
+last AS (SELECT doc_id, max(section_index) AS l FROM sections GROUP BY doc_id)
+SELECT doc_id, page_number, image_id, coalesce(s, l) AS section_index FROM img LEFT JOIN own USING (doc_id, page_number) LEFT JOIN last USING (doc_id)""",
+)
+def _images(spark, sf_dir):
+    clean = pages.cleaned(_as_pages(spark, sf_dir))
+    own = clean.select("doc_id", "page_number", F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("_img1")).alias("image_id"))
+    return pages.image_sections(own, pages.sections(clean))
+
+
+@_add("q_title", f"SELECT doc_id, coalesce(left(arg_min(ls[1], page_number) FILTER (len(ls) > 0), 120), 'Translated Document') AS title FROM {_NONBLANK} GROUP BY doc_id")
+def _titles(spark, sf_dir):
+    return pages.titles(_as_pages(spark, sf_dir))
+
+
+def _doc_pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).cast("long").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+_DOC_LENGTH = f"length({T.strip(DUCK, chr(34) + 'text' + chr(34))})"
+
+
+@_add("q_low_text", f"SELECT doc_id, text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE {_DOC_LENGTH} < 50")
+def _low(spark, sf_dir):
+    return pages.low_text(_doc_pages(spark, sf_dir)).select("doc_id", "text")
+
+
+_OCR = "CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE concat('OCR of ', CAST(doc_id AS {s})) END"
+
+
+@_add(
+    "q_ocr_merge",
+    f"""SELECT doc_id, text, length({T.strip(DUCK, 'text')}) AS text_len, used_ocr FROM (
+SELECT doc_id, used_ocr, CASE WHEN used_ocr THEN {_OCR.format(s='VARCHAR')} ELSE t END AS text FROM (
+SELECT doc_id, coalesce(text, '') AS t, length({T.strip(DUCK, "coalesce(text, '')")}) < 50 AND doc_id % 3 <> 0 AS used_ocr FROM documents))""",
+)
+def _ocr(spark, sf_dir):
+    own = _doc_pages(spark, sf_dir)
+    read = pages.low_text(own).select("doc_id", "page_number", F.expr(_OCR.format(s="STRING")).alias("ocr_text"))
+    return pages.with_ocr(own, read).select("doc_id", "text", "text_len", "used_ocr")
+
+
+# Markdown.
+_CHUNKS = f"(SELECT doc_id, {arrays.chunks(DUCK, 'blocks', CAP)} AS chunks FROM (SELECT doc_id, {arrays.blocks(DUCK, 'text')} AS blocks FROM {views.sql('md_docs')}))"
+_CHUNK_ROWS = f"(SELECT doc_id, i AS chunk_index, chunks[i + 1] AS text FROM (SELECT *, unnest(range(len(chunks))) AS i FROM {_CHUNKS}))"
+
+
+@_add("q_chunks", f"SELECT doc_id, chunk_index, text FROM {_CHUNK_ROWS}")
+def _chunks(spark, sf_dir):
+    return markdown.chunks(views.frame(spark, sf_dir, "md_docs"), CAP)
+
+
+@_add("q_chunk_stats", f"SELECT doc_id, count(*) AS n_chunks, max(length(text)) AS longest, sum(CASE WHEN length(text) > {CAP} THEN 1 ELSE 0 END)::BIGINT AS n_over FROM {_CHUNK_ROWS} GROUP BY doc_id")
+def _chunk_stats(spark, sf_dir):
+    own = markdown.with_chunks(views.frame(spark, sf_dir, "md_docs"), CAP)
+    size = F.transform("chunks", lambda c: F.length(c).cast("long"))
+    return own.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.array_max(size).alias("longest"), F.size(F.filter(size, lambda n: n > CAP)).cast("long").alias("n_over"))
+
+
+_PROTECTED = protect.protected_sql(f"SELECT doc_id, chunk_index, text FROM {_CHUNK_ROWS}", "text")
+
+
+@_add("q_protect", f"SELECT doc_id, chunk_index, protected, {DUCK.map('fragments', 'f', 'f.token')} AS tokens, {DUCK.map('fragments', 'f', 'f.value')} AS parts FROM ({_PROTECTED})")
+def _protect(spark, sf_dir):
+    own = protect.protected(markdown.chunks(views.frame(spark, sf_dir, "md_docs"), CAP), "text")
+    return own.select("doc_id", "chunk_index", "protected", F.expr("fragments.token AS tokens"), F.expr("fragments.value AS parts"))
+
+
+@_add("q_restore", f"SELECT doc_id, chunk_index, {protect.intact(DUCK, 'protected', 'fragments')} AS intact, {protect.restored(DUCK, 'protected', 'fragments')} AS restored FROM ({_PROTECTED})")
+def _restore(spark, sf_dir):
+    own = protect.protected(markdown.chunks(views.frame(spark, sf_dir, "md_docs"), CAP), "text")
+    return own.select("doc_id", "chunk_index", F.expr(protect.intact(SPARK, "protected", "fragments")).alias("intact"), F.expr(protect.restored(SPARK, "protected", "fragments")).alias("restored"))
+
+
+def _translate_sql(mapped: str) -> str:
+    ready = protect.protected_sql(f"SELECT doc_id, chunk_index, text, {T.normalized(DUCK, 'text')} AS norm FROM {_CHUNK_ROWS}", "norm")
+    return f"""WITH a AS (SELECT doc_id, chunk_index, text, fragments, {mapped} AS said FROM ({ready})),
+b AS (SELECT *, {T.normalized(DUCK, 'said')} AS answer FROM a),
+c AS (SELECT doc_id, chunk_index, {protect.intact(DUCK, 'answer', 'fragments')} AS intact, CASE WHEN {protect.intact(DUCK, 'answer', 'fragments')} THEN {protect.restored(DUCK, 'answer', 'fragments')} ELSE text END AS translated FROM b)"""
+
+
+@_add("q_translate_md", _translate_sql("concat('[ZH] ', protected)") + " SELECT doc_id, count(*) AS n_chunks, coalesce(string_agg(translated, chr(10) || chr(10) ORDER BY chunk_index) FILTER (translated <> ''), '') AS text FROM c GROUP BY doc_id")
+def _translate_md(spark, sf_dir):
+    return markdown.translated(views.frame(spark, sf_dir, "md_docs"), most=CAP)
+
+
+@_add("q_translate_fallback", _translate_sql("CASE WHEN doc_id % 3 = 0 THEN replace(protected, 'URL', 'url') ELSE protected END") + " SELECT doc_id, chunk_index, intact, translated FROM c")
+def _fallback(spark, sf_dir):
+    lossy = lambda x: F.when(F.col("doc_id") % 3 == 0, F.replace(x, F.lit("URL"), F.lit("url"))).otherwise(x)
+    return markdown.translated_chunks(markdown.chunks(views.frame(spark, sf_dir, "md_docs"), CAP), lossy).select("doc_id", "chunk_index", "intact", "translated")
+
+
+_FILES = [f"img/p{k}.png" for k in range(5)]
+
+
+@_add("q_assets", f"SELECT doc_id, regexp_replace(text, '(!\\[[^\\]]*\\]\\()img/(p[0-4]\\.png\\))', '\\1assets/\\2', 'g') AS text FROM {views.sql('md_docs')}")
+def _assets(spark, sf_dir):
+    return markdown.localized(views.frame(spark, sf_dir, "md_docs"), _FILES).select("doc_id", "text")
+
+
+@_add("q_stream_chunks")
+def _stream(spark, sf_dir):
+    """The chunks of ``documents``, read as a stream of files."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumix-")
+    folder = f"{shared.rstrip('/')}/chunk-stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
+    stream.chunk_stream(spark, source.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), f"{folder}/out", f"{folder}/checkpoint", CAP)
+    return spark.read.schema("doc_id long, chunk_index long, text string").parquet(f"{folder}/out")
+
+
+# Formulas and spans.
+def _math(spark, sf_dir):
+    return views.frame(spark, sf_dir, "math_docs").select("doc_id", "text")
+
+
+@_add("q_math_spans")
+def _formulas(spark, sf_dir):
+    return spans.with_formulas(_math(spark, sf_dir)).select("doc_id", "formulas")
+
+
+@_add("q_math_restore")
+def _math_restore(spark, sf_dir):
+    return spans.restored(spans.protected(_math(spark, sf_dir)), "protected").select("doc_id", "protected", "restored", "missing", "unexpected")
+
+
+@_add("q_math_stable")
+def _stable(spark, sf_dir):
+    return spans.stable_layout(_math(spark, sf_dir)).select("doc_id", "stable")
+
+
+@_add("q_spans")
+def _spans(spark, sf_dir):
+    return spans.span_rows(spans.with_spans(_math(spark, sf_dir)))
+
+
+@_add("q_span_counts")
+def _span_counts(spark, sf_dir):
+    own = spans.with_spans(_math(spark, sf_dir))
+    return own.select("doc_id", F.size(F.filter("spans", lambda s: s["translatable"])).alias("n_translatable"), F.size(F.filter("spans", lambda s: ~s["translatable"])).alias("n_passthrough"), F.aggregate("spans", F.lit(0), lambda a, s: a + F.regexp_count(s["text"], F.lit(T.CONTROL))).alias("n_control"))
+
+
+@_add("q_translate_spans")
+def _translate_spans(spark, sf_dir):
+    return translate.documents(spans.span_rows(spans.with_spans(_math(spark, sf_dir))))
+
+
+@_add("q_placeholder_recovery")
+def _recovery(spark, sf_dir):
+    lossy = lambda x: F.when((F.col("doc_id") % 3 == 0) & ~F.startswith(x, F.lit("Critical")), F.regexp_replace(x, r"\[\[MATH_\d+\]\]", "")).otherwise(F.regexp_replace(x, r"(?s)^Critical.*?\n\n", ""))
+    return translate.keeping_formulas(_math(spark, sf_dir), lossy).select("doc_id", "translated", "outcome")
+
+
+@_add("q_quality_rounds")
+def _rounds(spark, sf_dir):
+    shorter = lambda x: F.concat(F.lit("译文"), F.regexp_replace(x, r"(?s)^.*\n\n|[a-z]{2,}", ""))
+    return translate.improved(views.frame(spark, sf_dir, "translations"), shorter, shorter).select("doc_id", "translated")
+
+
+# Cache.
+_MODEL, _PRINT = "model-a", "0123456789abcdef"
+_KEYED = f"(SELECT doc_id, coalesce(text, '') AS text, {T.cache_key(DUCK, f'{chr(39)}{_MODEL}{chr(39)}', f'{chr(39)}{_PRINT}{chr(39)}', 'coalesce(text, ' + chr(39) * 2 + ')')} AS key FROM documents)"
+_CACHE = f"(SELECT key, min(CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('[ZH] ', text) END) AS value FROM {_KEYED} WHERE doc_id % 2 = 0 GROUP BY key)"
+
+
+def _keyed(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = translate.with_keys(docs, _MODEL, _PRINT)
+    cache = own.where("doc_id % 2 = 0").groupBy("key").agg(F.min(F.when(F.col("doc_id") % 4 == 0, "").otherwise(markdown.fake(F.col("text")))).alias("value"))
+    return own, cache
+
+
+@_add("q_cache_hits", f"SELECT doc_id, k.key, value, value IS NOT NULL AS hit FROM {_KEYED} k LEFT JOIN {_CACHE} c ON k.key = c.key")
+def _hits(spark, sf_dir):
+    own, cache = _keyed(spark, sf_dir)
+    return translate.cached(own, cache).select("doc_id", "key", "value", "hit")
+
+
+@_add("q_cache_misses", f"SELECT key, min(text) AS text FROM {_KEYED} WHERE key NOT IN (SELECT key FROM {_CACHE}) GROUP BY key")
+def _misses(spark, sf_dir):
+    return translate.misses(*_keyed(spark, sf_dir))
+
+
+@_add("q_cache_fill", f"SELECT key, value FROM {_CACHE} UNION ALL SELECT key, concat('[ZH] ', min(text)) FROM {_KEYED} WHERE key NOT IN (SELECT key FROM {_CACHE}) GROUP BY key")
+def _fill(spark, sf_dir):
+    return translate.fill_cache(*_keyed(spark, sf_dir), markdown.fake)
+
+
+# Settings and jobs.
+_ENV = ("VELLUMIX_LLM_MODEL=a", "# VELLUMIX_LLM_MODEL=b", "export VELLUMIX_LLM_MODEL=c", "OTHER=1", "OTHER=2", " VELLUMIX_WEB_PORT = 1", "no entry", "VELLUMIX_LLM_MODEL=d", "VELLUMIX_WEB_PORT=2", "VELLUMIX_JOBS_DIR=x")
+_KEYS = ["VELLUMIX_LLM_MODEL", "VELLUMIX_WEB_PORT", "VELLUMIX_JOBS_DIR"]
+_ENV_ROWS = ", ".join(f"('.env', {n}, '{line}')" for n, line in enumerate(_ENV, 1))
+
+
+@_add(
+    "q_env_duplicates",
+    f"""SELECT file, key, list_sort(list(n)) AS line_nos FROM (SELECT file, n, trim(split_part(e, '=', 1)) AS key FROM (SELECT file, n, regexp_replace(trim(line), '^export ', '') AS e FROM (VALUES {_ENV_ROWS}) t(file, n, line)) WHERE NOT starts_with(trim(e), '#') AND contains(e, '='))
+WHERE key IN ({', '.join(f"'{k}'" for k in _KEYS)}) GROUP BY ALL HAVING count(*) > 1""",
+)
+def _env(spark, sf_dir):
+    return settings.duplicate_keys(spark.createDataFrame([(".env", n, line) for n, line in enumerate(_ENV, 1)], "file string, line_no int, line string"), _KEYS)
+
+
+_CODES = ", ".join(f"('{e.__name__}', {n})" for e, n in (*errors.EXIT_CODES, (errors.PipelineError, 1)))
+
+
+@_add("q_exit_codes", f"SELECT kind, exit_code FROM (VALUES {_CODES}) t(kind, exit_code)")
+def _codes(spark, sf_dir):
+    kinds = [(e.__name__,) for e, _ in errors.EXIT_CODES] + [("PipelineError",)]
+    return jobs.with_exit_codes(spark.createDataFrame(kinds, "kind string"))
+
+
+@_add(
+    "q_job_state",
+    f"""SELECT job_id, arg_max(status, seq) AS status, arg_max(stage, seq) FILTER (stage IS NOT NULL) AS stage, (arg_max({{'e': error}}, seq) FILTER (sets_error)).e AS error, count(*) AS n_events
+FROM {views.sql('job_events')} GROUP BY job_id""",
+)
+def _state(spark, sf_dir):
+    return jobs.latest(views.frame(spark, sf_dir, "job_events"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The flagship query: Markdown documents chunked, protected, translated and put together."""
+    out = markdown.translated(views.frame(spark, sf_dir, "md_docs"))
+    return out.select("doc_id", "n_chunks", F.length("text").cast("long").alias("translated_chars"))
+
+
+_add("flagship", _translate_sql("concat('[ZH] ', protected)").replace(f"> {CAP})", f"> {markdown.CHUNK_CHARS})") + " SELECT doc_id, count(*) AS n_chunks, CAST(length(coalesce(string_agg(translated, chr(10) || chr(10) ORDER BY chunk_index) FILTER (translated <> ''), '')) AS BIGINT) AS translated_chars FROM c GROUP BY doc_id")(entry)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
