@@ -42,7 +42,7 @@ from vellumix.llm import _common
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, PICKS = 24, 3
-ROUNDS = 3  # of dropping texts without possible links; any number is right
+ROUNDS = 3  # of dropping texts without possible links; any number from 1 is right
 _MOST = np.uint64((1 << 64) - 1)
 
 
@@ -358,14 +358,14 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, tried: Data
     rows, path = _common.materialize(rows, "shingles")
     needed = F.col("n") - F.floor(F.lit(1 - SIMILARITY) * F.col("n") + F.lit(1e-9))
     for _ in range(ROUNDS):
-        shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-        able = rows.join(shared, "h", "left_semi").groupBy("t", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= needed).select("t")
-        rows, next_path = _common.materialize(rows.join(able, "t", "left_semi"), "shingles")
+        shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high").select("h", "df")
+        own = rows.select("t", "c", "n", "h").join(shared, "h").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("t")))
+        rows, next_path = _common.materialize(own.where(F.col("shared") >= needed), "shingles")
         _common.discard(rows.sparkSession, path)
         path = next_path
-    frequency = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # In the order of frequency, shingles of one class only come first; no pair of classes has them.
     rarest = Window.partitionBy("t").orderBy("df", "h")
-    prefix = rows.join(frequency, "h").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - needed + 1)
+    prefix = rows.withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("shared") - needed + 1)
     prefix, prefix_path = _common.materialize(prefix.select("t", "c", "n", "h"), "prefixes")
     main = prefix.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("classes"))
     main = main.where("classes > 1").select("h", F.col("top.c").alias("main"))
