@@ -29,7 +29,7 @@ def _token(d: Dialect, label: str, n: str) -> str:
 def _marked(d: Dialect, label: str, pattern: str, x: str) -> str:
     """Every match between two marks. RE2 has no look-around: the check captures the neighbours instead."""
     if d is DUCK and label in ("LINK", "INLINE_MATH"):
-        before, own, after = ("(^|[^!\x01])", r"(\[[^\]]+\]\([^)]+\))", "()") if label == "LINK" else ("(^|[^$\x01])", r"(\$[^$\n]+\$)", "($|[^$\x01])")
+        before, own, after = ("(^|[^!\x01])", r"(\[[^\]\x01]+\]\([^)\x01]+\))", "()") if label == "LINK" else ("(^|[^$\x01])", r"(\$[^$\n\x01]+\$)", "($|[^$\x01])")
         for _ in range(2):
             x = d.sub(x, before + own + after, f"\\1{MARK}\\2{MARK}\\3")
         return x

@@ -20,6 +20,7 @@ def column(rule, *operands: str, **options) -> Column:
 # Characters that count as white space, and those that end a line.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+LAST_END = "\n\\z"
 # Extraction artefacts and what they are mapped to.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 PRIVATE_PIECES = (("\uf8f1", "{"), ("\uf8f2", "|"), ("\uf8f3", "}"), ("\uf8f4", "|"))
@@ -53,7 +54,8 @@ def blank(d: Dialect, x: str) -> str:
 
 def lines(d: Dialect, x: str) -> str:
     """The lines of a text, without an empty one after the last line end."""
-    return f"CASE WHEN {x} = '' THEN {d.keep(d.split(x, 'x'), 'e', 'false')} ELSE {d.split(d.sub(d.sub(x, LINE_ENDS, chr(10)), chr(10) + '$', ''), chr(10))} END"
+    none = d.keep(d.split(x, "x"), "e", "false")
+    return f"CASE WHEN {x} = '' THEN {none} ELSE {d.split(d.sub(d.sub(x, LINE_ENDS, chr(10)), LAST_END, ''), chr(10))} END"
 
 
 def control_count(d: Dialect, x: str) -> str:

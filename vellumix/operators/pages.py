@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumix import shared
 from vellumix.functions import arrays
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK
@@ -115,6 +116,7 @@ def ocr_fallback(pages: DataFrame, recognize, threshold: int = OCR_THRESHOLD, la
             frame["ocr_text"] = [recognize(d, p, language) for d, p in zip(frame.doc_id, frame.page_number, strict=True)]
             yield frame
 
+    shared.ship(pages.sparkSession)
     low = low_text(pages, threshold).select("doc_id", "page_number")
     kinds = ", ".join(f"{c} {k}" for c, k in low.dtypes)
     return with_ocr(pages, low.mapInPandas(run, f"{kinds}, ocr_text string"))

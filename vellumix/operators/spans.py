@@ -12,7 +12,9 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
+from vellumix import shared
 from vellumix.functions import math as M
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK
@@ -154,17 +156,25 @@ def spans(text: str) -> list[tuple[str, bool]]:
     return out or [(text, not is_math(text))]
 
 
-@F.pandas_udf("array<struct<text:string,translatable:boolean>>")
+def _record(**fields: K.DataType) -> K.StructType:
+    return K.StructType([K.StructField(n, k) for n, k in fields.items()])
+
+
+def _listed(**fields: K.DataType) -> K.ArrayType:
+    return K.ArrayType(_record(**fields))
+
+
+@F.pandas_udf(_listed(text=K.StringType(), translatable=K.BooleanType()))
 def _spans(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(lambda t: [{"text": a, "translatable": bool(b)} for a, b in spans(t)])
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string,kind:string>>")
+@F.pandas_udf(_listed(start=K.IntegerType(), end=K.IntegerType(), text=K.StringType(), kind=K.StringType()))
 def _formulas(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(lambda t: [f._asdict() for f in formulas(t)])
 
 
-@F.pandas_udf("struct<protected:string,fragments:array<struct<token:string,value:string>>>")
+@F.pandas_udf(_record(protected=K.StringType(), fragments=_listed(token=K.StringType(), value=K.StringType())))
 def _behind(texts: pd.Series) -> pd.DataFrame:
     made = [behind_tokens(t) for t in texts.fillna("")]
     return pd.DataFrame({"protected": [t for t, _ in made], "fragments": [[{"token": a, "value": b} for a, b in pairs] for _, pairs in made]})
@@ -172,16 +182,19 @@ def _behind(texts: pd.Series) -> pd.DataFrame:
 
 def with_spans(df: DataFrame, text: str = "text", mode: str = "conservative") -> DataFrame:
     """``df`` with ``spans`` of the normalized text."""
+    shared.ship(df.sparkSession)
     return df.withColumn("spans", _spans(T.column(T.normalized, f"coalesce({text}, '')", mode=mode)))
 
 
 def with_formulas(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``formulas`` (start, end, text, kind) of the text; offsets count code points."""
+    shared.ship(df.sparkSession)
     return df.withColumn("formulas", _formulas(F.col(text)))
 
 
 def protected(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``protected`` and ``fragments`` (token, value)."""
+    shared.ship(df.sparkSession)
     return df.withColumn("_both", _behind(F.col(text))).select("*", "_both.*").drop("_both")
 
 

@@ -6,14 +6,12 @@ would leave a rule without work.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumix import errors, settings
+from vellumix import errors, settings, shared
 from vellumix.functions import arrays, protect
 from vellumix.functions import math as M
 from vellumix.functions import text as T
@@ -270,8 +268,7 @@ def _assets(spark, sf_dir):
 @_add("q_stream_chunks")
 def _stream(spark, sf_dir):
     """The chunks of ``documents``, read as a stream of files."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumix-")
-    folder = f"{shared.rstrip('/')}/chunk-stream-{uuid.uuid4().hex}"
+    folder = shared.scratch(spark, "chunk-stream")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     stream.chunk_stream(spark, source.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), f"{folder}/out", f"{folder}/checkpoint", CAP)

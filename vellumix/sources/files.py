@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumix import shared
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK, Dialect
 
@@ -40,7 +41,7 @@ def with_payload_error(df: DataFrame, payload: str = "payload", content_type: st
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the Markdown files under a folder, in the order of their paths."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
@@ -75,6 +76,7 @@ def pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, list[tuple[
                     rows.append((path, n, text, [{"image_id": f"p{n}_img{i}", "ext": ext, "data": data} for i, (ext, data) in enumerate(own, 1) if data], None))
             yield pd.DataFrame(rows, columns=["doc_id", "page_number", "text", "images", "error"]).astype({"page_number": "Int64"})
 
+    shared.ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
@@ -100,6 +102,7 @@ def download(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], attempt
             got = [one(u) for u in frame.url]
             yield pd.DataFrame({"url": frame.url, "content_type": [x[0] for x in got], "payload": [x[1] for x in got], "error": [x[2] for x in got]})
 
+    shared.ship(urls.sparkSession)
     out = urls.select("url").mapInPandas(run, "url string, content_type string, payload binary, error string")
     return out.withColumn("base_name", T.column(T.base_name, "url"))
 
@@ -118,6 +121,7 @@ def convert(files: DataFrame, converter: Callable[[bytes], str]) -> DataFrame:
             got = [one(c) for c in frame.content]
             yield pd.DataFrame({"path": frame.path, "text": [x[0] for x in got], "error": [x[1] for x in got]})
 
+    shared.ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 

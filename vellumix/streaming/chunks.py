@@ -21,5 +21,5 @@ def documents_stream(spark: SparkSession, folder: str, schema: StructType, patte
 
 def job_stream(spark: SparkSession, folder: str, handle, checkpoint: str, files_at_a_time: int = 1) -> None:
     """Jobs for PDF files that arrive in ``folder``: ``handle(batch, number)`` gets them in turn, in order of arrival."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pdf").option("maxFilesPerTrigger", files_at_a_time).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pdf").option("maxFilesPerTrigger", files_at_a_time).load(folder)
     files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
