@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in earlier ones; those of which nothing is left go."""
-    out = line_chunks.remove_repeats(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(line_quality.WORD))
+    out = _common.only(line_chunks.remove_repeats(docs), (F.col("n_removed") == 0) | F.col("text").rlike(line_quality.WORD))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(docs.columns)
 

@@ -2,88 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-_written: dict[str, list[str]] = {}
+from vellumix.shared import discard, materialize, scratch, ship
 
+__all__ = ["discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes"]
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a SparkContext, whatever their PYTHONPATH is."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[2]
-    handle, path = tempfile.mkstemp(suffix=".zip", prefix="vellumix-")
-    os.close(handle)
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted((top / "vellumix").rglob("*.py")):
-            z.write(f, f.relative_to(top))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet a condition on computed columns, which are computed once.
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) a folder of our own is used.
+    Without the column between, the optimizer moves the condition under the projections and
+    computes them there again, one inside the other.
     """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="vellumix-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends (or by ``discard``)."""
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark).rstrip('/')}/vellumix-{app}/{tag}-{uuid.uuid4().hex}"
-    if app not in _written:
-        _written[app] = []
-        atexit.register(_clean, spark, app)
-    _written[app].append(path)
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean(spark: SparkSession, app: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        for path in _written.pop(app, []):
-            discard(spark, path)
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
 
 
 def text_bytes(column: str = "text") -> F.Column:
@@ -101,18 +43,3 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
-
-
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash; remembers a bounded number of words."""
-
-    MOST = 400_000
-
-    def __init__(self, seed: int = 0) -> None:
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(self) < self.MOST:
-            self[word] = h
-        return h

@@ -125,7 +125,7 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
 
     ``n_chars`` follows the text where ``df`` has it.
     """
-    out = measured(df, text).where("kept").withColumn(text, F.array_join(F.transform("_good", lambda x: x["line"]), "\n"))
+    out = _common.only(measured(df, text), F.col("kept")).withColumn(text, F.array_join(F.transform("_good", lambda x: x["line"]), "\n"))
     if "n_chars" in df.columns and text != "n_chars":
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
     return out.select(df.columns)
