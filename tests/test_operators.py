@@ -216,3 +216,43 @@ def test_jobs_arrive_in_turn(spark, tmp_path):
     seen = []
     stream.job_stream(spark, str(tmp_path / "in"), lambda df, n: seen.append(df.count()), str(tmp_path / "cp"))
     assert seen == [1, 1, 1]
+
+
+def test_whole_jobs(spark, tmp_path):
+    from vellumix.plans import pipeline
+
+    rows = [("a.pdf", bytearray(b"%PDF-a")), ("b.pdf", bytearray(b"broken"))]
+
+    def convert(data):
+        if data == b"broken":
+            raise ValueError("unreadable")
+        return "# Title\n\nText"
+
+    log = pipeline.translated_files(spark.createDataFrame(rows, "path string, content binary"), convert, markdown.fake, str(tmp_path / "out"))
+    got = sorted((r.status, r.stage, r.error) for r in jobs.latest(log).collect())
+    assert got == [("failed", "marker", "unreadable"), ("succeeded", "done", None)]
+    assert [p.read_text() for p in (tmp_path / "out").rglob("part-*.txt")] == ["[ZH] # Title\n\nText\n"]
+    urls = spark.createDataFrame([("http://x/a.pdf",), ("ftp://x",), ("http://x/gone.pdf",)], "url string")
+
+    def fetch(url):
+        if "gone" in url:
+            raise OSError("404")
+        return "application/pdf", b"%PDF-a"
+
+    log = pipeline.translated_urls(urls, fetch, convert, markdown.fake, str(tmp_path / "out2"), 1, 0.0)
+    assert sorted((r.status, r.stage) for r in jobs.latest(log).collect()) == [("failed", "downloading"), ("failed", "downloading"), ("succeeded", "done")]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from vellumix.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.md").write_text("# a\n\nb")
+    assert main(["translate-md", "--in", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--env", str(tmp_path / "none"), "--fake"], spark) == 0
+    assert [p.read_text() for p in (tmp_path / "out").rglob("part-*.txt")] == ["[ZH] # a\n\nb\n"]
+    assert main(["translate-md", "--in", "x", "--out", "y", "--env", str(tmp_path / "none")], spark) == 2
+    (tmp_path / "in" / "x.pdf").write_bytes(b"%PDF-")
+    (tmp_path / "env").write_text("VELLUMIX_CONVERTER_COMMAND=/no/such/command\n")
+    assert main(["run", "--in", str(tmp_path / "in"), "--out", str(tmp_path / "o"), "--env", str(tmp_path / "env"), "--fake"], spark) == 4
+    with pytest.raises(SystemExit):
+        main(["run", "--out", "x"], spark)
