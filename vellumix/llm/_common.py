@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellumix.shared import discard, materialize, scratch, ship
 
-__all__ = ["discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes"]
+__all__ = ["apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes"]
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
@@ -28,6 +28,15 @@ def only(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out anew.
+
+    For an aggregate that is joined back by its key: what it is joined with then has a shuffle of
+    the join's own, of which Spark splits the partition of a hot key.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def text_bytes(column: str = "text") -> F.Column:
     """The UTF-8 bytes of a text column; null gives no bytes."""
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))

@@ -306,12 +306,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
 
     rows = distinct.select(F.explode("keys").alias("key"), F.col("digest").alias("v"), "n")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members, members_path = _common.materialize(rows.join(sizes, "key"), "buckets")
+    members, members_path = _common.materialize(rows.join(_common.apart(sizes), "key"), "buckets")
     popularity = members.groupBy("v").agg(F.sum("size").alias("pop"))
     buckets, buckets_path = _common.materialize(members.drop("size").join(popularity, "v"), "buckets")
     _common.discard(spark, members_path)
     leaders = buckets.groupBy("key").agg(F.max(F.struct("pop", "v", "n")).alias("top")).select("key", F.col("top.v").alias("a"), F.col("top.n").alias("m"))
-    pairs = buckets.join(leaders, "key").where((F.col("a") != F.col("v")) & _in_reach("m", "n")).select("a", F.col("v").alias("b")).distinct()
+    pairs = buckets.join(_common.apart(leaders), "key").where((F.col("a") != F.col("v")) & _in_reach("m", "n")).select("a", F.col("v").alias("b")).distinct()
     pairs, pairs_path = _common.materialize(pairs, "pairs")
 
     texts = _texts(docs, id_column, text, distinct.join(buckets.select(F.col("v").alias("digest")).distinct(), "digest").select("digest", "least"))
@@ -335,7 +335,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     # A null id sorts after all others here.
     first = named.groupBy("c").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("first"))
     result = named.join(first, "c").select("digest", F.col("first.least").alias("class_id"), F.col("first.digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return sketched.select("doc_id", "digest").join(result, "digest").select("doc_id", "digest", "class_id", "class_digest", "n_links", "n_copies")
+    return sketched.select("doc_id", "digest").join(_common.apart(result), "digest").select("doc_id", "digest", "class_id", "class_digest", "n_links", "n_copies")
 
 
 def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -345,7 +345,7 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, tried: Data
     """
     found = buckets.join(labels, "v", "left").withColumn("c", F.xxhash64(F.coalesce("c", "v")))
     mixed = found.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_ = found.join(mixed, "key", "left_semi").select("v", "c", "n").distinct().withColumn("t", F.monotonically_increasing_id())
+    open_ = found.join(_common.apart(mixed), "key", "left_semi").select("v", "c", "n").distinct().withColumn("t", F.monotonically_increasing_id())
     open_, open_path = _common.materialize(open_, "open")
 
     def spread(batches):
@@ -359,7 +359,7 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, tried: Data
     needed = F.col("n") - F.floor(F.lit(1 - SIMILARITY) * F.col("n") + F.lit(1e-9))
     for _ in range(ROUNDS):
         shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high").select("h", "df")
-        own = rows.select("t", "c", "n", "h").join(shared, "h").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("t")))
+        own = rows.select("t", "c", "n", "h").join(_common.apart(shared), "h").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("t")))
         rows, next_path = _common.materialize(own.where(F.col("shared") >= needed), "shingles")
         _common.discard(rows.sparkSession, path)
         path = next_path
@@ -369,6 +369,7 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, tried: Data
     prefix, prefix_path = _common.materialize(prefix.select("t", "c", "n", "h"), "prefixes")
     main = prefix.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("classes"))
     main = main.where("classes > 1").select("h", F.col("top.c").alias("main"))
+    main, main_path = _common.materialize(main, "main")
     marked = prefix.join(main, "h")
     minor = marked.where(F.col("c") != F.col("main")).select("h", F.col("t").alias("ta"), F.col("c").alias("ca"), F.col("n").alias("m"))
     other = marked.select("h", F.col("t").alias("tb"), F.col("c").alias("cb"), "n", (F.col("c") == F.col("main")).alias("is_main"))
@@ -378,7 +379,7 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, tried: Data
     names = open_.select("t", "v")
     pairs = numbers.join(names.select(F.col("t").alias("ta"), F.col("v").alias("a")), "ta").join(names.select(F.col("t").alias("tb"), F.col("v").alias("b")), "tb").select("a", "b")
     both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both, ["a", "b"], "left_anti"), [open_path, path, prefix_path]
+    return pairs.join(both, ["a", "b"], "left_anti"), [open_path, path, prefix_path, main_path]
 
 
 def _texts(docs: DataFrame, id_column: str, text: str, wanted: DataFrame) -> DataFrame:
