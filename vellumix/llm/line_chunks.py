@@ -89,7 +89,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     places = chunks.select("_id", "_text_hash", F.inline_outer("_chunks")).where("h is not null")
     place = F.struct("_id", "_text_hash", "a")
     repeated = places.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-    flagged = places.join(repeated, "h").select("_id", "_text_hash", "a", "b", "h", (place != F.col("_first")).alias("extra"))
+    flagged = places.join(_common.apart(repeated), "h").select("_id", "_text_hash", "a", "b", "h", (place != F.col("_first")).alias("extra"))
 
     found, _ = _common.materialize(_with_lists(own, _lists(flagged)), "line-chunks")
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
@@ -98,7 +98,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     different = passages.groupBy("h", "_bytes").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
     if not different.groupBy("h").count().where("count > 1").isEmpty():
         # Some hash stands for several passages: let every passage have its own first place.
-        exact = passages.drop("extra").join(different, ["h", "_bytes"]).select("_id", "_text_hash", "a", "b", "h", (place != F.col("_first")).alias("extra"))
+        exact = passages.drop("extra").join(_common.apart(different), ["h", "_bytes"]).select("_id", "_text_hash", "a", "b", "h", (place != F.col("_first")).alias("extra"))
         found = _with_lists(found.drop("_places"), _lists(exact))
     extra = F.filter("_places", lambda p: p["extra"])
     out = found.withColumn("_lines", lines).withColumn("_gone", F.array_distinct(F.flatten(F.transform(extra, lambda p: F.sequence(p["a"], p["b"] - 1)))))
