@@ -256,3 +256,48 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["run", "--in", str(tmp_path / "in"), "--out", str(tmp_path / "o"), "--env", str(tmp_path / "env"), "--fake"], spark) == 4
     with pytest.raises(SystemExit):
         main(["run", "--out", "x"], spark)
+
+
+def test_manifests(spark, tmp_path):
+    rows = [("a", "failed", "marker", "why"), ("b", "succeeded", "done", None)]
+    own = spark.createDataFrame(rows, "job_id string, status string, stage string, error string")
+    jobs.write_manifests(own, str(tmp_path / "jobs"))
+    jobs.write_manifests(own.where("job_id = 'a'").withColumn("error", F.lit(None).cast("string")), str(tmp_path / "jobs"))
+    for p in (tmp_path / "jobs").rglob("part-*.txt"):
+        p.rename(p.with_suffix(".json"))
+    got = sorted((r.job_id, r.status, r.error, r.source_url) for r in jobs.read_manifests(spark, str(tmp_path / "jobs")).collect())
+    assert got == [("a", "failed", None, None), ("b", "succeeded", None, None)]
+
+
+def test_a_converter_command(tmp_path):
+    import sys
+
+    from vellumix.sources import services
+
+    assert services.resolve_command("python3") and services.resolve_command("no-such-command") == "no-such-command"
+    script = tmp_path / "convert"
+    script.write_text(f"#!{sys.executable}\nimport pathlib, sys\nsource = pathlib.Path(sys.argv[1]).read_bytes()\nif source == b'bad': sys.exit('broken file')\nout = pathlib.Path(sys.argv[3]) / 'a'\nout.mkdir(parents=True)\n(out / 'x.md').write_text('# ' + source.decode())\n")
+    script.chmod(0o755)
+    convert = services.command_converter(str(script))
+    assert convert(b"good") == "# good"
+    with pytest.raises(errors.ConverterError, match="broken file"):
+        convert(b"bad")
+
+
+def test_a_chat_service(monkeypatch):
+    import io
+    import json
+
+    from vellumix.sources import services
+
+    asked = []
+
+    def answer(request, timeout):
+        asked.append((request.full_url, json.loads(request.data)["messages"][1]["content"]))
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": "译文"}}]}).encode())
+
+    monkeypatch.setattr(services.urllib.request, "urlopen", answer)
+    own = settings.Settings(llm_api_key="k", llm_base_url="http://m/v1/", llm_model="m")
+    assert services.chat(own)("text") == "译文" and asked == [("http://m/v1/chat/completions", "text")]
+    with pytest.raises(errors.ConfigError):
+        services.chat(settings.Settings())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumix.errors import EXIT_CODES
@@ -11,6 +11,21 @@ STATUSES = ("queued", "running", "succeeded", "failed")
 STAGES = ("queued", "starting", "downloading", "input", "marker", "translate", "done")
 
 
+MANIFEST = "job_id string, status string, stage string, error string, input_pdf string, marker_markdown string, translated_markdown string, output_markdown string, submitted_at string, source_url string"
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Job manifests (one JSON object a file) under a folder; keys that a file lacks are null."""
+    return spark.read.schema(MANIFEST).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+
+
+def write_manifests(jobs: DataFrame, path: str) -> None:
+    """One JSON object for each job, in a folder of its own, through Spark's commit protocol; an earlier one is replaced."""
+    columns = [c for c in jobs.columns if c != "job_id"]
+    whole = jobs.select(F.col("job_id").alias("job"), F.to_json(F.struct("job_id", *columns)).alias("value"))
+    whole.write.partitionBy("job").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+
+
 def latest(events: DataFrame) -> DataFrame:
     """(job_id, status, stage, error, n_events) from (job_id, seq, status, stage, error, sets_error).
 

@@ -180,6 +180,11 @@ def _titles(spark, sf_dir):
     return pages.titles(_as_pages(spark, sf_dir))
 
 
+@_add("q_page_count", f"SELECT doc_id, count(*) AS n_pages FROM {views.sql('conv_pages')} GROUP BY doc_id")
+def _page_count(spark, sf_dir):
+    return _as_pages(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
 def _doc_pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).cast("long").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
 

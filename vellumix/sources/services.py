@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import shutil
 import subprocess
+import sys
 import tempfile
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from vellumix.errors import ConfigError, ConverterError
@@ -43,6 +45,12 @@ def chat(settings: Settings, timeout_s: float = 60.0) -> Callable[[str], str]:
     return call
 
 
+def resolve_command(command: str, folders: Iterable[str] = ()) -> str:
+    """The program behind a name: on the search path, as a path, beside the interpreter, in ``folders``; else the name itself."""
+    places = [command, *(str(Path(folder, command)) for folder in (Path(sys.executable).parent, *folders))]
+    return next((found for place in dict.fromkeys(places) if (found := shutil.which(place))), command)
+
+
 def command_converter(command: str, force_ocr: bool = False) -> Callable[[bytes], str]:
     """A converter that runs ``command`` on each PDF, in a folder of its own that goes afterwards."""
 
@@ -50,7 +58,7 @@ def command_converter(command: str, force_ocr: bool = False) -> Callable[[bytes]
         with tempfile.TemporaryDirectory() as folder:
             source, out = Path(folder, "source.pdf"), Path(folder, "out")
             source.write_bytes(content)
-            args = [command, str(source), "--output_dir", str(out), "--output_format", "markdown", *["--force_ocr"] * force_ocr]
+            args = [resolve_command(command), str(source), "--output_dir", str(out), "--output_format", "markdown", *["--force_ocr"] * force_ocr]
             try:
                 done = subprocess.run(args, capture_output=True, text=True, check=False)  # noqa: S603
             except OSError as e:
