@@ -45,7 +45,7 @@ def test_too_long_is_refused():
         packing.plan({5: 1}, 4)
 
 
-@settings(max_examples=80, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aZé́̀ \n\t\x1c \xa0'sx9ß漢😀<|endoftext|>-.!"), max_size=40), min_size=1, max_size=4))
 def test_words_encode_as_whole_texts(texts):
     global ENCODER

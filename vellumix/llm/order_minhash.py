@@ -226,7 +226,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     _common.ship(docs.sparkSession)
 
     def run(batches):
-        for batch in _common.slices(batches, "data", 6 << 20):
+        for batch in _common.slices(batches, "data", 3 << 20):
             hashes, n = shingles(batch.column("data").to_pylist())
             keys = sketches(labelled(hashes, n), n)
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, SAMPLES, 0))]).astype(np.int32)
@@ -271,9 +271,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         name, leader = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _common.slices(batches, "y", 4 << 20):
             keep = []
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 if a != name:

@@ -47,11 +47,12 @@ class WordIds:
     """A text's ids as little-endian 32-bit bytes, through the ids of its words.
 
     For vocabularies whose pre-tokenizer never joins text across a space or line feed: then a
-    text's ids are its words' ids one after another, and a word is encoded once a batch.
+    text's ids are its words' ids one after another, and a word is encoded once a batch. They also
+    have to lower-case, and to end words before sentence marks (see ``core``).
     Remembers a bounded number of words, from one task of a worker to the next.
     """
 
-    MOST, TOGETHER = 1_000_000, 20_000
+    MOST, TOGETHER = 600_000, 20_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,17 +67,36 @@ class WordIds:
         """This process's encoder for a file."""
         return cls(path)
 
+    @staticmethod
+    def core(word: str) -> tuple[str, str]:
+        """A word as it is looked up: lower-cased and without a mark at its end, and that mark.
+
+        The tokenizer lower-cases as well, and its words end before a mark. Only for characters that
+        lower-case and compose alike everywhere, and not where it may be a special token's text.
+        """
+        if "<" in word or not (word.isascii() or max(word) <= "\xff"):
+            return word, ""
+        if word[-1:] in (".", ",") and word[-2:-1].isalpha():
+            return word[:-1].lower(), word[-1]
+        return word.lower(), ""
+
     def encode(self, texts: list[str]) -> list[bytes]:
         each = [t.replace("\n", " ").split(" ") for t in texts]
-        used = set().union(*each)
-        new = list(used.difference(self.known))
-        if len(self.known) + len(new) > self.MOST:
-            self.known = {w: ids for w, ids in self.known.items() if w in used} | {"": b""}
+        used = set().union(*each, (".", ","))
+        missing = used.difference(self.known)
+        if len(self.known) + len(missing) > self.MOST:
+            self.known = {w: self.known[w] for w in used.difference(missing)} | {"": b""}
+        parts = {w: self.core(w) for w in missing}
+        new = list({c for c, _ in parts.values()}.difference(self.known))
+        known = self.known
         for at in range(0, len(new), self.TOGETHER):
-            part = new[at : at + self.TOGETHER]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in each]
+            some = new[at : at + self.TOGETHER]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        for w, (c, mark) in parts.items():
+            if mark or w != c:
+                known[w] = known[c] + known[mark]
+        return [b"".join(map(known.__getitem__, words)) for words in each]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long, ids binary"
