@@ -226,7 +226,7 @@ def train(docs: DataFrame, text: str = "text", segments: int | None = None, filt
     """The model as a table in the shared folder (a row a segment) and its number of segments."""
     _common.ship(docs.sparkSession)
     source = docs.select(_common.text_bytes(text).alias("data"))
-    n_segments = 1 << ((segments or max(32, source.rdd.getNumPartitions())) - 1).bit_length()
+    n_segments = 1 << ((segments or max(32, 2 * source.rdd.getNumPartitions())) - 1).bit_length()
     share = max(64, filter_bytes // n_segments)
 
     def count(batches):
