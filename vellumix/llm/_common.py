@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellumix.shared import discard, materialize, scratch, ship
 
-__all__ = ["apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes"]
+__all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes"]
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
@@ -42,8 +42,17 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` has about ``most`` bytes in each (one row at least)."""
+#: What an operator keeps in a worker from task to task.
+KEPT: dict = {}
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that ``column`` has about ``most`` bytes in each (one row at least).
+
+    What another operator has kept in this worker is let go, unless ``keep``.
+    """
+    if not keep:
+        KEPT.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -29,7 +29,7 @@ from vellumix.llm import _common
 
 TERMS = 4096  # half for words, half for shapes
 RANK, NEIGHBOURS, SAMPLE, POWER = 48, 25, 4096, 8
-BLOCK = 1024
+BLOCK = 256
 KEEP = 0.7
 
 

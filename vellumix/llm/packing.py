@@ -17,7 +17,6 @@ refused.
 
 from __future__ import annotations
 
-import functools
 import os
 import sys
 import zlib
@@ -62,10 +61,9 @@ class WordIds:
         self.known: dict[str, bytes] = {"": b""}
 
     @classmethod
-    @functools.cache
     def of(cls, path: str) -> WordIds:
-        """This process's encoder for a file."""
-        return cls(path)
+        """This worker's encoder for a file."""
+        return _common.KEPT.get(path) or _common.KEPT.setdefault(path, cls(path))
 
     @staticmethod
     def core(word: str) -> tuple[str, str]:
@@ -114,7 +112,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path:
 
     def run(batches):
         encoder, number = WordIds.of(path), Counter()
-        for batch in _common.slices(batches, "data", 16 << 20):
+        for batch in _common.slices(batches, "data", 16 << 20, keep=True):
             rows = []
             [task] = set(batch.column("task").to_pylist())
             ids = encoder.encode([t.decode(errors="replace") for t in batch.column("data").to_pylist()])
