@@ -50,14 +50,15 @@ class WordIds:
     Remembers a bounded number of words, from one task of a worker to the next.
     """
 
-    MOST, TOGETHER = 1_000_000, 20_000
+    MOST, TOGETHER = 800_000, 20_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -67,14 +68,17 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         each = [t.replace("\n", " ").split(" ") for t in texts]
         used = set().union(*each)
-        new = list(used.difference(self.known))
-        if len(self.known) + len(new) > self.MOST:
-            self.known = {w: ids for w, ids in self.known.items() if w in used} | {"": b""}
+        missing = used.difference(self.young)
+        self.young.update((w, self.old[w]) for w in missing.intersection(self.old))
+        new = list(missing.difference(self.young))
         for at in range(0, len(new), self.TOGETHER):
             part = new[at : at + self.TOGETHER]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in each]
+                self.young[w] = array("I", e.ids).tobytes()
+        out = [b"".join(map(self.young.__getitem__, words)) for words in each]
+        if len(self.young) > self.MOST // 2:
+            self.old, self.young = self.young, {"": b""}  # what isn't used again soon goes
+        return out
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long, ids binary"
@@ -92,7 +96,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path:
 
     def run(batches):
         encoder, number = WordIds.of(path), Counter()
-        for batch in _common.slices(batches, "data", 16 << 20, keep=True):
+        for batch in _common.slices(batches, "data", 6 << 20, keep=True):
             rows = []
             [task] = set(batch.column("task").to_pylist())
             ids = encoder.encode([t.decode(errors="replace") for t in batch.column("data").to_pylist()])
