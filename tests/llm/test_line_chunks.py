@@ -81,3 +81,26 @@ def test_empty_table_and_no_python(spark):
     df = frame(spark, corpus())
     assert q.remove_repeats(df.limit(0)).count() == 0
     assert "Python" not in q.chunked(df)._jdf.queryExecution().toString()
+
+
+def test_planted_passages_of_1_to_10_lines_go_whole(spark):
+    words = lambda kind, n: " ".join(f"{kind}w{k}" for k in range(n))
+    passages = {n: [words(f"p{n}l{k}", 51 if n == 1 else 12) for k in range(n)] for n in range(1, 11)}
+    rows, fresh = [], iter(range(10**6))
+    for copy in range(6):
+        for n, passage in passages.items():
+            own = [words(f"own{next(fresh)}", 60) for _ in range(6)]
+            at = (copy + n) % 7  # at either end and between
+            rows.append((100 * copy + n, "\n".join(own[:at] + passage + own[at:]), "x"))
+    got = {r.doc_id: r for r in q.remove_repeats(frame(spark, rows)).collect()}
+    for i, text, _ in rows:
+        passage = passages[i % 100]
+        assert got[i].text.split("\n") == [x for x in text.split("\n") if i < 100 or x not in passage]
+        assert got[i].n_removed == (0 if i < 100 else len(passage))
+
+
+def test_long_lines_alone_and_pairs_across_blank_lines_go_but_shorter_lines_alone_stay(spark):
+    long = " ".join(f"w{k}" for k in range(51))
+    rows = [(1, f"first\n{long[:-4]}\nfirst too"), (2, f"second\n{long[:-4]}\nsecond too"), (3, long), (4, "own\n" + long), (5, "a b\n\nc d"), (6, "own\na b\n\nc d\n\nown too")]
+    got = {r.doc_id: r.text for r in q.remove_repeats(frame(spark, [(*r, "x") for r in rows])).collect()}
+    assert [got[i] for i in range(1, 7)] == [rows[0][1], rows[1][1], long, "own", "a b\n\nc d", "own\n\nown too"]

@@ -2,9 +2,13 @@
 
 A hash rolls over each two neighbouring line hashes; a chunk begins at a line where it is a local
 minimum. That depends on a few lines around the place and on nothing before them, so inserted
-lines don't move the boundaries of a passage further down. Chunks have two lines at least (but for
-texts of one line, which are left alone). ``FAMILIES`` rolling hashes with different keys cut each
-text in as many ways, since a passage cut badly by one is often cut well by another.
+lines don't move the boundaries of a passage further down. These chunks have two lines at least.
+``FAMILIES`` rolling hashes with different keys cut each text in as many ways.
+
+A passage of a few lines has often no such chunk, and its edges lie outside of any. So each two
+successive lines with words (and the blank lines between) are a chunk too, and each line of over
+``LONG_WORDS`` words: a repeated passage of two lines or more is covered from its first to its last
+line, however long, as is a long line alone. A single line of fewer words stays.
 
 A chunk whose hash occurs more than once stays at its first place, by (id, text hash, line), and
 its other places lose their lines; before that all places' bytes are compared. Every removed line
@@ -28,6 +32,10 @@ from pyspark.sql import functions as F
 from vellumix.llm import _common
 
 FAMILIES = 2
+LONG_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]"
+#: More than LONG_WORDS words; possessive, so that it never goes back.
+LONG = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % LONG_WORDS
 
 
 def _rolled(family: int) -> Column:
@@ -43,7 +51,7 @@ def _local_minima(rolled: str) -> Column:
 
 
 def chunked(df: DataFrame, text: str = "text", families: int = FAMILIES, modulus: int | None = None) -> DataFrame:
-    """``df`` with ``_lines`` and ``_chunks``: (first line, line after the last, hash) of every chunk of two lines and more.
+    """``df`` with ``_lines`` and ``_chunks``: (first line, line after the last, hash) of every chunk, pair of lines and long line.
 
     ``modulus`` makes hashes collide, for tests.
     """
@@ -60,8 +68,13 @@ def chunked(df: DataFrame, text: str = "text", families: int = FAMILIES, modulus
         return made
 
     each = [F.zip_with(F.concat(F.array(F.lit(0)), f"_cuts{f}"), F.concat(f"_cuts{f}", F.array(F.size("_lines"))), chunk(f)) for f in range(families)]
-    out = out.withColumn("_chunks", F.filter(F.concat(*each), lambda c: c["b"] - c["a"] >= 2))
-    return out.drop("_hashes", *[f"_{name}{f}" for f in range(families) for name in ("rolled", "cuts")])
+    out = out.withColumn("_worded", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD)))
+    pairs = F.greatest(F.size("_worded") - 1, F.lit(0))
+    runs = F.zip_with(F.slice("_worded", F.lit(1), pairs), F.slice("_worded", F.lit(2), pairs), lambda a, z: chunk(families)(a, z + 1))
+    long = F.filter("_worded", lambda i: (F.length(F.get("_lines", i)) > 2 * LONG_WORDS) & F.get("_lines", i).rlike(LONG))
+    alone = F.transform(long, lambda i: chunk(families + 1)(i, i + 1))
+    out = out.withColumn("_chunks", F.concat(F.filter(F.concat(*each), lambda c: c["b"] - c["a"] >= 2), runs, alone))
+    return out.drop("_hashes", "_worded", *[f"_{name}{f}" for f in range(families) for name in ("rolled", "cuts")])
 
 
 def _lists(places: DataFrame) -> DataFrame:
