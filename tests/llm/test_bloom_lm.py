@@ -95,3 +95,23 @@ def test_probabilities_sum_to_about_one():
     for before in (0, 1, 2):
         every.before_ids = np.full(len(every.ids), before)
         assert 0.6 < (10 ** b.scores(every, f, int(words[1].sum()), len(words[0]))).sum() < 1.4
+
+
+def test_rare_pairs_stay_however_many_there_are():
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 64, 400_000, dtype=np.uint64))
+    once, none = np.ones(len(h), np.int64), (h[:0], h[:0].astype(np.int64))
+    bits, *cuts = b.build_filter(none, (h, once))
+    assert cuts == [1, 1] and len(bits) * 8 >= 6 * len(h)
+    assert (b.Filter(1, [(0, bits, *cuts)]).level(h, 1) >= 1).all()
+
+
+@pytest.mark.parametrize("vocabulary", [b.MAX_VOCABULARY, 0])
+def test_a_filter_in_parts_gives_the_scores_of_the_whole(spark, vocabulary):
+    docs = frame(spark, corpus())
+    model, segments = b.train(docs.where("not held_out"), segments=8)
+    size = model.agg(F.sum(F.length("filter"))).first()[0]
+    parts = b.filter_parts(model, size // 3)
+    assert len(parts) >= 3 and [s for a, z in parts for s in range(a, z + 1)] == list(range(segments))
+    rows = [sorted((tuple(None if x is None else round(x, 6) for x in r) for r in b.score(docs, model, segments, vocabulary, part_bytes).collect()), key=repr) for part_bytes in (size, size // 3)]
+    assert rows[0] == rows[1]

@@ -6,10 +6,10 @@ by hash range, to the range's segment; a segment sums what it gets. Segments are
 
 Filter: a count c is kept as its level 1 + floor(log2 c); a pair with level q is inserted as (pair,
 1) .. (pair, q), so probing one level after another until one is missing reads the level back
-(false positives only raise it). Every segment has an equal share of ``filter_bytes``; it spends
-up to ``MOST_BITS`` bits on an entry, and where fewer than ``LEAST_BITS`` would be left, the lowest
-levels are cut off and counts under them read as 0. So the broadcast is bounded by
-``filter_bytes`` for any corpus, and rare pairs are what a small filter gives up.
+(false positives only raise it). A segment's table grows with its entries, at 6 to 12 bits each (a
+power of two), and no level is left out, so the whole filter grows with the corpus. Executors get it
+in parts of whole segments, of ``part_bytes`` together (or one segment): if there are more than one,
+the texts are written with their tokens' levels once a part, as each n-gram is in one part only.
 
 Probability: words by their estimated counts with one added, pairs smoothed towards that with
 weight ``PRIOR``. Estimated counts of a pair never exceed those of its words.
@@ -37,7 +37,7 @@ from vellumix.llm import _common
 END = b"\n"  # no word holds it; it ends a text and stands before its first word
 PRIOR = 8.0
 MOST_BITS, LEAST_BITS = 12, 4
-FILTER_BYTES, MAX_VOCABULARY = 64 << 20, 8_000_000
+PART_BYTES, MAX_VOCABULARY = 64 << 20, 8_000_000
 FLUSH = 3_000_000  # tokens counted at a time in a task
 
 
@@ -104,7 +104,7 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
 
 
 _PART = "segment int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary"
-_MODEL = "segment int, n long, v long, words binary, word_counts binary, filter binary, cut_words int, cut_pairs int"
+_MODEL = "segment int, n long, v long, words binary, word_counts binary, filter binary"
 
 
 def _flush(words: list, pairs: list, segments: int) -> pa.RecordBatch:
@@ -151,16 +151,17 @@ def _steps(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 HASHES = 4
 
 
-def build_filter(words: tuple, pairs: tuple, share: int) -> tuple[bytes, int, int]:
-    """(bits, lowest level kept of words, of pairs) for a segment's counts, in at most ``share`` bytes."""
+def build_filter(words: tuple, pairs: tuple, share: int | None = None) -> tuple[bytes, int, int]:
+    """(bits, lowest level kept of words, of pairs) for a segment's counts; only a given ``share`` of bytes has levels cut."""
     hashes = [words[0], _mix(pairs[0] ^ np.uint64(0xA5A5A5A5A5A5A5A5))]
     each = [levels(x[1]) for x in (words, pairs)]
-    cuts, most = [1, 1], 1 << ((share * 8).bit_length() - 1)  # tables have a power of two of bits
+    cuts = [1, 1]
 
     def entries(k: int) -> int:
         return int(np.maximum(each[k] - cuts[k] + 1, 0).sum())
 
-    while entries(0) + entries(1) > most // LEAST_BITS:
+    most = (entries(0) + entries(1)) * MOST_BITS if share is None else 1 << ((share * 8).bit_length() - 1)  # tables have a power of two of bits
+    while share is not None and entries(0) + entries(1) > most // LEAST_BITS:
         k = int(entries(1) >= entries(0))  # the larger kind gives up its lowest level
         cuts[k] += 1
     bits = 64
@@ -213,21 +214,78 @@ class Filter:
         return out
 
 
+def _smoothed(word: np.ndarray, before: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of the probabilities, from counts."""
+    pair = np.minimum(pair, np.minimum(word, before))
+    alone = (word + 1) / (n + v + 1)
+    return np.log10((pair + PRIOR * alone) / (before + PRIOR))
+
+
 def scores(text: Hashed, filter_: Filter, n: int, v: int) -> np.ndarray:
     """log10 of each token's smoothed probability after the token before it."""
     each = count_at(filter_.level(text.vocabulary, 0))
-    word, before = each[text.ids], each[text.before_ids]
-    pair = np.minimum(count_at(filter_.level(text.pairs, 1)), np.minimum(word, before))
-    alone = (word + 1) / (n + v + 1)
-    return np.log10((pair + PRIOR * alone) / (before + PRIOR))
+    return _smoothed(each[text.ids], each[text.before_ids], count_at(filter_.level(text.pairs, 1)), n, v)
+
+
+def scores_of_levels(text: Hashed, word: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The same from each token's levels, as ``with_levels`` has summed them over all parts."""
+    each = np.zeros(len(text.vocabulary))
+    each[text.ids] = count_at(word)  # the end stands in every text
+    return _smoothed(each[text.ids], each[text.before_ids], count_at(pair), n, v)
 
 
-def train(docs: DataFrame, text: str = "text", segments: int | None = None, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, int]:
+_LEVELS = ("word_levels", "pair_levels")
+
+
+def _read(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8)
+
+
+def with_levels(source: DataFrame, part: DataFrame, segments: int, first: bool) -> tuple[DataFrame, str]:
+    """``source`` written with a byte a token in each of ``_LEVELS``, to which this part's levels are added."""
+    filter_ = _sent(part, segments)
+
+    def run(batches):
+        for batch in _common.slices(batches, "data", 4 << 20):
+            text = Hashed(batch.column("data").to_pylist())
+            levels_ = filter_.value.level(text.vocabulary, 0)[text.ids], filter_.value.level(text.pairs, 1)
+            kept = [batch.column(c) for c in names]
+            for name, level in zip(_LEVELS, levels_, strict=True):
+                # An n-gram is in one segment, so all other parts leave 0.
+                level = level.astype(np.uint8) if first else level.astype(np.uint8) + _read(batch, name)
+                kept.append(pa.array([level[a:b].tobytes() for a, b in zip(text.bounds[:-1], text.bounds[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(kept, names=[*names, *_LEVELS])
+
+    names = [c for c in source.columns if c not in _LEVELS]
+    out = _common.materialize(source.mapInArrow(run, "doc_id long, held_out boolean, data binary, word_levels binary, pair_levels binary"), "levels")
+    filter_.destroy()
+    return out
+
+
+def _sent(model: DataFrame, segments: int):
+    """The filter of some of the model's rows as a broadcast."""
+    # The part's size bounds these rows; one at a time keeps the JVM's copy small.
+    rows = [(r[0], bytes(r[1]), 1, 1) for r in model.select("segment", "filter").toLocalIterator()]
+    return model.sparkSession.sparkContext.broadcast(Filter(segments, rows))
+
+
+def filter_parts(model: DataFrame, part_bytes: int) -> list[tuple[int, int]]:
+    """(first, last) segments of each part."""
+    out, held = [], 0
+    for r in model.select("segment", F.length("filter").alias("size")).orderBy("segment").collect():  # a number a segment
+        if out and held + r["size"] <= part_bytes:
+            out[-1], held = (out[-1][0], r["segment"]), held + r["size"]
+        else:
+            out.append((r["segment"], r["segment"]))
+            held = r["size"]
+    return out
+
+
+def train(docs: DataFrame, text: str = "text", segments: int | None = None) -> tuple[DataFrame, int]:
     """The model as a table in the shared folder (a row a segment) and its number of segments."""
     _common.ship(docs.sparkSession)
     source = docs.select(_common.text_bytes(text).alias("data"))
     n_segments = 1 << ((segments or max(32, 2 * source.rdd.getNumPartitions())) - 1).bit_length()
-    share = max(64, filter_bytes // n_segments)
 
     def count(batches):
         words, pairs, held = [], [], 0
@@ -249,9 +307,9 @@ def train(docs: DataFrame, text: str = "text", segments: int | None = None, filt
         words = _summed(joined("words", np.uint64), joined("word_counts", np.int64))
         once = joined("once", np.uint64)
         pairs = _summed(np.concatenate([once, joined("pairs", np.uint64)]), np.concatenate([np.ones(len(once), np.int64), joined("pair_counts", np.uint32)]))
-        bits, cut_words, cut_pairs = build_filter(words, pairs, share)
-        row = (table.column("segment")[0].as_py(), int(words[1].sum()), len(words[0]), words[0].tobytes(), words[1].tobytes(), bits, cut_words, cut_pairs)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+        bits, _, _ = build_filter(words, pairs)
+        row = (table.column("segment")[0].as_py(), int(words[1].sum()), len(words[0]), words[0].tobytes(), words[1].tobytes(), bits)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _MODEL.split(", ")])
 
     model = source.mapInArrow(count, _PART).groupBy("segment").applyInArrow(merge, _MODEL)
@@ -266,19 +324,30 @@ def held_out(column: str = "doc_id", modulus: int = 7) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == 2
 
 
-def score(docs: DataFrame, model: DataFrame, segments: int, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, segments: int, max_vocabulary: int = MAX_VOCABULARY, part_bytes: int = PART_BYTES) -> DataFrame:
     """Scores of all ``docs`` (doc_id, held_out, text) by a model that ``train`` made."""
     spark = docs.sparkSession
     _common.ship(spark)
     n, v = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    # filter_bytes bounds these rows; one at a time keeps the JVM's copy small.
-    rows = [(r[0], bytes(r[1]), r[2], r[3]) for r in model.select("segment", "filter", "cut_words", "cut_pairs").toLocalIterator()]
-    filter_ = spark.sparkContext.broadcast(Filter(segments, rows))
     source = docs.select(F.col("doc_id").cast("long"), "held_out", _common.text_bytes().alias("data"))
+    parts, path = filter_parts(model, part_bytes), None
+    if len(parts) > 1:
+        for k, (a, b) in enumerate(parts):
+            last = path
+            source, path = with_levels(source, model.where(F.col("segment").between(a, b)), segments, first=k == 0)
+            if last:
+                _common.discard(spark, last)
+    filter_ = _sent(model, segments) if len(parts) <= 1 else None
+
+    def scored(part: Hashed, batch: pa.RecordBatch) -> np.ndarray:
+        if filter_ is not None:
+            return scores(part, filter_.value, n, v)
+        return scores_of_levels(part, *(_read(batch, name) for name in _LEVELS), n, v)
+
     unknown = math.log10(n + v + 1)
     if v <= max_vocabulary:
-        parts = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in model.select("segment", "words", "word_counts").toLocalIterator())
-        table = spark.sparkContext.broadcast((np.frombuffer(b"".join(p[1] for p in parts), np.uint64), np.frombuffer(b"".join(p[2] for p in parts), np.int64)))
+        held = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in model.select("segment", "words", "word_counts").toLocalIterator())
+        table = spark.sparkContext.broadcast((np.frombuffer(b"".join(p[1] for p in held), np.uint64), np.frombuffer(b"".join(p[2] for p in held), np.int64)))
 
         def run(batches):
             words, counts = table.value
@@ -290,7 +359,7 @@ def score(docs: DataFrame, model: DataFrame, segments: int, max_vocabulary: int
                     c = np.where(words[at] == part.vocabulary, counts[at], 0)
                 starts, total = part.bounds[:-1], np.diff(part.bounds)
                 base = np.add.reduceat(np.log10(c + 1.0)[part.ids], starts) - total * unknown
-                lm = np.add.reduceat(scores(part, filter_.value, n, v), starts)
+                lm = np.add.reduceat(scored(part, batch), starts)
                 known = np.add.reduceat((c > 0).astype(np.int64)[part.ids], starts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(total, pa.int64()), pa.array(known), pa.array(np.full(len(total), n, np.int64)), pa.array(base), pa.array(lm)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
@@ -300,7 +369,7 @@ def score(docs: DataFrame, model: DataFrame, segments: int, max_vocabulary: int
         """A row for each word of a text with its count, and one with the text's score."""
         for batch in _common.slices(batches, "data", 1 << 20):
             part = Hashed(batch.column("data").to_pylist())
-            lm = np.add.reduceat(scores(part, filter_.value, n, v), part.bounds[:-1])
+            lm = np.add.reduceat(scored(part, batch), part.bounds[:-1])
             text = np.repeat(np.arange(batch.num_rows), np.diff(part.bounds))
             order = np.lexsort((part.words, text))
             text, words = text[order], part.words[order]
