@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 
@@ -62,3 +63,16 @@ def test_scan(spark, tmp_path):
 def test_short_templates_are_refused():
     with pytest.raises(ValueError):
         lic.Index([("x", "mit license")], {}, 0.8)
+
+
+@pytest.mark.parametrize("prefix", ["", " * "])
+@pytest.mark.parametrize("template", range(len(lic.TEMPLATES)))
+def test_templates_wrapped_at_70_columns(template, prefix):
+    index = lic.Index(lic.TEMPLATES, {}, lic.THRESHOLD)
+    label, text = lic.TEMPLATES[template]
+    notice = "\n".join(prefix + x for x in textwrap.wrap("Copyright 2020 the authors of this. " + text, 70))
+    blocks = index.blocks(f"Some prose.\n\n{notice}\n\nMore prose.".encode())
+    assert max(c for _, _, hits in blocks for t, c in hits if t == template) >= lic.THRESHOLD
+    assert label in {index.labels[t] for _, _, hits in blocks for t, _ in lic.best(hits, index.explained, index.sizes)}
+    scattered = "\n".join(" ".join([w, *["filler"] * 40]) for w in text.split())
+    assert index.blocks(scattered.encode()) == []

@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; blocks and templates are sets of words. A template is found in a
-block if the block holds at least ``threshold`` of its words (containment). Words are ordered by
+A block is a line of a text or a run of lines; blocks and templates are sets of words. A template is found in a
+block if the block holds at least ``threshold`` of its words (containment). A notice wrapped over
+lines is found in windows of as many words as the template has, over line feeds, if no line there
+holds it by itself; windows that overlap are one block. Words are ordered by
 how many blocks of the whole corpus hold them, rarest first. Then
 
 * prefix filter: a block that reaches the overlap a template needs holds one of the template's
@@ -98,6 +100,7 @@ class Index:
         self.rank = {w: i for i, w in enumerate(universe)}
         self.labels = [label for label, _ in sets]
         self.sizes = [len(s) for _, s in sets]
+        self.lengths = [len(words(text.encode())) for _, text in templates]
         self.needed = [math.ceil(threshold * n - 1e-9) for n in self.sizes]
         self.sorted = [sorted(self.rank[w] for w in s) for _, s in sets]
         self.places: dict[int, list[tuple[int, int]]] = {}  # rank -> (template, position in it)
@@ -130,6 +133,45 @@ class Index:
         return sorted(out)
 
 
+    def wrapped(self, lines: list[list[bytes]], own: dict[int, list[tuple[int, float]]]) -> list[tuple[int, int, list[tuple[int, float]]]]:
+        """(first line, last line, matches) of each run of lines that hold templates together; ``own`` has the lines' matches."""
+        hits, at = [], 0
+        for n, line in enumerate(lines):
+            hits += [(at + i, n, self.rank[w]) for i, w in enumerate(line) if w in self.rank]
+            at += len(line)
+        present = {r for _, _, r in hits}
+        alone = {n: {t for t, _ in found} for n, found in own.items()}
+        spans = []
+        for t in sorted({t for r in present for t, _ in self.places.get(r, ())}):
+            if len(present & self.sets[t]) < self.needed[t]:
+                continue
+            mine, held, low = [h for h in hits if h[2] in self.sets[t]], Counter(), 0
+            for place, n, r in mine:
+                held[r] += 1
+                while place - mine[low][0] >= self.lengths[t]:
+                    held[mine[low][2]] -= 1
+                    if not held[mine[low][2]]:
+                        del held[mine[low][2]]
+                    low += 1
+                first = mine[low][1]
+                if len(held) >= self.needed[t] and first < n and not any(t in alone.get(k, ()) for k in range(first, n + 1)):
+                    spans.append((first, n, t, len(held) / self.sizes[t]))
+        runs: list[tuple[int, int, dict[int, float]]] = []
+        for first, last, t, c in sorted(spans):
+            if runs and first <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(last, runs[-1][1]), runs[-1][2])
+            else:
+                runs.append((first, last, {}))
+            runs[-1][2][t] = max(c, runs[-1][2].get(t, 0.0))
+        return [(a, b, sorted(found.items())) for a, b, found in runs]
+
+    def blocks(self, data: bytes) -> list[tuple[int, int, list[tuple[int, float]]]]:
+        """(first line, last line, matches) of a text's lines and runs of lines with a match."""
+        lines = [words(line) for line in data.split(b"\n")]
+        own = {n: found for n, line in enumerate(lines) if (found := self.matches(set(line)))}
+        return sorted([(n, n, found) for n, found in own.items()] + self.wrapped(lines, own))
+
+
 def explained(sets: list[set], needed: list[int]) -> set[tuple[int, int]]:
     """Pairs (t, u) of templates so alike that any block holding all of ``u`` also reaches ``t``'s threshold."""
     return {(t, u) for t, a in enumerate(sets) for u, b in enumerate(sets) if t != u and len(a & b) >= needed[t]}
@@ -166,7 +208,7 @@ def template_counts(df: DataFrame, text: str = "text", templates=TEMPLATES) -> d
 def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Every block that holds a template: (id, block, label, template, containment, block_text).
 
-    ``block`` is the line's number from 0, ``template`` the number in ``templates``.
+    ``block`` is the (first) line's number from 0, ``template`` the number in ``templates``.
     """
     index = Index(templates, template_counts(df, text, templates), threshold)
     source = df.select(F.col(id_column).alias("id"), _common.text_bytes(text).alias("data"))
@@ -177,8 +219,10 @@ def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text", templates
             for key, data in zip(batch.column("id").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if index.prefix_words.isdisjoint(words(data)):
                     continue
-                for n, line in enumerate(data.split(b"\n")):
-                    rows += [(key, n, index.labels[t], t, c, line.decode(errors="replace")) for t, c in index.matches(set(words(line)))]
+                lines = data.split(b"\n")
+                for first, last, found in index.blocks(data):
+                    block = b"\n".join(lines[first : last + 1]).decode(errors="replace")
+                    rows += [(key, first, index.labels[t], t, c, block) for t, c in found]
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("id").type), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.int32()), pa.array(columns[4]), pa.array(columns[5])], names=["id", "block", "label", "template", "containment", "block_text"])
@@ -209,11 +253,10 @@ def op8_licenses(spark, sf_dir: str) -> DataFrame:
                 labels = base = {label for _, label in places}
                 score = 0.0
                 if not index.prefix_words.isdisjoint(found):
-                    for line in data.split(b"\n"):
-                        if hits := index.matches(set(words(line))):
-                            blocks += 1
-                            labels = labels | {index.labels[t] for t, _ in best(hits, index.explained, index.sizes)}
-                            score = max(score, *(c for _, c in hits))
+                    for _, _, hits in index.blocks(data):
+                        blocks += 1
+                        labels = labels | {index.labels[t] for t, _ in best(hits, index.explained, index.sizes)}
+                        score = max(score, *(c for _, c in hits))
                 rows.append((len(found), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
