@@ -60,3 +60,11 @@ def test_lines_are_removed_and_documents_rejected(spark):
 
 def test_no_python_in_the_plan(spark):
     assert "Python" not in q.measured(frame(spark))._jdf.queryExecution().toString()
+
+
+def test_clean_keeps_blank_lines(spark):
+    good = "This is a plain sentence of more than ten words, and it ends well."
+    other = "Nothing in this second line repeats what was said before, so both of them stay."
+    rows = [(1, f"{good}\n\n{other}\n"), (2, f"\n{good}\n \nHome\n\n{other}")]
+    kept = {r.doc_id: r.text for r in q.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1: rows[0][1], 2: rows[1][1].replace("Home\n", "")}

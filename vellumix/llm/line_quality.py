@@ -121,11 +121,14 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
-    """Documents that pass, without their failing lines; the columns of ``df``.
+    """Documents that pass, without their failing lines and with their blank ones; the columns of ``df``.
 
     ``n_chars`` follows the text where ``df`` has it.
     """
-    out = _common.only(measured(df, text), F.col("kept")).withColumn(text, F.array_join(F.transform("_good", lambda x: x["line"]), "\n"))
+    passes = lambda x: ~(x["punctuation"] | x["navigation"] | x["boilerplate"])
+    every = F.transform(F.split(F.col(text).cast("string"), "\n"), counted)
+    left = F.transform(F.filter(every, lambda x: (x["n"] == 0) | passes(judged(x))), lambda x: x["line"])
+    out = _common.only(measured(df, text), F.col("kept")).withColumn(text, F.when(F.col("n_failed_lines") == 0, F.col(text)).otherwise(F.array_join(left, "\n")))
     if "n_chars" in df.columns and text != "n_chars":
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
     return out.select(df.columns)
