@@ -11,8 +11,11 @@ from vellumix.llm import bloom_lm as b
 
 
 def test_levels():
-    assert b.levels(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
-    assert b.count_at(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
+    assert b.levels(np.array([0, 1, 2, 3, 20])).tolist() == [0, 1, 2, 3, 20]
+    c = np.arange(1, 100_000)
+    back = b.count_at(b.levels(c))
+    assert (back[:20] == c[:20]).all() and (np.abs(back / c - 1) < 0.016).all()
+    assert (np.diff(b.LEVELS) > 0).all() and len(b.COUNTS) < 1 << 16
 
 
 def test_segments_agree():
@@ -22,20 +25,93 @@ def test_segments_agree():
         assert [s for s in range(n) for _ in range(starts[s + 1] - starts[s])] == b.segment_of(h, n).tolist()
 
 
-@pytest.mark.parametrize("share", [1 << 16, 2000])
-def test_filter_reads_levels_back(share):
+def part(grams, counts, vocabulary, **options):
+    cells, asked, chance = b.build_filter(grams, counts, vocabulary, **options)
+    none = np.zeros(0, np.uint64).tobytes()
+    return b.Part(1, [(0, none, none, asked, cells)]), chance
+
+
+def test_filter_reads_every_level_back():
     rng = np.random.default_rng(2)
-    h = np.unique(rng.integers(0, 1 << 64, 3000, dtype=np.uint64))
-    counts = np.maximum(1, rng.zipf(1.5, len(h))).clip(max=10_000)
-    half = len(h) // 2
-    bits, cw, cp = b.build_filter((h[:half], counts[:half]), (h[half:], counts[half:]), share)
-    assert len(bits) <= share
-    f = b.Filter(1, [(0, bits, cw, cp)])
-    for own, c, kind, cut in ((h[:half], counts[:half], 0, cw), (h[half:], counts[half:], 1, cp)):
-        want = np.where(b.levels(c) >= cut, b.levels(c), 0)
-        got = f.level(own, kind)
-        assert (got >= want).all() and (got == want).mean() > 0.75
-    assert b.Filter(3, []).level(h, 1).sum() == 0
+    h = np.unique(rng.integers(0, 1 << 64, 30_000, dtype=np.uint64))
+    counts = np.maximum(1, rng.zipf(1.5, len(h))).clip(max=100_000)
+    filter_, _ = part(h, counts, 5000)
+    got = filter_.level(h)
+    assert (got >= b.levels(counts)).all() and (got == b.levels(counts)).mean() > 0.995
+    assert not b.Part(1, []).level(h).any() and not b.Part(1, []).count(h).any()
+
+
+@pytest.mark.parametrize("load", [4.0, 8.0, 12.0])
+def test_false_rate_is_as_expected(load):
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 1 << 64, 200_000, dtype=np.uint64))
+    filter_, chance = part(h, np.ones(len(h), np.int64), 100, load=load, repeats=1)
+    seen = (filter_.level(rng.integers(0, 1 << 64, 200_000, dtype=np.uint64)) > 0).mean()
+    assert seen == pytest.approx(chance, rel=0.05) and chance == pytest.approx(b.false_rate(load), rel=0.05)
+
+
+def test_rare_ngrams_stay_however_many_there_are():
+    h = np.unique(np.random.default_rng(4).integers(0, 1 << 64, 400_000, dtype=np.uint64))
+    filter_, _ = part(h, np.ones(len(h), np.int64), 10_000)
+    assert (filter_.level(h) >= 1).all()
+
+
+def model_of(texts, order=2, **options):
+    """(part, n, v, chance) of some texts."""
+    text = b.Hashed(texts)
+    words, counts = np.unique(text.words, return_counts=True)
+    grams = np.unique(np.concatenate(text.grams(order)), return_counts=True)
+    cells, asked, chance = b.build_filter(*grams, len(words), **options)
+    return b.Part(1, [(0, words.tobytes(), counts.astype(np.int64).tobytes(), asked, cells)]), int(counts.sum()), len(words), chance
+
+
+def zipf_texts(tokens, words, seed=6):
+    rng = np.random.default_rng(seed)
+    ids = rng.choice(words, tokens, p=(w := 1 / np.arange(1, words + 1)) / w.sum())
+    return [" ".join(f"w{i}" for i in ids[a : a + 300]).encode() for a in range(0, tokens, 300)]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one_after_frequent_and_rare_contexts(order):
+    texts = zipf_texts(60_000, 5000)
+    held, n, v, chance = model_of(texts, order)
+    counts = Counter(w for t in texts for w in b.tokens(t))
+    every = sorted(counts)
+    ranked = [w for w, _ in counts.most_common() if w != b.END]
+    rare = [w for w in ranked if counts[w] == 1][:12]
+    contexts = [ranked[0], ranked[1], ranked[20], *[w for w in ranked if counts[w] == 6][:6], *rare, b"never"]
+    after = {}
+    for t in texts:
+        own = b.tokens(t)
+        for x, y in zip(own, own[1:], strict=False):
+            after.setdefault(y, x)
+    for context in contexts:
+        # Each word of the vocabulary and an unknown one in the context's place: "x context word" as a text.
+        lead = after.get(context, b"other") + b" " + context + b" "
+        # The end is the sole one of the vocabulary that no text can hold before its end.
+        rows = b.Hashed([lead + w for w in every if w != b.END] + [lead + b"unseen", lead.strip()])
+        p = b.probabilities(rows, held.found(rows, order), n, v, chance)
+        at = np.append(rows.bounds[1:-1] - 2, rows.bounds[-1] - 1)
+        assert p[at].sum() == pytest.approx(1, abs=0.02), context
+
+
+def chained_texts(tokens, words, seed=7):
+    """Each word is mostly followed by one of three."""
+    rng = np.random.default_rng(seed)
+    after, ids = rng.integers(0, words, (words, 3)), [0]
+    while len(ids) < tokens:
+        ids.append(after[ids[-1], rng.integers(3)] if rng.random() < 0.8 else rng.integers(words))
+    return [" ".join(f"w{i}" for i in ids[a : a + 300]).encode() for a in range(0, tokens, 300)]
+
+
+def test_a_smaller_filter_never_scores_better():
+    texts = chained_texts(60_000, 2000)
+    train, other = texts[:160], b.Hashed(texts[160:])
+    means = []
+    for load in (4.0, 8.0, 16.0, 32.0, 64.0):
+        held, n, v, chance = model_of(train, load=load, repeats=3)
+        means.append(np.log10(b.probabilities(other, held.found(other, 2), n, v, chance)).mean())
+    assert all(a >= z for a, z in zip(means, means[1:], strict=False)) and means[0] > means[-1] + 0.1, means
 
 
 def corpus(n=300):
@@ -49,26 +125,60 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, score string").select("doc_id", b.held_out().alias("held_out"), "text")
 
 
-def expected(rows):
-    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
-    counts = Counter(w for i, t, _ in rows if crc(i) % 7 != 2 for w in b.tokens((t or "").encode()))
-    n, v = sum(counts.values()), len(counts)
+def crc(i):
+    return zlib.crc32(("" if i is None else str(i)).encode())
+
+
+def expected(rows, order=2):
+    """Base columns, and scores by exact counts."""
+    counts = [Counter() for _ in range(order)]
+    for i, t, _ in rows:
+        if crc(i) % 7 != 2:
+            own = [b.END] * (order - 1) + b.tokens((t or "").encode())
+            for k in range(order):
+                counts[k].update(tuple(own[j - k : j + 1]) for j in range(order - 1, len(own)))
+    n, v = sum(counts[0].values()), len(counts[0])
     out = []
     for i, t, _ in rows:
         own = b.tokens((t or "").encode())
-        out.append((i, crc(i) % 7 == 2, len(own), sum(counts[w] > 0 for w in own), n, round(math.fsum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), 6)))
+        base = math.fsum(math.log10((counts[0][w,] + 1) / (n + v + 1)) for w in own)
+        padded, score = [b.END] * (order - 1) + own, []
+        for j in range(order - 1, len(padded)):
+            p = (counts[0][padded[j],] + 1) / (n + v + 1)
+            for k in range(1, order):
+                context = counts[k - 1][tuple(padded[j - k : j])] if j - k >= order - 2 else counts[0][b.END,]
+                if context:
+                    p = (counts[k][tuple(padded[j - k : j + 1])] + (w := b.PRIORS.get(k + 1, b.PRIOR)) * p) / (context + w)
+            score.append(math.log10(p))
+        out.append((i, crc(i) % 7 == 2, len(own), sum(counts[0][w,] > 0 for w in own), n, round(base, 6), math.fsum(score)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("vocabulary", [b.MAX_VOCABULARY, 0])
-def test_base_scores_are_exact_with_and_without_the_broadcast(spark, vocabulary):
+def results(df):
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.score) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_equal_brute_force(spark, order):
     rows = corpus()
     docs = frame(spark, rows)
-    model, segments = b.train(docs.where("not held_out"), segments=5)
-    got = b.score(docs, model, segments, vocabulary).collect()
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == expected(rows)
-    other = b.score(docs, model, segments).agg(F.sum("score")).first()[0]
-    assert sum(r.score for r in got) == pytest.approx(other)
+    model, segments = b.train(docs.where("not held_out"), order=order, repeats=8)
+    got, want = results(b.score(docs, model, segments, order)), expected(rows, order)
+    assert [r[:-1] for r in got] == [r[:-1] for r in want]
+    # Counts beyond the first levels are within 1.6 %, as is each of a probability's two.
+    off = [abs(x[-1] - y[-1]) / x[2] for x, y in zip(got, want, strict=True)]
+    assert max(off) < 0.014 and np.median(off) < 0.002
+
+
+def test_scores_depend_on_neither_partitions_nor_parts(spark):
+    rows, got = corpus(), []
+    for partitions, parts in ((1, 1), (13, 1), (5, 3), (2, 16)):
+        docs = frame(spark, rows).repartition(partitions)
+        model, segments = b.train(docs.where("not held_out"))
+        size = model.agg(F.sum(F.length("filter") + F.length("words") + F.length("word_counts"))).first()[0]
+        assert segments == 16 and (parts == 1) == (b.segments_a_part(model, 10 * size // parts) >= segments)
+        got.append(results(b.score(docs, model, segments, part_bytes=10 * size // parts if parts == 1 else size // parts)))
+    assert got[0] == got[1] == got[2] == got[3]
 
 
 def test_the_model_uses_the_word_before(spark):
@@ -80,38 +190,17 @@ def test_the_model_uses_the_word_before(spark):
     assert got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score + 2
 
 
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"r{rng.randrange(10**6)}" for _ in range(40)) for _ in range(200)]
+    rows = [(i, t, "x") for i, t in enumerate([*texts, *texts[:40]])]
+    model, segments = b.train(frame(spark, rows))
+    got = {r.doc_id: r.score for r in b.score(frame(spark, rows), model, segments).collect()}
+    assert min(got[i] for i in range(40)) > max(got[i] for i in range(40, 200))
+
+
 def test_empty_tables(spark):
     docs = frame(spark, corpus(3))
     model, segments = b.train(docs.limit(0), segments=2)
     assert b.score(docs.limit(0), model, segments).count() == 0
-    assert {r.base_score for r in b.score(docs.where("doc_id = 4"), model, segments).collect()} == {0.0}
-
-
-def test_probabilities_sum_to_about_one():
-    text = b.Hashed([b"a b a c", b"a b b"])
-    words, pairs = np.unique(text.words, return_counts=True), np.unique(text.pairs, return_counts=True)
-    f = b.Filter(1, [(0, *b.build_filter(words, pairs, 1 << 12))])
-    every = b.Hashed([b"a b c unseen"])
-    for before in (0, 1, 2):
-        every.before_ids = np.full(len(every.ids), before)
-        assert 0.6 < (10 ** b.scores(every, f, int(words[1].sum()), len(words[0]))).sum() < 1.4
-
-
-def test_rare_pairs_stay_however_many_there_are():
-    rng = np.random.default_rng(4)
-    h = np.unique(rng.integers(0, 1 << 64, 400_000, dtype=np.uint64))
-    once, none = np.ones(len(h), np.int64), (h[:0], h[:0].astype(np.int64))
-    bits, *cuts = b.build_filter(none, (h, once))
-    assert cuts == [1, 1] and len(bits) * 8 >= 6 * len(h)
-    assert (b.Filter(1, [(0, bits, *cuts)]).level(h, 1) >= 1).all()
-
-
-@pytest.mark.parametrize("vocabulary", [b.MAX_VOCABULARY, 0])
-def test_a_filter_in_parts_gives_the_scores_of_the_whole(spark, vocabulary):
-    docs = frame(spark, corpus())
-    model, segments = b.train(docs.where("not held_out"), segments=8)
-    size = model.agg(F.sum(F.length("filter"))).first()[0]
-    parts = b.filter_parts(model, size // 3)
-    assert len(parts) >= 3 and [s for a, z in parts for s in range(a, z + 1)] == list(range(segments))
-    rows = [sorted((tuple(None if x is None else round(x, 6) for x in r) for r in b.score(docs, model, segments, vocabulary, part_bytes).collect()), key=repr) for part_bytes in (size, size // 3)]
-    assert rows[0] == rows[1]
+    assert {(r.base_score, r.score) for r in b.score(docs.where("doc_id = 4"), model, segments).collect()} == {(0.0, 0.0)}

@@ -1,25 +1,32 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counting: each task hashes its words and word pairs, sums equal ones and sends them, as arrays cut
-by hash range, to the range's segment; a segment sums what it gets. Segments are ranges of a
-64-bit hash, so frequent words don't make one larger, and their number follows the input's.
-
-Filter: a count c is kept as its level 1 + floor(log2 c); a pair with level q is inserted as (pair,
-1) .. (pair, q), so probing one level after another until one is missing reads the level back
-(false positives only raise it). A segment's table grows with its entries, at 6 to 12 bits each (a
-power of two), and no level is left out, so the whole filter grows with the corpus. Executors get it
-in parts of whole segments, of ``part_bytes`` together (or one segment): if there are more than one,
-the texts are written with their tokens' levels once a part, as each n-gram is in one part only.
-
-Probability: words by their estimated counts with one added, pairs smoothed towards that with
-weight ``PRIOR``. Estimated counts of a pair never exceed those of its words.
-
-Exact word counts (for ``base_score``) are broadcast as sorted arrays while there are at most
-``max_vocabulary`` words; beyond, texts' words are joined with the counts by a shuffle.
+Counting: each task hashes its words and the n-grams of two words (to ``order``), sums equal ones
+and sends them, as arrays cut by hash range, to the range's segment; a segment sums what it gets.
+Segments are ranges of a 64-bit hash, so frequent words don't make one larger. Their number is the
+training text's bytes over ``SEGMENT_BYTES``, whatever its partitions are; only ranges that hold
+something are sent, so there are never more rows than n-grams.
+
+Filter: a count is kept as its level, exact for small counts and in 24 steps an octave beyond; an
+n-gram with level q is inserted as (n-gram, 1) .. (n-gram, q), so probing one level after another
+until one is missing reads the level back. Bits lie in 64-bit cells: a probe reads one cell and
+asks for ``BITS`` bits in it. Level 1 is asked in several cells, more in a larger vocabulary: at most
+``FALSE_GRAMS`` false n-grams are expected among all words after a context; higher levels in ``HIGHER``. A segment's table has a
+cell for ``LOAD`` probes, so the whole filter grows with the corpus, and no level is ever cut.
+
+Probability: words by their exact counts with one added; an n-gram's estimated count, at most that of
+its context and of its last n-1 words, is smoothed towards the shorter one's probability with weight
+``PRIORS``, over the context's count, that weight, and the false count that the filter is expected to
+add. So probabilities after a context sum to one, but for the chance of that false count.
+
+Executors get the model in parts of whole segments, of ``part_bytes`` together (or one segment):
+words with exact counts and filter. A part looks up what lies in its ranges; if there are several,
+all but the last write the texts with what they found. Parts say where an n-gram is looked up and
+never what is found, so scores don't depend on them, nor on the partitions.
 
 Defined results: a null text is an empty one, whose only token is the end; a null id counts as
 the text "" where rows are chosen by id; repeated rows are counted and scored each by itself;
-without training tokens every probability is that of a lone unknown token.
+without training tokens every probability is that of a lone unknown token. Words are known by 64-bit
+hashes: two of a billion different ones share theirs with a chance of 3 %, and then their counts.
 """
 
 from __future__ import annotations
@@ -35,10 +42,15 @@ from pyspark.sql import functions as F
 from vellumix.llm import _common
 
 END = b"\n"  # no word holds it; it ends a text and stands before its first word
-PRIOR = 8.0
-MOST_BITS, LEAST_BITS = 12, 4
-PART_BYTES, MAX_VOCABULARY = 64 << 20, 8_000_000
+ORDER = 2
+PRIORS = {2: 256.0}  # of longer n-grams: PRIOR
+PRIOR = 32.0
+FALSE_GRAMS = 2.0  # expected at most among a vocabulary's words after one context; small beside PRIORS
+BITS, HIGHER, LOAD = 4, 2, 8.0
+STEPS_AN_OCTAVE = 24
+SEGMENT_BYTES, PART_BYTES = 16 << 20, 96 << 20
 FLUSH = 3_000_000  # tokens counted at a time in a task
+SLICE = 2 << 20  # bytes of texts scored at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,7 +59,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+def gram_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from that of its context and its last word."""
     return _mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
@@ -66,20 +79,30 @@ class Hashed:
         each = [tokens(t) for t in texts]
         self.bounds = np.cumsum([0] + [len(x) for x in each])
         index = _Index()
-        end = index[END]
+        self.end = index[END]
         self.ids = np.fromiter((i for x in each for i in map(index.__getitem__, x)), np.int32, int(self.bounds[-1]))
         self.vocabulary = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-        self.before_ids = np.empty_like(self.ids)
-        self.before_ids[1:] = self.ids[:-1]
-        self.before_ids[self.bounds[:-1]] = end
 
     @property
     def words(self) -> np.ndarray:
         return self.vocabulary[self.ids]
 
-    @property
-    def pairs(self) -> np.ndarray:
-        return pair_hashes(self.vocabulary[self.before_ids], self.words)
+    def before(self, values: np.ndarray, first) -> np.ndarray:
+        """Each token's value at the token before it, ``first`` at a text's first."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.bounds[:-1]] = first
+        return out
+
+    def grams(self, order: int) -> list[np.ndarray]:
+        """The hashes of the n-grams of 2 .. ``order`` words that end at each token."""
+        words = self.words
+        out, last = [], words
+        for k in range(2, order + 1):
+            start = self.vocabulary[self.end] + np.uint64(k - 2)
+            last = gram_hashes(self.before(last, start), words)
+            out.append(last)
+        return out
 
 
 class _Index(dict):
@@ -103,23 +126,26 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int64) if segments > 1 else np.zeros(len(hashes), np.int64)
 
 
-_PART = "segment int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary"
-_MODEL = "segment int, n long, v long, words binary, word_counts binary, filter binary"
+_PART = "segment int, words binary, word_counts binary, once binary, grams binary, gram_counts binary"
+_MODEL = "segment int, n long, v long, words binary, word_counts binary, repeats int, chance double, filter binary"
+
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
-def _flush(words: list, pairs: list, segments: int) -> pa.RecordBatch:
+
+def _flush(words: list, grams: list, segments: int) -> pa.RecordBatch:
     w, wn = _counted(words)
-    p, pn = _counted(pairs)
-    once = pn == 1
-    p1, p2, pn = p[once], p[~once], pn[~once].astype(np.uint32)
+    g, gn = _counted(grams)
+    once = gn == 1
+    g1, g2, gn = g[once], g[~once], gn[~once].astype(np.int64)
     wn = wn.astype(np.int64)
-    ws, s1, s2 = (_starts(x, segments) for x in (w, p1, p2))
-    rows = [
-        (s, w[ws[s] : ws[s + 1]].tobytes(), wn[ws[s] : ws[s + 1]].tobytes(), p1[s1[s] : s1[s + 1]].tobytes(), p2[s2[s] : s2[s + 1]].tobytes(), pn[s2[s] : s2[s + 1]].tobytes())
-        for s in range(segments)
-    ]
-    kinds = [pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _PART.split(", ")])
+    cut = [_starts(x, segments) for x in (w, g1, g2)]
+    some = np.flatnonzero(sum(np.diff(c) for c in cut))
+    own = lambda x, c, s: x[c[s] : c[s + 1]].tobytes()
+    return _batch([(int(s), own(w, cut[0], s), own(wn, cut[0], s), own(g1, cut[1], s), own(g2, cut[2], s), own(gn, cut[2], s)) for s in some], _PART)
 
 
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,192 +157,178 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts, first)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 c) for counts of 1 and more."""
-    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
-
-
-def count_at(level: np.ndarray) -> np.ndarray:
-    """A count that a level stands for: the middle of its range (1, 2.5, 5.5, ...); level 0 is 0."""
-    level = level.astype(np.float64)
-    return np.where(level < 2, level, 1.5 * 2.0 ** (level - 1) - 0.5)
-
-
-def _steps(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first bit, step) of (hash, level), to be masked to the table's size: double hashing."""
-    a = _mix(hashes + np.uint64((level * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
-    return a, (a >> np.uint64(32)) | np.uint64(1)
-
-
-HASHES = 4
-
-
-def build_filter(words: tuple, pairs: tuple, share: int | None = None) -> tuple[bytes, int, int]:
-    """(bits, lowest level kept of words, of pairs) for a segment's counts; only a given ``share`` of bytes has levels cut."""
-    hashes = [words[0], _mix(pairs[0] ^ np.uint64(0xA5A5A5A5A5A5A5A5))]
-    each = [levels(x[1]) for x in (words, pairs)]
-    cuts = [1, 1]
-
-    def entries(k: int) -> int:
-        return int(np.maximum(each[k] - cuts[k] + 1, 0).sum())
-
-    most = (entries(0) + entries(1)) * MOST_BITS if share is None else 1 << ((share * 8).bit_length() - 1)  # tables have a power of two of bits
-    while share is not None and entries(0) + entries(1) > most // LEAST_BITS:
-        k = int(entries(1) >= entries(0))  # the larger kind gives up its lowest level
-        cuts[k] += 1
-    bits = 64
-    while bits * 2 <= min(most, (entries(0) + entries(1)) * MOST_BITS):
-        bits *= 2
-    table = np.zeros(bits, np.bool_)
-    for own, level, cut in zip(hashes, each, cuts, strict=True):
-        for q in range(cut, int(level.max(initial=0)) + 1):
-            a, b = _steps(own[level >= q], q)
-            for i in range(HASHES):
-                table[(a + np.uint64(i) * b) & np.uint64(bits - 1)] = True
-    return np.packbits(table, bitorder="little").tobytes(), *cuts
-
-
-class Filter:
-    """All segments' bits in one array, probed for many n-grams at once."""
-
-    def __init__(self, segments: int, rows: list[tuple[int, bytes, int, int]]) -> None:
-        by = {r[0]: r[1:] for r in rows}
-        self.segments = segments
-        size = [len(by[s][0]) if s in by else 0 for s in range(segments)]
-        self.bits = np.frombuffer(b"".join(by[s][0] for s in range(segments) if s in by) or b"\0", np.uint8)
-        self.start = np.cumsum([0, *size[:-1]]).astype(np.uint64) * np.uint64(8)
-        self.mask = np.array(size, np.uint64) * np.uint64(8) - np.uint64(1)
-        self.empty = np.array(size) == 0
-        self.cuts = np.array([by[s][1:] if s in by else (1, 1) for s in range(segments)], np.int64)
-
-    def level(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        """The levels of words (kind 0) or pairs (1)."""
-        segment = segment_of(hashes, self.segments)
-        out = np.zeros(len(hashes), np.int64)
-        live = np.flatnonzero(~self.empty[segment]) if self.empty.any() else np.arange(len(hashes))
-        x = (_mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) if kind else hashes)[live]
-        segment = segment[live]
-        start, mask, cut = self.start[segment], self.mask[segment], self.cuts[segment, kind]
-        for q in range(1, 65):
-            if not len(live):
-                break
-            found = cut > q  # levels under the cut aren't in the filter: go on
-            keep = np.flatnonzero(~found)
-            a, b = _steps(x[keep], q)
-            at0, m = start[keep], mask[keep]
-            for i in range(HASHES):
-                at = at0 + ((a + np.uint64(i) * b) & m)
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                keep, a, b, at0, m = keep[hit], a[hit], b[hit], at0[hit], m[hit]
-            found[keep] = True
-            out[live[keep]] = q
-            live, x, start, mask, cut = live[found], x[found], start[found], mask[found], cut[found]
-        return out
-
-
-def _smoothed(word: np.ndarray, before: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 of the probabilities, from counts."""
-    pair = np.minimum(pair, np.minimum(word, before))
-    alone = (word + 1) / (n + v + 1)
-    return np.log10((pair + PRIOR * alone) / (before + PRIOR))
-
-
-def scores(text: Hashed, filter_: Filter, n: int, v: int) -> np.ndarray:
-    """log10 of each token's smoothed probability after the token before it."""
-    each = count_at(filter_.level(text.vocabulary, 0))
-    return _smoothed(each[text.ids], each[text.before_ids], count_at(filter_.level(text.pairs, 1)), n, v)
-
-
-def scores_of_levels(text: Hashed, word: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
-    """The same from each token's levels, as ``with_levels`` has summed them over all parts."""
-    each = np.zeros(len(text.vocabulary))
-    each[text.ids] = count_at(word)  # the end stands in every text
-    return _smoothed(each[text.ids], each[text.before_ids], count_at(pair), n, v)
+def _level_starts() -> np.ndarray:
+    """The smallest count of each level from 1 on."""
+    out = [1]
+    while out[-1] < 1 << 44:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * 2 ** (1 / STEPS_AN_OCTAVE))))
+    return np.array(out, np.int64)
 
 
-_LEVELS = ("word_levels", "pair_levels")
+LEVELS = _level_starts()
+COUNTS = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2, LEVELS[-1:]])
 
 
-def _read(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8)
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The level of each count; 0 has 0."""
+    return np.searchsorted(LEVELS, counts, "right")
 
 
-def with_levels(source: DataFrame, part: DataFrame, segments: int, first: bool) -> tuple[DataFrame, str]:
-    """``source`` written with a byte a token in each of ``_LEVELS``, to which this part's levels are added."""
-    filter_ = _sent(part, segments)
+def count_at(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of its range."""
+    return COUNTS[level]
+
+
+def _probe(hashes: np.ndarray, level: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the i-th cell of (n-gram, level): 32 bits to choose it by, and the bits asked in it."""
+    key = _mix(hashes + np.uint64(((level << 8) + i + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+    return key >> np.uint64(32), key
+
+
+def _cell(chosen: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (chosen * cells) >> np.uint64(32)
+
+
+def false_rate(load: float) -> float:
+    """The chance that a cell has the bits of an n-gram that was never inserted, expected at ``load`` probes a cell."""
+    filled = [1 - (1 - 1 / 64) ** (BITS * n) for n in range(int(load * 5) + 20)]
+    return sum(math.exp(n * math.log(load) - load - math.lgamma(n + 1)) * f**BITS for n, f in enumerate(filled))
+
+
+def build_filter(grams: np.ndarray, counts: np.ndarray, vocabulary: int, load: float = LOAD, repeats: int | None = None) -> tuple[bytes, int, float]:
+    """(cells, cells asked for level 1, chance of a false n-gram) for a segment's counts and a corpus of ``vocabulary`` words."""
+    if not len(grams):
+        return b"", 1, 0.0
+    repeats = repeats or max(2, math.ceil(math.log(max(vocabulary / FALSE_GRAMS, 2)) / -math.log(false_rate(load))))
+    level = levels(counts)
+    order = np.argsort(-level, kind="stable")
+    grams, level = grams[order], level[order]
+    probes = len(grams) * repeats + int((level - 1).sum()) * HIGHER
+    cells = max(1, math.ceil(probes / load))
+    table = np.zeros(cells * 64, np.bool_)
+    for q in range(1, int(level[0]) + 1):
+        own = grams[: np.searchsorted(-level, -q, "right")]
+        for i in range(repeats if q == 1 else HIGHER):
+            chosen, key = _probe(own, q, i)
+            at = _cell(chosen, np.uint64(cells)) << np.uint64(6)
+            for b in range(BITS):
+                table[at + ((key >> np.uint64(6 * b)) & np.uint64(63))] = True
+    filled = table.reshape(cells, 64).mean(axis=1)
+    return np.packbits(table, bitorder="little").tobytes(), repeats, float((filled**BITS).mean() ** repeats)
+
+
+class Part:
+    """Some successive segments of a model: exact counts of words and the filter, for many look-ups at once."""
+
+    def __init__(self, segments: int, rows: list[tuple[int, bytes, bytes, int, bytes]]) -> None:
+        """``rows``: (segment, words, word counts, cells asked, filter)"""
+        rows = sorted(rows)
+        self.segments, self.first = segments, rows[0][0] if rows else 0
+        held = rows[-1][0] - self.first + 1 if rows else 0
+        self.size, self.repeats = np.zeros(held, np.uint64), np.ones(held, np.int8)
+        for s, _, _, r, cells in rows:
+            self.size[s - self.first], self.repeats[s - self.first] = len(cells) // 8, r
+        self.start = np.cumsum(self.size) - self.size
+        self.words, self.counts, self.cells = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((1, np.uint64), (2, np.int64), (4, np.uint64)))
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        """The exact counts of words; those of other parts get 0."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        """The levels of n-grams; those of other parts get 0."""
+        out = np.zeros(len(grams), np.uint16)
+        segment = segment_of(grams, self.segments) - self.first
+        live = np.flatnonzero((segment >= 0) & (segment < len(self.size)))
+        live = live[self.size[segment[live]] > 0]
+        x, segment = grams[live], segment[live]
+        start, size, repeats = self.start[segment], self.size[segment], self.repeats[segment]
+        q = 1
+        while len(live):
+            keep = np.arange(len(live))
+            for i in range(int(repeats.max()) if q == 1 else HIGHER):
+                chosen, key = _probe(x[keep], q, i)
+                asked = np.uint64(1) << (key & np.uint64(63))
+                for b in range(1, BITS):
+                    asked |= np.uint64(1) << ((key >> np.uint64(6 * b)) & np.uint64(63))
+                hit = (self.cells[start[keep] + _cell(chosen, size[keep])] & asked) == asked
+                if q == 1:
+                    hit |= i >= repeats[keep]
+                keep = keep[hit]
+            live, x, start, size, repeats = live[keep], x[keep], start[keep], size[keep], repeats[keep]
+            out[live] = q
+            q += 1
+        return out
 
-    def run(batches):
-        for batch in _common.slices(batches, "data", 4 << 20):
-            text = Hashed(batch.column("data").to_pylist())
-            levels_ = filter_.value.level(text.vocabulary, 0)[text.ids], filter_.value.level(text.pairs, 1)
-            kept = [batch.column(c) for c in names]
-            for name, level in zip(_LEVELS, levels_, strict=True):
-                # An n-gram is in one segment, so all other parts leave 0.
-                level = level.astype(np.uint8) if first else level.astype(np.uint8) + _read(batch, name)
-                kept.append(pa.array([level[a:b].tobytes() for a, b in zip(text.bounds[:-1], text.bounds[1:], strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(kept, names=[*names, *_LEVELS])
-
-    names = [c for c in source.columns if c not in _LEVELS]
-    out = _common.materialize(source.mapInArrow(run, "doc_id long, held_out boolean, data binary, word_levels binary, pair_levels binary"), "levels")
-    filter_.destroy()
-    return out
+    def found(self, text: Hashed, order: int) -> list[np.ndarray]:
+        """Each token's exact count, and the levels of the n-grams that end there, as far as they are in this part."""
+        out = [self.count(text.vocabulary)[text.ids]]
+        for grams in text.grams(order):
+            distinct, place = np.unique(grams, return_inverse=True)
+            out.append(self.level(distinct)[place])
+        return out
 
 
-def _sent(model: DataFrame, segments: int):
-    """The filter of some of the model's rows as a broadcast."""
-    # The part's size bounds these rows; one at a time keeps the JVM's copy small.
-    rows = [(r[0], bytes(r[1]), 1, 1) for r in model.select("segment", "filter").toLocalIterator()]
-    return model.sparkSession.sparkContext.broadcast(Filter(segments, rows))
-
-
-def filter_parts(model: DataFrame, part_bytes: int) -> list[tuple[int, int]]:
-    """(first, last) segments of each part."""
-    out, held = [], 0
-    for r in model.select("segment", F.length("filter").alias("size")).orderBy("segment").collect():  # a number a segment
-        if out and held + r["size"] <= part_bytes:
-            out[-1], held = (out[-1][0], r["segment"]), held + r["size"]
-        else:
-            out.append((r["segment"], r["segment"]))
-            held = r["size"]
+def probabilities(text: Hashed, found: list[np.ndarray], n: int, v: int, chance: float) -> np.ndarray:
+    """The model's probability of each token, from what all parts ``found`` for it."""
+    words = found[0].astype(np.float64)
+    out = (words + 1) / (n + v + 1)
+    end = words[text.bounds[1] - 1] if len(text.bounds) > 1 else 0.0
+    last = text.before(words, end)  # the word before
+    false = chance * np.minimum(last, v)
+    context, shorter = last, words
+    for k, level in enumerate(found[1:], 2):
+        count = np.minimum(count_at(level), np.minimum(context, shorter))
+        prior = PRIORS.get(k, PRIOR)
+        expected = chance * v if k == 2 else false
+        out = np.where(context > 0, (count + prior * out) / (context + expected + prior), out)
+        context, shorter = text.before(count, end), count
     return out
 
 
-def train(docs: DataFrame, text: str = "text", segments: int | None = None) -> tuple[DataFrame, int]:
+def train(docs: DataFrame, text: str = "text", order: int = ORDER, load: float = LOAD, repeats: int | None = None, segments: int | None = None) -> tuple[DataFrame, int]:
     """The model as a table in the shared folder (a row a segment) and its number of segments."""
+    if order < 2:
+        raise ValueError("an n-gram has two words or more")
     _common.ship(docs.sparkSession)
     source = docs.select(_common.text_bytes(text).alias("data"))
-    n_segments = 1 << ((segments or max(32, 2 * source.rdd.getNumPartitions())) - 1).bit_length()
+    if segments is None:
+        size = source.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+        segments = max(16, math.ceil(size / SEGMENT_BYTES))
+    n_segments = 1 << (segments - 1).bit_length()
 
     def count(batches):
-        words, pairs, held = [], [], 0
+        words, grams, held = [], [], 0
         for batch in _common.slices(batches, "data", 4 << 20):
             part = Hashed(batch.column("data").to_pylist())
             words.append(part.words)
-            pairs.append(part.pairs)
-            held += len(part.words)
+            grams += part.grams(order)
+            held += len(part.ids)
             if held >= FLUSH:
-                yield _flush(words, pairs, n_segments)
-                words, pairs, held = [], [], 0
+                yield _flush(words, grams, n_segments)
+                words, grams, held = [], [], 0
         if held:
-            yield _flush(words, pairs, n_segments)
+            yield _flush(words, grams, n_segments)
 
     def merge(table: pa.Table) -> pa.Table:
         def joined(name: str, kind) -> np.ndarray:
             return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
-        words = _summed(joined("words", np.uint64), joined("word_counts", np.int64))
+        words, counts = _summed(joined("words", np.uint64), joined("word_counts", np.int64))
         once = joined("once", np.uint64)
-        pairs = _summed(np.concatenate([once, joined("pairs", np.uint64)]), np.concatenate([np.ones(len(once), np.int64), joined("pair_counts", np.uint32)]))
-        bits, _, _ = build_filter(words, pairs)
-        row = (table.column("segment")[0].as_py(), int(words[1].sum()), len(words[0]), words[0].tobytes(), words[1].tobytes(), bits)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _MODEL.split(", ")])
+        grams = _summed(np.concatenate([once, joined("grams", np.uint64)]), np.concatenate([np.ones(len(once), np.int64), joined("gram_counts", np.int64)]))
+        cells, asked, chance = build_filter(*grams, len(words) * n_segments, load, repeats)
+        return pa.Table.from_batches([_batch([(table.column("segment")[0].as_py(), int(counts.sum()), len(words), words.tobytes(), counts.tobytes(), asked, chance, cells)], _MODEL)])
 
     model = source.mapInArrow(count, _PART).groupBy("segment").applyInArrow(merge, _MODEL)
     return _common.materialize(model, "ngrams")[0], n_segments
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SOURCE = "doc_id long, held_out boolean, data binary"
 
 
 def held_out(column: str = "doc_id", modulus: int = 7) -> Column:
@@ -324,83 +336,72 @@ def held_out(column: str = "doc_id", modulus: int = 7) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == 2
 
 
-def score(docs: DataFrame, model: DataFrame, segments: int, max_vocabulary: int = MAX_VOCABULARY, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Scores of all ``docs`` (doc_id, held_out, text) by a model that ``train`` made."""
+def _sent(model: DataFrame, segments: int):
+    """Some of the model's rows as a broadcast."""
+    # The part's size bounds these rows; one at a time keeps the JVM's copy small.
+    rows = [(r[0], bytes(r[1]), bytes(r[2]), r[3], bytes(r[4])) for r in model.select("segment", "words", "word_counts", "repeats", "filter").toLocalIterator()]
+    return model.sparkSession.sparkContext.broadcast(Part(segments, rows))
+
+
+def segments_a_part(model: DataFrame, part_bytes: int) -> int:
+    """How many segments make a part; hash ranges are of much the same size."""
+    largest = model.agg(F.max(F.length("words") + F.length("word_counts") + F.length("filter"))).first()[0] or 0
+    return max(1, part_bytes // max(1, largest))
+
+
+def score(docs: DataFrame, model: DataFrame, segments: int, order: int = ORDER, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Scores of all ``docs`` (doc_id, held_out, text) by a model that ``train`` made with the same ``order``."""
     spark = docs.sparkSession
     _common.ship(spark)
-    n, v = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    source = docs.select(F.col("doc_id").cast("long"), "held_out", _common.text_bytes().alias("data"))
-    parts, path = filter_parts(model, part_bytes), None
-    if len(parts) > 1:
-        for k, (a, b) in enumerate(parts):
-            last = path
-            source, path = with_levels(source, model.where(F.col("segment").between(a, b)), segments, first=k == 0)
-            if last:
-                _common.discard(spark, last)
-    filter_ = _sent(model, segments) if len(parts) <= 1 else None
-
-    def scored(part: Hashed, batch: pa.RecordBatch) -> np.ndarray:
-        if filter_ is not None:
-            return scores(part, filter_.value, n, v)
-        return scores_of_levels(part, *(_read(batch, name) for name in _LEVELS), n, v)
-
+    n, v, chance = model.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v")], F.coalesce(F.sum("chance"), F.lit(0.0)) / segments).first()
     unknown = math.log10(n + v + 1)
-    if v <= max_vocabulary:
-        held = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in model.select("segment", "words", "word_counts").toLocalIterator())
-        table = spark.sparkContext.broadcast((np.frombuffer(b"".join(p[1] for p in held), np.uint64), np.frombuffer(b"".join(p[2] for p in held), np.int64)))
+    kinds = [np.int64] + [np.uint16] * (order - 1)
+    columns = [f"found{i}" for i in range(order)]
+    step = min(segments, segments_a_part(model, part_bytes))
+    source, last = docs.select(F.col("doc_id").cast("long"), "held_out", _common.text_bytes().alias("data")), None
+
+    def looked_up(part, first: bool):
+        """Batches with their tokens and all that this part and those before found for them."""
 
         def run(batches):
-            words, counts = table.value
-            for batch in _common.slices(batches, "data", 4 << 20):
-                part = Hashed(batch.column("data").to_pylist())
-                c = np.zeros(len(part.vocabulary), np.int64)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, part.vocabulary), len(words) - 1)
-                    c = np.where(words[at] == part.vocabulary, counts[at], 0)
-                starts, total = part.bounds[:-1], np.diff(part.bounds)
-                base = np.add.reduceat(np.log10(c + 1.0)[part.ids], starts) - total * unknown
-                lm = np.add.reduceat(scored(part, batch), starts)
-                known = np.add.reduceat((c > 0).astype(np.int64)[part.ids], starts)
+            for batch in _common.slices(batches, "data", SLICE):
+                text = Hashed(batch.column("data").to_pylist())
+                found = part.value.found(text, order)
+                if not first:  # an n-gram is in one part only, so all others leave 0
+                    found = [a + np.frombuffer(b"".join(batch.column(c).to_pylist()), k) for a, c, k in zip(found, columns, kinds, strict=True)]
+                yield batch, text, found
+
+        return run
+
+    def noted(run):
+        def write(batches):
+            for batch, text, found in run(batches):
+                cut = [pa.array([x[a:b].tobytes() for a, b in zip(text.bounds[:-1], text.bounds[1:], strict=True)], pa.binary()) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out", "data")] + cut, names=["doc_id", "held_out", "data", *columns])
+
+        return write
+
+    def scored(run):
+        def write(batches):
+            for batch, text, found in run(batches):
+                starts, total = text.bounds[:-1], np.diff(text.bounds)
+                known = np.add.reduceat((found[0] > 0).astype(np.int64), starts)
+                base = np.add.reduceat(np.log10(found[0] + 1.0), starts) - total * unknown
+                lm = np.add.reduceat(np.log10(probabilities(text, found, n, v, chance)), starts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(total, pa.int64()), pa.array(known), pa.array(np.full(len(total), n, np.int64)), pa.array(base), pa.array(lm)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
-        return source.mapInArrow(run, _SCORED)
+        return write
 
-    def spread(batches):
-        """A row for each word of a text with its count, and one with the text's score."""
-        for batch in _common.slices(batches, "data", 1 << 20):
-            part = Hashed(batch.column("data").to_pylist())
-            lm = np.add.reduceat(scored(part, batch), part.bounds[:-1])
-            text = np.repeat(np.arange(batch.num_rows), np.diff(part.bounds))
-            order = np.lexsort((part.words, text))
-            text, words = text[order], part.words[order]
-            first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (words[1:] != words[:-1])))
-            times = np.diff(np.append(first, len(words)))
-            for at, h, k, s in ((text[first], words[first].view(np.int64), times, np.zeros(len(first))), (np.arange(batch.num_rows), None, np.zeros(batch.num_rows, np.int64), lm)):
-                at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), batch.column("held_out").take(at), pa.nulls(len(at), pa.int64()) if h is None else pa.array(h), pa.array(k), pa.array(s)], names=["rid", "doc_id", "held_out", "h", "k", "lm"])
-
-    def exploded(batches):
-        for batch in batches:
-            for w, c in zip(batch.column("words").to_pylist(), batch.column("word_counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["h", "c"])
-
-    pairs = source.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(spread, "rid long, doc_id long, held_out boolean, h long, k long, lm double")
-    counts = model.select("words", "word_counts").mapInArrow(exploded, "h long, c long")
-    c = F.coalesce("c", F.lit(0))
-    return (
-        pairs.join(counts, "h", "left")
-        .groupBy("rid")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("k").alias("n_tokens"),
-            F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-            (F.sum(F.col("k") * F.log10(c + 1.0)) - F.sum("k") * F.lit(unknown)).alias("base_score"),
-            F.sum("lm").alias("score"),
-        )
-        .drop("rid")
-    )
+    for a in range(0, segments, step):
+        part = _sent(model.where(F.col("segment").between(a, a + step - 1)), segments)
+        run = looked_up(part, first=a == 0)
+        if a + step >= segments:
+            return source.mapInArrow(scored(run), _SCORED)
+        source, path = _common.materialize(source.mapInArrow(noted(run), ", ".join([_SOURCE, *(f"{c} binary" for c in columns)])), "found")
+        part.destroy()
+        if last:
+            _common.discard(spark, last)
+        last = path
 
 
 def op10_bloom_lm(spark, sf_dir: str) -> DataFrame:
@@ -408,5 +409,3 @@ def op10_bloom_lm(spark, sf_dir: str) -> DataFrame:
     docs = _common.read(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
     model, segments = train(docs.where("not held_out"))
     return score(docs, model, segments)
-
-
