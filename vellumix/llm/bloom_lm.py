@@ -10,7 +10,8 @@ Filter: a count is kept as its level, exact for small counts and in 24 steps an
 n-gram with level q is inserted as (n-gram, 1) .. (n-gram, q), so probing one level after another
 until one is missing reads the level back. Bits lie in 64-bit cells: a probe reads one cell and
 asks for ``BITS`` bits in it. Level 1 is asked in several cells, more in a larger vocabulary: at most
-``FALSE_GRAMS`` false n-grams are expected among all words after a context; higher levels in ``HIGHER``. A segment's table has a
+``FALSE_GRAMS`` false n-grams are expected among all words after a context; higher levels in ``HIGHER``,
+so that one n-gram in a thousand has a level too high. A segment's table has a
 cell for ``LOAD`` probes, so the whole filter grows with the corpus, and no level is ever cut.
 
 Probability: words by their exact counts with one added; an n-gram's estimated count, at most that of
