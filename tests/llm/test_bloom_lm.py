@@ -27,8 +27,7 @@ def test_segments_agree():
 
 def part(grams, counts, vocabulary, **options):
     cells, asked, chance = b.build_filter(grams, counts, vocabulary, **options)
-    none = np.zeros(0, np.uint64).tobytes()
-    return b.Part(1, [(0, none, none, asked, cells)]), chance
+    return b.Part(1, [(0, b"", b"", asked, cells)]), chance
 
 
 def test_filter_reads_every_level_back():
@@ -58,11 +57,23 @@ def test_rare_ngrams_stay_however_many_there_are():
 
 def model_of(texts, order=2, **options):
     """(part, n, v, chance) of some texts."""
-    text = b.Hashed(texts)
+    text = b.Slice.of(texts)
     words, counts = np.unique(text.words, return_counts=True)
     grams = np.unique(np.concatenate(text.grams(order)), return_counts=True)
     cells, asked, chance = b.build_filter(*grams, len(words), **options)
-    return b.Part(1, [(0, words.tobytes(), counts.astype(np.int64).tobytes(), asked, cells)]), int(counts.sum()), len(words), chance
+    return b.Part(1, [(0, b._sorted(words), b._planes(counts.astype(np.int64)), asked, cells)]), int(counts.sum()), len(words), chance
+
+
+def found(held, text, order):
+    words, grams = b.asked(text, order)
+    return b.answered(text, order, held.count(words), held.level(grams))
+
+
+def test_packed_numbers():
+    h = np.sort(np.random.default_rng(9).integers(0, 1 << 64, 1000, dtype=np.uint64))
+    assert (b._hashes(b._sorted(h)) == h).all() and len(b._hashes(b"")) == 0
+    for x in (np.arange(-5, 300), np.array([True, False]), np.arange(7, dtype=np.uint16)):
+        assert (b._values(b._planes(x), x.dtype) == x).all()
 
 
 def zipf_texts(tokens, words, seed=6):
@@ -89,8 +100,8 @@ def test_probabilities_sum_to_one_after_frequent_and_rare_contexts(order):
         # Each word of the vocabulary and an unknown one in the context's place: "x context word" as a text.
         lead = after.get(context, b"other") + b" " + context + b" "
         # The end is the sole one of the vocabulary that no text can hold before its end.
-        rows = b.Hashed([lead + w for w in every if w != b.END] + [lead + b"unseen", lead.strip()])
-        p = b.probabilities(rows, held.found(rows, order), n, v, chance)
+        rows = b.Slice.of([lead + w for w in every if w != b.END] + [lead + b"unseen", lead.strip()])
+        p = b.probabilities(rows, found(held, rows, order), n, v, chance)
         at = np.append(rows.bounds[1:-1] - 2, rows.bounds[-1] - 1)
         assert p[at].sum() == pytest.approx(1, abs=0.02), context
 
@@ -106,11 +117,11 @@ def chained_texts(tokens, words, seed=7):
 
 def test_a_smaller_filter_never_scores_better():
     texts = chained_texts(60_000, 2000)
-    train, other = texts[:160], b.Hashed(texts[160:])
+    train, other = texts[:160], b.Slice.of(texts[160:])
     means = []
     for load in (4.0, 8.0, 16.0, 32.0, 64.0):
         held, n, v, chance = model_of(train, load=load, repeats=3)
-        means.append(np.log10(b.probabilities(other, held.found(other, 2), n, v, chance)).mean())
+        means.append(np.log10(b.probabilities(other, found(held, other, 2), n, v, chance)).mean())
     assert all(a >= z for a, z in zip(means, means[1:], strict=False)) and means[0] > means[-1] + 0.1, means
 
 
@@ -162,8 +173,9 @@ def results(df):
 def test_scores_equal_brute_force(spark, order):
     rows = corpus()
     docs = frame(spark, rows)
-    model, segments = b.train(docs.where("not held_out"), order=order, repeats=8)
-    got, want = results(b.score(docs, model, segments, order)), expected(rows, order)
+    slices, _ = b.tokenized(docs, slice_bytes=1000)
+    model, segments = b.train(slices, order=order, repeats=8)
+    got, want = results(b.score(slices, model, segments, order)), expected(rows, order)
     assert [r[:-1] for r in got] == [r[:-1] for r in want]
     # Counts beyond the first levels are within 1.6 %, as is each of a probability's two; a thousandth of levels are one too high.
     off = [abs(x[-1] - y[-1]) / x[2] for x, y in zip(got, want, strict=True)]
@@ -174,19 +186,19 @@ def test_scores_depend_on_neither_partitions_nor_parts(spark):
     rows, got = corpus(), []
     for partitions, parts in ((1, 1), (13, 1), (5, 3), (2, 16)):
         docs = frame(spark, rows).repartition(partitions)
-        model, segments = b.train(docs.where("not held_out"))
+        slices, _ = b.tokenized(docs)
+        model, segments = b.train(slices)
         size = model.agg(F.sum(F.length("filter") + F.length("words") + F.length("word_counts"))).first()[0]
         room = 10 * size if parts == 1 else size // parts
         assert segments == 16 and (b.segments_a_part(model, room) >= segments) == (parts == 1)
-        got.append(results(b.score(docs, model, segments, part_bytes=room)))
+        got.append(results(b.score(slices, model, segments, part_bytes=room)))
     assert got[0] == got[1] == got[2] == got[3]
 
 
 def test_the_model_uses_the_word_before(spark):
     rows = [(i, "a b c d " * 5, "x") for i in range(200)] + [(i, "a c e f g h " * 3, "x") for i in range(200, 260)]
-    docs = frame(spark, rows)
-    model, segments = b.train(docs, segments=3)
-    probe = frame(spark, [(1, "a b c d", "x"), (2, "d c b a", "x")])
+    model, segments = b.train(b.tokenized(frame(spark, rows))[0], segments=3)
+    probe, _ = b.tokenized(frame(spark, [(1, "a b c d", "x"), (2, "d c b a", "x")]))
     got = {r.doc_id: r for r in b.score(probe, model, segments).collect()}
     assert got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score + 2
 
@@ -195,13 +207,16 @@ def test_documents_that_occur_twice_score_apart(spark):
     rng = random.Random(8)
     texts = [" ".join(f"r{rng.randrange(10**6)}" for _ in range(40)) for _ in range(200)]
     rows = [(i, t, "x") for i, t in enumerate([*texts, *texts[:40]])]
-    model, segments = b.train(frame(spark, rows))
-    got = {r.doc_id: r.score for r in b.score(frame(spark, rows), model, segments).collect()}
+    slices, _ = b.tokenized(frame(spark, rows).withColumn("held_out", F.lit(False)))
+    model, segments = b.train(slices)
+    got = {r.doc_id: r.score for r in b.score(slices, model, segments).collect()}
     assert min(got[i] for i in range(40)) > max(got[i] for i in range(40, 200))
 
 
 def test_empty_tables(spark):
     docs = frame(spark, corpus(3))
-    model, segments = b.train(docs.limit(0), segments=2)
-    assert b.score(docs.limit(0), model, segments).count() == 0
-    assert {(r.base_score, r.score) for r in b.score(docs.where("doc_id = 4"), model, segments).collect()} == {(0.0, 0.0)}
+    none, _ = b.tokenized(docs.limit(0))
+    model, segments = b.train(none, segments=2)
+    assert b.score(none, model, segments).count() == 0
+    one, _ = b.tokenized(docs.where("doc_id = 4"))
+    assert {(r.base_score, r.score) for r in b.score(one, model, segments).collect()} == {(0.0, 0.0)}
