@@ -68,3 +68,28 @@ def test_no_labels_and_no_rows(spark):
     model = q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r.score for r in q.classify(docs, model).collect()] == [0.5] * 3
     assert q.classify(docs.limit(0), model).count() == 0
+
+
+def test_equal_cosines_go_to_the_first():
+    cosine = np.zeros((3, 400), np.float32)
+    cosine[:, 100:200] = 0.5
+    cosine[1, 300] = 0.6
+    near = q.nearest(cosine, 25)
+    assert sorted(near[0].tolist()) == list(range(100, 125))
+    assert sorted(near[1].tolist()) == [*range(100, 124), 300]
+
+
+def test_equal_vectors_vote_in_the_order_of_id_hashes(spark):
+    docs = spark.createDataFrame([(i, "the same words in every text", "en") for i in range(100)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    order = [r.doc_id for r in docs.orderBy(q.F.xxhash64("doc_id"), "doc_id").collect()]
+    scores = {r.score for n in (1, 7) for r in q.classify(docs.repartition(n), q.fit(docs.repartition(n), labels)).collect()}
+    assert len(scores) == 1 and scores.pop() == pytest.approx(np.mean([i % 2 for i in order[: q.NEIGHBOURS]]))
+
+
+def test_accepted_keeps_columns_called_like_the_verdicts(spark):
+    docs = spark.createDataFrame([(*r, f"s{r[0]}", "p", True, 1.5) for r in rows()], "doc_id long, text string, lang string, score string, predicted string, held_out boolean, `a.b` double")
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(180)], "doc_id long, quality int")
+    got = q.accepted(docs, q.fit(docs, labels))
+    assert got.schema == docs.schema
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in docs.where("doc_id < 120").collect())

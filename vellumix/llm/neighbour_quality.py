@@ -3,7 +3,7 @@
 ``fit`` takes at most ``sample`` labelled documents (those whose id hashes lowest), counts their
 words and word shapes in ``TERMS`` hashed terms, and finds the ``RANK`` leading directions of their
 weighted counts by a randomized singular value decomposition. The labelled vectors and the
-projection are broadcast: ``sample`` and ``TERMS`` bound them (2 MB), whatever the corpus.
+projection are broadcast: ``sample`` and ``TERMS`` bound them (7 MB), whatever the corpus.
 ``classify`` projects every document, computes its cosine with every labelled vector in blocks,
 exactly, and averages the labels of the ``NEIGHBOURS`` nearest, weighted by similarity. A score
 uses the text alone.
@@ -11,7 +11,8 @@ uses the text alone.
 Defined results: null texts count as empty; a text without words, or without a similar neighbour,
 gets the mean label; without any label scores are 0.5. Labels that are null or whose document is
 missing aren't used, and several of one document are averaged; rows are scored each by itself;
-ties in similarity go to the neighbour with the lower id hash. Row-local but for the sample.
+similarities that are equal to 20 binary digits go to the neighbour with the lower id hash. Row-local but
+for the sample.
 """
 
 from __future__ import annotations
@@ -71,6 +72,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` columns with the largest cosines of each row, to 20 binary digits; of equal ones the first."""
+    n = cosine.shape[1]
+    order = np.rint(cosine * 2.0**20).astype(np.int64) * n - np.arange(n)  # no two are equal
+    return np.argpartition(-order, k - 1, axis=1)[:, :k]
+
+
 class Model:
     """Weights of terms, their projection, the labelled vectors and their labels."""
 
@@ -100,7 +108,7 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(found), BLOCK):
             cosine = _unit(self.weighed(found[at : at + BLOCK]) @ self.projection) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** POWER
             total = weight.sum(axis=1)
             some = np.flatnonzero(total > 1e-9)
@@ -140,18 +148,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
 def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = KEEP) -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), in place of columns of that name."""
+    kept = [c for c in df.columns if c not in ("score", "predicted")]
+    return judged(df, model, text, threshold).select(*[F.col(f"{ROW}.`{c}`") for c in kept], "score", "predicted")
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text", threshold: float = KEEP) -> DataFrame:
+    """The rows of ``df`` that are predicted good, as they are, whatever their columns are called."""
+    return judged(df, model, text, threshold).where("predicted = 1").select(f"{ROW}.*")
+
+
+ROW = "row"
+
+
+def judged(df: DataFrame, model: Model, text: str, threshold: float) -> DataFrame:
+    """(row, score, predicted): the rows as structs, so that none of their columns clashes with the verdict's."""
     _common.ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], _common.text_bytes(text).alias("_data"))
-    schema = StructType([*(df.schema[c] for c in kept), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), _common.text_bytes(f"`{text}`").alias("data"))
+    schema = StructType([source.schema[ROW], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         terms = TermPairs()
-        for batch in _common.slices(batches, "_data"):
+        for batch in _common.slices(batches, "data"):
             for part in (batch.slice(at, BLOCK) for at in range(0, batch.num_rows, BLOCK)):
-                score = shared.value.scores(counts(part.column("_data").to_pylist(), terms))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+                score = shared.value.scores(counts(part.column("data").to_pylist(), terms))
+                yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
