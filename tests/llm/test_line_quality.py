@@ -68,3 +68,18 @@ def test_clean_keeps_blank_lines(spark):
     rows = [(1, f"{good}\n\n{other}\n"), (2, f"\n{good}\n \nHome\n\n{other}")]
     kept = {r.doc_id: r.text for r in q.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {1: rows[0][1], 2: rows[1][1].replace("Home\n", "")}
+
+
+def test_boilerplate_is_whole_words_that_make_up_the_line(spark):
+    clean = "He moved to the capital and took a degree in design in 1998.\nSpread more butter on the bread before you sign in.\nThey read more books in that year than in all the years before it.\nWe want to sign up for the course that begins next week."
+    junk = ["Read more »", "Sign in", "Click here now", "© 2020 All rights reserved.", "Alle Rechte vorbehalten", "Lire la suite.", "Todos los derechos reservados 2021.", "Conditions d’utilisation."]
+    rows = [(1, clean)] + [(10 + i, f"{clean}\n{j}") for i, j in enumerate(junk)]
+    got = {r.doc_id: r.text for r in q.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {i for i, _ in rows} and set(got.values()) == {clean}
+
+
+def test_columns_called_like_the_operators_own_stay(spark):
+    text = "Here is a proper sentence with enough words to be kept by every rule."
+    df = spark.createDataFrame([(1, f"{text}\nread more", "a", 7, [1.5], "r", True)], "doc_id long, text string, kept string, n_words int, _good array<double>, row string, `_fence` boolean")
+    [r] = q.clean(df).collect()
+    assert q.clean(df).schema == df.schema and tuple(r) == (1, text, "a", 7, [1.5], "r", True)

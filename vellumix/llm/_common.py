@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from vellumix.shared import discard, materialize, scratch, ship
 
-__all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes"]
+__all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes", "with_text"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
@@ -42,6 +43,20 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+def with_text(df: DataFrame, text: str) -> list[Column]:
+    """The columns of ``df`` from a column ``row`` that holds them, but the new text from ``text`` and its length in ``n_chars`` where it changed."""
+    own = []
+    for c in df.columns:
+        old = F.col(f"row.`{c}`")
+        if c == text:
+            old = F.col("text")
+        elif c == "n_chars":
+            same = F.col("text").eqNullSafe(F.col(f"row.`{text}`"))
+            old = F.when(same, old).otherwise(F.length("text").cast(df.schema[c].dataType))
+        own.append(old.alias(c))
+    return own
+
+
 #: What an operator keeps in a worker from task to task.
 KEPT: dict = {}
 

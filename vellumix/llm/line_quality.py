@@ -6,8 +6,8 @@ one that fails the base rules (too few words, or too many words in repeated five
 
 Defined results: a null text counts as empty, an empty text has no words and fails the base rules,
 blank lines are neither judged nor lost, repeated rows are judged each by itself. Row-local: no
-shuffle, nothing broadcast. New columns are added beside the input's; a column of the same name is
-replaced.
+shuffle, nothing broadcast. ``measured`` adds columns beside the input's, in place of those of the same
+name; ``clean`` returns the input's columns alone, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ TERMINAL = r"""[.!?:;…。！？]["')\]»”’]*[\x20\x09-\x0D]*$"""
 #: Marks that stand alone between the entries of a menu.
 SEPARATOR = r"(^|[\x20\x09-\x0D])([|•·»›>]|::)"
 DOUBLED = r"[!?]{2,}"
-# Phrases of page furniture, in lower case.
+# Phrases of page furniture, in lower case: English, German, French, Spanish.
 BOILERPLATE = (
     "accept cookies",
     "all rights reserved",
     "click here",
     "cookie policy",
-    "copyright ©",
     "enable javascript",
     "follow us on",
     "forgot password",
@@ -44,16 +43,48 @@ BOILERPLATE = (
     "subscribe to our newsletter",
     "terms of service",
     "terms of use",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "hier klicken",
+    "newsletter abonnieren",
+    "passwort vergessen",
+    "zum inhalt springen",
+    "accepter les cookies",
+    "aller au contenu",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "lire la suite",
+    "mot de passe oublié",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "aceptar cookies",
+    "haga clic aquí",
+    "leer más",
+    "olvidé mi contraseña",
+    "política de privacidad",
+    "saltar al contenido",
+    "todos los derechos reservados",
+    "términos de uso",
 )
 
 #: Shares of a line's words. A short line is held to end as prose does, a longer one isn't.
 SHORT_WORDS, MAX_SEPARATORS, MAX_SYMBOLS, MAX_DOUBLED = 5, 0.2, 0.5, 0.3
-#: A boilerplate phrase condemns a line of at most so many words.
-BOILERPLATE_WORDS = 25
+#: A boilerplate phrase, whole words, condemns a line of which it is such a share of words at least.
+MIN_BOILERPLATE = 0.5
 MIN_WORDS, MAX_REPEATED, MAX_LOSS = 10, 20, 0.5
 WINDOW = 5
 
 
+def phrases(longest: int) -> str:
+    """The pattern of phrases that are share enough of a line of ``longest`` words."""
+    own = [p.replace("'", "['’]") for p in BOILERPLATE if len(p.split()) >= MIN_BOILERPLATE * longest]
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(own)})(?:$|[^\p{{L}}\p{{N}}])"
+
+
+#: The most words that a line with some phrase may have, by the words of the longest phrases.
+REACHES = sorted({int(len(p.split()) / MIN_BOILERPLATE) for p in BOILERPLATE})
+
+
 def words(text: Column) -> Column:
     """The words of a text, split at the six ASCII white-space characters."""
     for c in "\t\n\x0b\f\r":
@@ -69,13 +100,17 @@ def counted(line: Column) -> Column:
 def judged(x: Column) -> Column:
     """(line, words, punctuation fails, navigation fails, boilerplate fails) of a counted line."""
     line, n = x["line"], x["n"]
+    low, after = F.lower(line), [0, *REACHES]
+    furniture = F.lit(False)
+    for most, least in zip(REACHES, after, strict=False):
+        furniture = F.when((n > least) & (n <= most), low.rlike(phrases(most))).otherwise(furniture)
     symbols, doubled = F.regexp_count(line, F.lit(SYMBOL)), F.regexp_count(line, F.lit(DOUBLED))
     return F.struct(
         line.alias("line"),
         n.alias("n"),
         ((n < SHORT_WORDS) & ~line.rlike(TERMINAL) | (symbols > MAX_SYMBOLS * n) | (doubled > MAX_DOUBLED * n)).alias("punctuation"),
         (F.regexp_count(line, F.lit(SEPARATOR)) > MAX_SEPARATORS * n).alias("navigation"),
-        ((n <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))).alias("boilerplate"),
+        furniture.alias("boilerplate"),
     )
 
 
@@ -121,17 +156,16 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
-    """Documents that pass, without their failing lines and with their blank ones; the columns of ``df``.
+    """Documents that pass, without their failing lines and with their blank ones; the columns of ``df``, whatever they are called.
 
     ``n_chars`` follows the text where ``df`` has it.
     """
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     passes = lambda x: ~(x["punctuation"] | x["navigation"] | x["boilerplate"])
-    every = F.transform(F.split(F.col(text).cast("string"), "\n"), counted)
+    every = F.transform(F.split(F.col("text").cast("string"), "\n"), counted)
     left = F.transform(F.filter(every, lambda x: (x["n"] == 0) | passes(judged(x))), lambda x: x["line"])
-    out = _common.only(measured(df, text), F.col("kept")).withColumn(text, F.when(F.col("n_failed_lines") == 0, F.col(text)).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in df.columns and text != "n_chars":
-        out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
-    return out.select(df.columns)
+    out = _common.only(measured(own), F.col("kept")).withColumn("text", F.when(F.col("n_failed_lines") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
+    return out.select(*_common.with_text(df, text))
 
 
 def op4_line_quality(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +174,7 @@ def op4_line_quality(spark, sf_dir: str) -> DataFrame:
     return measured(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words", "n_failed_lines")
 
 
-_PHRASES = "|".join(BOILERPLATE)
+_FURNITURE = " ".join(f"WHEN n <= {most} THEN regexp_matches(lower(line), '{phrases(most)}')".replace("['’]", "[''’]") for most in REACHES)
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '{WORD}') AS w FROM d),
@@ -154,7 +188,7 @@ v AS (SELECT r, line, n,
   n < {SHORT_WORDS} AND NOT regexp_matches(line, '{TERMINAL.replace("'", "''")}')
   OR len(regexp_extract_all(line, '{SYMBOL}')) > {MAX_SYMBOLS} * n OR len(regexp_extract_all(line, '{DOUBLED}')) > {MAX_DOUBLED} * n
   OR len(regexp_extract_all(line, '{SEPARATOR}')) > {MAX_SEPARATORS} * n
-  OR n <= {BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{_PHRASES}') AS bad
+  OR CASE {_FURNITURE} ELSE false END AS bad
   FROM m WHERE n > 0),
 g AS (SELECT r, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (NOT bad), 0) AS kept_words, count(*) FILTER (bad) AS failed FROM v GROUP BY r),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
