@@ -104,3 +104,30 @@ def test_long_lines_alone_and_pairs_across_blank_lines_go_but_shorter_lines_alon
     rows = [(1, f"first\n{long[:-4]}\nfirst too"), (2, f"second\n{long[:-4]}\nsecond too"), (3, long), (4, "own\n" + long), (5, "a b\n\nc d"), (6, "own\na b\n\nc d\n\nown too")]
     got = {r.doc_id: r.text for r in q.remove_repeats(frame(spark, [(*r, "x") for r in rows])).collect()}
     assert [got[i] for i in range(1, 7)] == [rows[0][1], rows[1][1], long, "own", "a b\n\nc d", "own\n\nown too"]
+
+
+def test_columns_called_like_the_operators_own_stay(spark):
+    rows = [(1, "a b\nc d\ne", 5, "x", "y"), (2, "a b\nc d\nf", 99, "z", "w"), (3, "a b\nc d", 1, "z", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _id string, row string")
+    assert q.remove_repeats(df).columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, q.deduplicated(df).collect())) == [rows[0], (2, "f", 1, "z", "w")]
+    assert q.deduplicated(df).schema == df.schema
+
+
+def test_recall_of_repeated_passages_against_an_exact_scan(spark):
+    """Passages of 2 to 40 lines, each in two documents with fresh lines around it; an exact scan for runs of equal lines says what repeats."""
+    rng, fresh = random.Random(12), iter(range(10**6))
+    own = lambda: [f"fresh line {next(fresh)} of its own" for _ in range(rng.randint(1, 9))]
+    rows = []
+    for n in (2, 3, 5, 8, 10, 20, 40):
+        for _ in range(20):
+            passage = [f"shared line {next(fresh)}" for _ in range(n)]
+            rows += [(len(rows) + k, "\n".join(own() + passage + own()), "x") for k in range(2)]
+    seen, want = set(), {}
+    for i, text, _ in rows:  # each two successive lines that an earlier text has
+        lines = text.split("\n")
+        pairs = list(zip(lines, lines[1:], strict=False))
+        want[i] = {k + d for k, p in enumerate(pairs) if p in seen for d in (0, 1)}
+        seen.update(pairs)
+    got = {r.doc_id: r.n_removed for r in q.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {i: len(w) for i, w in want.items()} and sum(got.values()) == 20 * (2 + 3 + 5 + 8 + 10 + 20 + 40)

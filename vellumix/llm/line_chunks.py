@@ -3,7 +3,8 @@
 A hash rolls over each two neighbouring line hashes; a chunk begins at a line where it is a local
 minimum. That depends on a few lines around the place and on nothing before them, so inserted
 lines don't move the boundaries of a passage further down. These chunks have two lines at least.
-``FAMILIES`` rolling hashes with different keys cut each text in as many ways.
+``FAMILIES`` rolling hashes with different keys cut each text in as many ways; one is enough, as
+below.
 
 A passage of a few lines has often no such chunk, and its edges lie outside of any. So each two
 successive lines with words (and the blank lines between) are a chunk too, and each line of over
@@ -20,8 +21,8 @@ first, to compare their bytes. A chunk that any share of all documents holds is
 of a plain join, which Spark splits.
 
 Defined results: a null text counts as empty and stays null; equal rows (id and text) count as one
-place, so both stay as they are; a null id is less than any other; empty tables stay empty. Columns
-beginning with an underscore are the operator's own.
+place, so both stay as they are; a null id is less than any other; empty tables stay empty. The
+input's columns are carried as one struct, so none of them clashes with the operator's own.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vellumix.llm import _common
 
-FAMILIES = 2
+FAMILIES = 1
 LONG_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]"
 #: More than LONG_WORDS words; possessive, so that it never goes back.
@@ -95,9 +96,22 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     ``df`` is read twice, so it should be a table.
     """
-    columns = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    own = df.select(*[F.col(f"`{c}`") for c in columns]).withColumns({"_id": F.col(id_column), "_text_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
-    chunks = chunked(own.select("_id", "_text_hash", F.col(text).alias("_text")), "_text", families, modulus)
+    out = marked(df, id_column, text, families, modulus)
+    rest = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*rest, "n_lines", "n_removed")
+
+
+def deduplicated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``df`` without repeated passages; documents of which no word is left thereby go. ``n_chars`` follows the text."""
+    out = marked(df, id_column, text, FAMILIES, None)
+    return _common.only(out, (F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*_common.with_text(df, text))
+
+
+def marked(df: DataFrame, id_column: str, text: str, families: int, modulus: int | None) -> DataFrame:
+    """(row, text, n_lines, n_removed): the rows of ``df`` as structs, their texts without repeated passages."""
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{id_column}`").alias("_id"))
+    own = own.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    chunks = chunked(own.select("_id", "_text_hash", "text"), "text", families, modulus)
     # Not inline(): the filter that the optimizer makes of it would compute the chunks once more, unshared.
     places = chunks.select("_id", "_text_hash", F.inline_outer("_chunks")).where("h is not null")
     place = F.struct("_id", "_text_hash", "a")
@@ -105,7 +119,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     flagged = places.join(_common.apart(repeated), "h").select("_id", "_text_hash", "a", "b", "h", (place != F.col("_first")).alias("extra"))
 
     found, _ = _common.materialize(_with_lists(own, _lists(flagged)), "line-chunks")
-    lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
+    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     passages = found.where("_places is not null").select("_id", "_text_hash", lines.alias("_lines"), F.explode("_places").alias("p")).select("_id", "_text_hash", "p.*", _passage(F.col("_lines"), F.col("p")).alias("_bytes"))
     # Bytes: places of a hash must all hold the same passage.
     different = passages.groupBy("h", "_bytes").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -117,7 +131,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     out = found.withColumn("_lines", lines).withColumn("_gone", F.array_distinct(F.flatten(F.transform(extra, lambda p: F.sequence(p["a"], p["b"] - 1)))))
     out = out.withColumns({"n_lines": F.size("_lines"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))})
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
-    return out.withColumn(text, F.when(F.col("n_removed") > 0, left).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in columns], "n_lines", "n_removed")
+    return out.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))).select("row", "text", "n_lines", "n_removed")
 
 
 def op3_line_chunks(spark, sf_dir: str) -> DataFrame:
