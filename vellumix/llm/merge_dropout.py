@@ -1,19 +1,23 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Encoding merges, again and again, the adjacent pair whose merged piece has the best score (the
-leftmost of equals). With dropout, a candidate merge, known by the word, its variant and the places
-where it starts, meets and ends, is skipped if a keyed hash of these is under ``dropout``; so the
-same seed always gives the same segmentation, other seeds and variants give others, and all decode
-to the same text. A document's variant is a hash of its text modulo ``VARIANTS``.
-
-Words (cut before line feeds and before spaces that follow another character, where no piece
-reaches across) are segmented once a batch, all words of a length together in numpy; ``agenda`` does the
-same with a priority queue for one word, for very long words and for the tests. Characters without
-a piece, and a literal U+2581, are written as bytes, so every text decodes exactly.
+leftmost of equals). With dropout, a candidate merge, known by the word's occurrence (the text's hash
+under the seed, and the word's place in the text) and by where the merge starts, meets and ends in
+the word, is skipped if a keyed hash of these is under ``dropout``. So every occurrence of a word draws
+its own merges, the same seed always gives the same segmentation, other seeds give others, and all
+decode to the same text.
+
+Words are cut before line feeds and before spaces that follow another character, where no piece
+reaches across. A slice's different words are segmented once without dropout, noting the merges
+made; an occurrence none of whose noted merges is skipped has that segmentation, since skipping
+other candidates changes nothing. The rest are segmented by themselves. Words of a length are
+segmented together in numpy; ``agenda`` does the same with a priority queue for one word, for very
+long words and for the tests. Characters without a piece, and a literal U+2581, are written as
+bytes, so every text decodes exactly.
 
 Defined results: a null text is an empty one and has no tokens; repeated rows are encoded each by
-itself; a dropout of 1 leaves single characters. Row-local: no shuffle; memory is bounded by a
-batch's words.
+itself and alike, as are equal texts; a dropout of 1 leaves single characters. Row-local: no shuffle;
+memory is bounded by a slice's words.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumix.llm import _common
 
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 20240601, 4
+DROPOUT, SEED = 0.1, 20240601
+SLICE = 4 << 20  # bytes of texts encoded at a time
 LONGEST = 32  # characters of words that are segmented together
 #: A space stands for a literal U+2581 here, which real spaces no longer are.
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}\n ]*|\n?[^{SPACE}\n ]+|[\n ]")
@@ -62,17 +68,10 @@ def place(start: int, meet: int, end: int) -> int:
     return (start << 42 | meet << 21 | end) & _64
 
 
-def word_keys(points: np.ndarray, variant: np.ndarray, seed: int) -> np.ndarray:
-    """The keyed hashes of words (rows of code points) that their candidate merges' hashes start from."""
-    key = _mix(variant.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & _64))
-    for j in range(points.shape[1]):
-        key = _mix(key ^ (points[:, j].astype(np.uint64) + np.uint64((j + 1) * 0xD6E8FEB86659FD93 & _64)))
-    return key
-
-
-def word_key(word: str, variant: int, seed: int) -> int:
-    """``word_keys`` of one word."""
-    return int(word_keys(code_points([word], len(word)), np.array([variant]), seed)[0])
+def keys_of(text: bytes, n: int, seed: int) -> np.ndarray:
+    """The keys of a text's ``n`` words, by their places, that their candidate merges' hashes start from."""
+    own = np.uint64(xxhash.xxh3_64_intdigest(text, seed & _64))
+    return _mix(own + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def code_points(words: list[str], size: int) -> np.ndarray:
@@ -156,8 +155,8 @@ class Merger:
             out += [i] if i >= 0 else [self.bytes[b] for b in (SPACE if i == -1 - ord(" ") else chr(-1 - i)).encode()]
         return out
 
-    def agenda(self, word: str, key: int, dropout: float) -> list[int]:
-        """One word's pieces, by a priority queue of candidate merges."""
+    def agenda(self, word: str, key: int, dropout: float, made: list[int] | None = None) -> list[int]:
+        """One word's pieces, by a priority queue of candidate merges; the places of those made are added to ``made``."""
         ids = self.characters(word)
         end, before, after = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
         alive, queue = [True] * len(ids), []
@@ -174,6 +173,8 @@ class Merger:
             _, i, j, stop, meet, piece = heapq.heappop(queue)
             if not (alive[i] and j < len(ids) and alive[j]) or after[i] != j or end[j] != stop or end[i] != meet:
                 continue
+            if made is not None:
+                made.append(place(i, j, stop))
             ids[i], end[i], alive[j], after[i] = piece, stop, False, after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
@@ -182,8 +183,8 @@ class Merger:
                 propose(before[i], i)
         return self.spelled([x for x, a in zip(ids, alive, strict=True) if a])
 
-    def together(self, points: np.ndarray, keys: np.ndarray, dropout: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The merged pieces of many words of one length, as (rows of ``points``, their pieces)."""
+    def together(self, points: np.ndarray, keys: np.ndarray, dropout: float, made: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The merged pieces of many words of one length, as (rows of ``points``, their pieces); (rows, places) of the merges are added to ``made``."""
         ids, width = self.character[points], points.shape[1]
         out, live = [], np.arange(len(ids))
         limit = np.uint64(min(int(dropout * 2**64), _64))
@@ -202,6 +203,8 @@ class Merger:
             out.append((live[~found], ids[~found]))
             live, ids, keys, bounds, piece, best = live[found], ids[found], keys[found], bounds[found], piece[found], best[found]
             row = np.arange(len(live))
+            if made is not None and len(live):
+                made.append((live, bounds[row, best] << np.uint64(42) | bounds[row, best + 1] << np.uint64(21) | bounds[row, best + 2]))
             ids[row, best] = piece[row, best]
             # The second piece of the pair leaves, and with it the bound where they met.
             at = np.arange(ids.shape[1] - 1)
@@ -229,19 +232,33 @@ class Merger:
         """The word that ``word_refs`` marked."""
         return word if word[0] == "\n" else word[1:] if word[0] == SPACE else SPACE + word
 
-    def segment(self, words: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of words in their variants, one after another, and where each word's begin (and the end)."""
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
-        blocks, sizes = [], np.zeros(len(words), np.int64)
-        for size, own in by.items():
-            if size > LONGEST:
-                parts = [(np.array([i]), np.array([self.agenda(words[i], word_key(words[i], int(variants[i]), seed), dropout)], np.int32)) for i in own]
+    def segment(self, words: list[str], refs: np.ndarray, keys: np.ndarray, dropout: float, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of ``words[r]`` for each of ``refs`` with its key, one after another, and where each one's begin (and the end).
+
+        (numbers of refs, places) of the merges are added to ``made``.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        blocks, sizes = [], np.zeros(len(refs), np.int64)
+        of_ref = size[refs]
+        order = np.argsort(of_ref, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(of_ref[order])) + 1):
+            if not len(own):
+                continue
+            width = int(of_ref[own[0]])
+            if width > LONGEST:
+                parts = []
+                for i in own.tolist():
+                    done: list[int] = []
+                    parts.append((np.array([i]), np.array([self.agenda(words[refs[i]], int(keys[i]), dropout, done)], np.int32)))
+                    if made is not None:
+                        made.append((np.full(len(done), i), np.array(done, np.uint64)))
             else:
-                own = np.array(own)
-                points = code_points([words[i] for i in own], size)
-                parts = [(own[rows], ids) for rows, ids in self.together(points, word_keys(points, variants[own], seed), dropout)]
+                different, at = np.unique(refs[own], return_inverse=True)
+                points = code_points([words[r] for r in different.tolist()], width)[at]
+                noted: list | None = None if made is None else []
+                parts = [(own[rows], ids) for rows, ids in self.together(points, keys[own], dropout, noted)]
+                if made is not None:
+                    made += [(own[rows], places) for rows, places in noted]
             for rows, ids in parts:
                 low = (ids < 0) & (ids >= -128) & (ids != -1 - ord(" "))
                 ids[low] = self.low[-1 - ids[low]]
@@ -257,10 +274,35 @@ class Merger:
             flat[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
         return flat, starts
 
-    def encode(self, text: str, dropout: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
+    def occurrences(self, words: list[str], refs: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``segment`` for many occurrences of few words, and how many pieces each has without dropout."""
+        made: list = []
+        flat, starts = self.segment(words, np.arange(len(words)), np.zeros(len(words), np.uint64), 0.0, made)
+        plain = np.diff(starts)
+        first, size = starts[:-1][refs], plain[refs]
+        if dropout > 0 and made:
+            at = np.concatenate([rows for rows, _ in made])
+            order = np.argsort(at, kind="stable")
+            hashes = _mix(np.concatenate([places for _, places in made]))[order]
+            n = np.bincount(at, minlength=len(words))
+            begin = np.cumsum(n) - n
+            limit = np.uint64(min(int(dropout * 2**64), _64))
+            times = n[refs]
+            which = np.repeat(np.arange(len(refs)), times)
+            number = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            skipped = _mix(keys[which] ^ hashes[begin[refs][which] + number]) < limit
+            redo = np.flatnonzero(np.bincount(which[skipped], minlength=len(refs)))
+            other, at = self.segment(words, refs[redo], keys[redo], dropout)
+            first[redo], size[redo] = len(flat) + at[:-1], np.diff(at)
+            flat = np.concatenate([flat, other])
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(first - bounds[:-1], size) + np.arange(bounds[-1])]
+        return ids, bounds, plain[refs]
+
+    def encode(self, text: str, dropout: float = 0.0, seed: int = SEED) -> list[int]:
         """One text's ids."""
         words = self.words(text)
-        return self.segment(words, np.full(len(words), variant), dropout, seed)[0].tolist()
+        return self.segment(words, np.arange(len(words)), keys_of(text.encode(), len(words), seed), dropout)[0].tolist()
 
     def decode(self, ids) -> str:
         """The text that ``encode`` got: pieces and bytes joined, without the space put before them."""
@@ -270,42 +312,36 @@ class Merger:
 _ENCODED = "doc_id long, n_tokens long, n_plain long, ids_crc32 long, lossless boolean, ids binary"
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, keep_ids: bool = True) -> DataFrame:
+def kept_merger(path: str) -> Merger:
+    """The merger of a model's file, built once in a worker."""
+    if ("merger", path) not in _common.KEPT:
+        _common.KEPT.clear()  # what another operator has kept
+        _common.KEPT["merger", path] = Merger(path)
+    return _common.KEPT["merger", path]
+
+
+def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, keep_ids: bool = True) -> DataFrame:
     """Each text's ids (little-endian 32-bit bytes), how many there are, how many without dropout, and whether they decode to the text."""
     if not 0 <= dropout <= 1:
         raise ValueError("dropout is from 0 to 1")
     _common.ship(docs.sparkSession)
     path = path or model_path()
-    names = [x.split()[0] for x in _ENCODED.split(", ")]
 
     def run(batches):
-        merger = Merger(path)
-        for batch in _common.slices(batches, "data", 16 << 20):
+        merger = kept_merger(path)
+        for batch in _common.slices(batches, "data", SLICE, keep=True):
             texts = batch.column("data").to_pylist()
-            each = [_Index() for _ in range(variants)]  # each variant's words
-            own = [zlib.crc32(t) % variants for t in texts]
-            refs = [merger.word_refs(t.decode(errors="replace"), each[v]) if t else np.zeros(0, np.int64) for t, v in zip(texts, own, strict=True)]
-            first = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-            marked = [w for index in each for w in index]
-            words = list(map(merger.marked, marked))
-            flat, starts = merger.segment(words, np.repeat(np.arange(variants), np.diff(first)), dropout, seed)
-            size = np.diff(starts)
-            bare = _Index()
-            at = np.fromiter(map(bare.__getitem__, words), np.int64, len(words))
-            plain = np.diff(merger.segment(list(bare), np.zeros(len(bare), np.int64), 0.0, seed)[1])[at] if dropout else size
-            pieces = list(map(merger.text.__getitem__, flat.tolist()))
-            bounds, data = starts.tolist(), flat.astype("<i4").tobytes()
-            parts = [data[4 * a : 4 * b] for a, b in pairwise(bounds)]
-            spelled = [b"".join(pieces[a:b]) for a, b in pairwise(bounds)]
-            rows = []
-            for t, v, r in zip(texts, own, refs, strict=True):
-                r = r + first[v]
-                places = r.tolist()
-                ids = b"".join(map(parts.__getitem__, places))
-                back = b"".join(map(spelled.__getitem__, places))[1:]
-                rows.append((len(ids) // 4, int(plain[r].sum()), zlib.crc32(ids), back == t, ids if keep_ids else None))
+            index = _Index()
+            each = [merger.word_refs(t.decode(errors="replace"), index) if t else np.zeros(0, np.int64) for t in texts]
+            keys = [keys_of(t, len(r), seed) for t, r in zip(texts, each, strict=True)]
+            ids, bounds, plain = merger.occurrences(list(map(merger.marked, index)), np.concatenate(each), np.concatenate(keys), dropout)
+            cut = np.cumsum([0, *map(len, each)])
+            total, pieces, data, rows = np.concatenate([[0], np.cumsum(plain)]), merger.text.__getitem__, ids.astype("<i4"), []
+            for (a, b), t in zip(pairwise(cut), texts, strict=True):
+                own = data[bounds[a] : bounds[b]]
+                rows.append((len(own), int(total[b] - total[a]), zlib.crc32(own), b"".join(map(pieces, own.tolist()))[1:] == t, own.tobytes() if keep_ids else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[x.split()[0] for x in _ENCODED.split(", ")])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), _common.text_bytes(text).alias("data")).mapInArrow(run, _ENCODED)
 
@@ -316,7 +352,7 @@ def decode(encoded: DataFrame, id_column: str = "doc_id", ids: str = "ids", path
     path = path or model_path()
 
     def run(batches):
-        merger = Merger(path)
+        merger = kept_merger(path)
         for batch in batches:
             texts = [None if x is None else merger.decode(np.frombuffer(x, "<i4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
