@@ -76,3 +76,30 @@ def test_templates_wrapped_at_70_columns(template, prefix):
     assert label in {index.labels[t] for _, _, hits in blocks for t, _ in lic.best(hits, index.explained, index.sizes)}
     scattered = "\n".join(" ".join([w, *["filler"] * 40]) for w in text.split())
     assert index.blocks(scattered.encode()) == []
+
+
+def test_windows_equal_brute_force_over_all_windows():
+    """A template is reported if and only if a window of its length, over lines, or a line holds enough of it."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnop"
+    templates = [("x", " ".join(rng.sample(letters, rng.randint(5, 9)))) for _ in range(12)]
+    index, hits = lic.Index(templates, {c.encode(): rng.randint(0, 9) for c in letters}, 0.8), 0
+    for _ in range(300):
+        lines = [" ".join(rng.choices(letters + "qrstuvw", k=rng.randint(0, 6))) for _ in range(rng.randint(1, 8))]
+        every = lic.words("\n".join(lines).encode())
+        want = {t for line in lines for t, _ in brute(line, templates, 0.8)}
+        for t, (_, text) in enumerate(templates):
+            own = set(lic.words(text.encode()))
+            if any(len(own & set(every[i : i + len(own)])) >= index.needed[t] for i in range(len(every))):
+                want.add(t)
+        got = {t for _, _, found in index.blocks("\n".join(lines).encode()) for t, _ in found}
+        assert got == want
+        hits += len(want)
+    assert hits > 10
+
+
+def test_whole_licenses_in_comments_are_found(spark):
+    rows = [(i, "def f():\n    pass\n" + "\n".join(f"{mark} {x}" for x in textwrap.wrap(text, width))) for i, (mark, width, (_, text)) in enumerate((m, w, t) for m in ("#", "//", " *", "") for w in (60, 78) for t in lic.TEMPLATES)]
+    got = lic.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r.doc_id, r.label) for r in got.collect()}
+    assert {(i, lic.TEMPLATES[i % len(lic.TEMPLATES)][0]) for i, _ in rows} <= found
