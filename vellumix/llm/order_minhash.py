@@ -332,7 +332,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     )
     # A null id sorts after all others here.
     first = named.groupBy("c").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("first"))
-    result = named.join(first, "c").select("digest", F.col("first.least").alias("class_id"), F.col("first.digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    result = named.join(_common.apart(first), "c").select("digest", F.col("first.least").alias("class_id"), F.col("first.digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return sketched.select("doc_id", "digest").join(_common.apart(result), "digest").select("doc_id", "digest", "class_id", "class_digest", "n_links", "n_copies")
 
 
@@ -390,10 +390,11 @@ def _texts(docs: DataFrame, id_column: str, text: str, wanted: DataFrame) -> Dat
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their classes: of each class, the document with the least id."""
-    chosen = classes(docs, id_column, text).select(F.col("class_id").alias("_id"), F.col("class_digest").alias("_digest")).distinct()
-    own = docs.withColumn("_own", digest(text))
-    same = (F.col("_own") == F.col("_digest")) & F.col(id_column).cast("long").eqNullSafe(F.col("_id"))
-    return own.join(chosen, same, "left_semi").dropDuplicates(["_own", id_column]).drop("_own")
+    chosen = classes(docs, id_column, text).select(F.col("class_id").alias("id"), F.col("class_digest").alias("digest")).distinct()
+    # The rows as structs, so that none of their columns clashes with these.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest(text).alias("own"), F.col(f"`{id_column}`").cast("long").alias("own_id"))
+    same = (F.col("own") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("id"))
+    return own.join(chosen, same, "left_semi").dropDuplicates(["own", "own_id"]).select("row.*")
 
 
 def op2_order_minhash(spark, sf_dir: str) -> DataFrame:
