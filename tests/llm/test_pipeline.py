@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_line_quality import slow
@@ -12,6 +13,9 @@ from vellumix.llm import order_minhash, packing
 GOOD = "the sea is wide and ships go by in the evening light while people watch from shore".split()
 
 
+CLASHES = ("score", "predicted", "kept", "n_words", "n_removed", "n_lines", "_id", "_own", "_text_hash", "row", "digest", "id", "data", "_fence", "length")
+
+
 def tables(path, spark):
     rng = random.Random(8)
     names = [f"name{i}" for i in range(2000)]
@@ -27,7 +31,9 @@ def tables(path, spark):
     bad = [" ".join(w + "$$$" for w in rng.choices(GOOD, k=60)) for _ in range(40)]
     loud = ["!! ".join(w.upper() for w in rng.choices(GOOD, k=60)) + "!!" for _ in range(3)]
     rows = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate([*texts, *bad, *loud, None, ""])]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    # Columns called like those of the operators' own.
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    df.withColumns({c: F.col("doc_id").cast("string") for c in CLASHES}).write.parquet(f"{path}/documents.parquet")
     labels = [(i, int(i < len(texts)), 0) for i in range(len(texts) + len(bad))]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return rows, len(texts)
@@ -44,6 +50,7 @@ def stages(spark, tmp_path_factory):
         made = f(spark, docs, path)
         if name != "best_fit_packing":
             assert made.dtypes == columns
+            assert made.where(" OR ".join(f"NOT {c} <=> CAST(doc_id AS STRING)" for c in CLASHES)).count() == 0
         made.write.parquet(f"{path}/{name}")
         docs = spark.read.parquet(f"{path}/{name}")
         out[name] = docs.collect()
