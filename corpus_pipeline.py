@@ -7,7 +7,6 @@ returns the columns of ``documents``, but for the last, which returns a row for
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vellumix.llm import _common, line_chunks, line_quality, neighbour_quality, order_minhash, packing
 
@@ -16,7 +15,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that labelled neighbours vote for; the rest go."""
     labels = _common.read(spark, sf_dir, "labels").where(~neighbour_quality.held_out())
     model = neighbour_quality.fit(docs, labels)
-    return neighbour_quality.classify(docs, model).where("predicted = 1").select(docs.columns)
+    return neighbour_quality.accepted(docs, model)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in earlier ones; those of which nothing is left go."""
-    out = _common.only(line_chunks.remove_repeats(docs), (F.col("n_removed") == 0) | F.col("text").rlike(line_quality.WORD))
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", length).select(docs.columns)
+    return line_chunks.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
