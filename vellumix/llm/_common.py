@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellumix.shared import discard, materialize, scratch, ship
 
-__all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes", "with_text"]
+__all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes", "with_text", "without_text"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,16 +43,18 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
-def with_text(df: DataFrame, text: str) -> list[Column]:
-    """The columns of ``df`` from a column ``row`` that holds them, but the new text from ``text`` and its length in ``n_chars`` where it changed."""
+def without_text(df: DataFrame, text: str) -> Column:
+    """The columns of ``df`` but its text as a struct ``row``, so that none of them clashes with an operator's own."""
+    return F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row")
+
+
+def with_text(df: DataFrame, text: str, changed: Column) -> list[Column]:
+    """The columns of ``df`` again from ``row`` and ``text``; ``n_chars`` follows a changed text."""
     own = []
     for c in df.columns:
-        old = F.col(f"row.`{c}`")
-        if c == text:
-            old = F.col("text")
-        elif c == "n_chars":
-            same = F.col("text").eqNullSafe(F.col(f"row.`{text}`"))
-            old = F.when(same, old).otherwise(F.length("text").cast(df.schema[c].dataType))
+        old = F.col("text") if c == text else F.col(f"row.`{c}`")
+        if c == "n_chars" != text:
+            old = F.when(changed, F.length("text").cast(df.schema[c].dataType)).otherwise(old)
         own.append(old.alias(c))
     return own
 

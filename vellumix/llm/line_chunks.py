@@ -104,12 +104,12 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 def deduplicated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``df`` without repeated passages; documents of which no word is left thereby go. ``n_chars`` follows the text."""
     out = marked(df, id_column, text, FAMILIES, None)
-    return _common.only(out, (F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*_common.with_text(df, text))
+    return _common.only(out, (F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*_common.with_text(df, text, F.col("n_removed") > 0))
 
 
 def marked(df: DataFrame, id_column: str, text: str, families: int, modulus: int | None) -> DataFrame:
-    """(row, text, n_lines, n_removed): the rows of ``df`` as structs, their texts without repeated passages."""
-    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{id_column}`").alias("_id"))
+    """(row, text, n_lines, n_removed): the rows of ``df`` with their other columns as structs, their texts without repeated passages."""
+    own = df.select(_common.without_text(df, text), F.col(f"`{text}`").alias("text"), F.col(f"`{id_column}`").alias("_id"))
     own = own.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     chunks = chunked(own.select("_id", "_text_hash", "text"), "text", families, modulus)
     # Not inline(): the filter that the optimizer makes of it would compute the chunks once more, unshared.

@@ -160,12 +160,12 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
 
     ``n_chars`` follows the text where ``df`` has it.
     """
-    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    own = df.select(_common.without_text(df, text), F.col(f"`{text}`").alias("text"))
     passes = lambda x: ~(x["punctuation"] | x["navigation"] | x["boilerplate"])
     every = F.transform(F.split(F.col("text").cast("string"), "\n"), counted)
     left = F.transform(F.filter(every, lambda x: (x["n"] == 0) | passes(judged(x))), lambda x: x["line"])
     out = _common.only(measured(own), F.col("kept")).withColumn("text", F.when(F.col("n_failed_lines") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
-    return out.select(*_common.with_text(df, text))
+    return out.select(*_common.with_text(df, text, F.col("n_failed_lines") > 0))
 
 
 def op4_line_quality(spark, sf_dir: str) -> DataFrame:
