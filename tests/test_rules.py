@@ -74,7 +74,7 @@ def test_levels_and_front_matter(ask):
     assert [ask(T.front_matter, x) for x in ("CS 70", "Spring 2024", "My Course  Notes", "Springs 2024", "x")] == [True, True, True, False, False]
 
 
-@pytest.mark.parametrize("line, bullet, want", [("and more", "x", True), ("More", "x", False), ("More", "let {", True), ("x = 3", "a", True), ("(so)", "a", True), ("2. next", "a:", False), ("• next", "a:", False), ("A ∈ B holds", "a", True), ("", "a:", False)])
+@pytest.mark.parametrize("line, bullet, want", [("and more", "x", True), ("More", "x", False), ("More", "let {", True), ("x = 3", "a", True), ("(so)", "a", True), ("2. next", "a:", False), ("• next", "a:", False), ("A ∈ B holds", "a", True), ("A = B holds", "a", True), ("", "a:", False)])
 def test_bullet_continuation(ask, line, bullet, want):
     assert ask(T.bullet_continuation, line, bullet) is want
 

@@ -48,6 +48,10 @@ class Dialect:
     def keep(self, xs: str, v: str, body: str) -> str:
         return f"filter({xs}, {v} -> {body})"
 
+    def let(self, x: str, v: str, body: str) -> str:
+        """``body`` with ``v`` standing for ``x``, which is computed once."""
+        return f"get(transform(array({x}), {v} -> {body}), 0)"
+
     def fold(self, xs: str, start: str, acc: str, v: str, body: str) -> str:
         return f"aggregate({xs}, {start}, ({acc}, {v}) -> {body})"
 
@@ -113,6 +117,9 @@ class Duck(Dialect):
     def keep(self, xs: str, v: str, body: str) -> str:
         return f"list_filter({xs}, lambda {v}: {body})"
 
+    def let(self, x: str, v: str, body: str) -> str:
+        return f"(list_transform([{x}], lambda {v}: {body})[1])"
+
     def fold(self, xs: str, start: str, acc: str, v: str, body: str) -> str:
         return f"list_reduce({xs}, lambda {acc}, {v}: {body}, {start})"
 

@@ -7,6 +7,7 @@ from vellumix.functions.text import WS, strip
 
 # Characters and symbols that speak for a formula.
 MATH_CHARACTER = r"[=+\-*/^_<>|()\[\]{}\\]"
+FORMULA_CHARACTER = r"[=+\-*/^_|()\[\]{}\\]"
 MATH_SYMBOL = "[∑∏√∞≈≤≥≠∈∉⊂⊆∪∩∀∃]"
 GREEK_OR_COMMAND = r"\\[a-zA-Z]+|[α-ωΑ-Ω]"
 SIGNAL = r"[∑∏∈∉⊆⊂⊇∩∪=≠≤≥{}|\\^·]"
@@ -22,37 +23,44 @@ def signal_score(d: Dialect, x: str) -> str:
     return d.count(x, SIGNAL)
 
 
+# Thresholds of what reads as prose or as a formula: characters, words, letters, symbols, tokens, share of mathematical characters.
+PROSE_LENGTH, PROSE_WORDS, PROSE_LETTERS = 60, 8, 24
+SENTENCE_SYMBOLS, GREEK_TOKENS = 3, 16
+DENSE_TOKENS, DENSE_SYMBOLS, DENSE_SHARE = 8, 3, 0.18
+EQUATION_TOKENS, EQUATION_SYMBOLS, EQUATION_LETTERS = 6, 2, 20
+FEW_WORDS, SOME_SYMBOLS = 2, 2
+#: The same as patterns that end where the last word or letter is found.
+PROSE = (rf"^[^A-Za-z]*(?:[A-Za-z]+[^A-Za-z]+){{{PROSE_WORDS - 1}}}[A-Za-z]", rf"^(?:[^A-Za-z]*[A-Za-z]){{{PROSE_LETTERS}}}")
+
+
 def math_like(d: Dialect, text: str) -> str:
     """Whether a text reads as a formula and not as prose."""
-    x = strip(d, text)
-    m, s = d.count(x, MATH_CHARACTER), d.count(x, MATH_SYMBOL)
-    w, a = d.count(x, "[A-Za-z]+"), d.count(x, "[A-Za-z]")
-    t = d.count(x, f"[^{WS}]+")
-    return (
-        f"CASE WHEN {x} = '' THEN false WHEN {d.test(x, r'^\$')} AND {d.test(x, r'\$$')} THEN true "
-        f"WHEN {d.length(x)} >= 60 AND {w} >= 8 AND {a} >= 24 THEN false "
-        f"WHEN {w} >= 1 AND {d.test(x, '[.?!]')} AND {m} + {s} <= 3 THEN false "
-        f"WHEN {d.test(x, GREEK_OR_COMMAND)} AND {t} <= 16 THEN true "
-        f"WHEN {t} <= 8 AND {m} + {s} >= 3 AND CAST({m} AS DOUBLE) / {d.length(x)} >= 0.18 THEN true "
-        f"WHEN {t} <= 6 AND contains({x}, '=') AND {m} + {s} >= 2 AND {a} <= 20 THEN true "
-        f"ELSE {w} <= 2 AND {m} + {s} >= 2 END"
+    rest = (
+        f"CASE WHEN w >= 1 AND m <= {SENTENCE_SYMBOLS} AND {d.test('x', '[.?!]')} THEN false "
+        f"WHEN t <= {GREEK_TOKENS} AND {d.test('x', GREEK_OR_COMMAND)} THEN true "
+        f"WHEN t <= {DENSE_TOKENS} AND m >= {DENSE_SYMBOLS} AND CAST({d.count('x', MATH_CHARACTER)} AS DOUBLE) / {d.length('x')} >= {DENSE_SHARE} THEN true "
+        f"WHEN t <= {EQUATION_TOKENS} AND contains(x, '=') AND m >= {EQUATION_SYMBOLS} AND {d.count('x', '[A-Za-z]')} <= {EQUATION_LETTERS} THEN true "
+        f"ELSE w <= {FEW_WORDS} AND m >= {SOME_SYMBOLS} END"
     )
+    for v, count in (("m", f"{d.count('x', MATH_CHARACTER)} + {d.count('x', MATH_SYMBOL)}"), ("w", d.count("x", "[A-Za-z]+")), ("t", d.count("x", f"[^{WS}]+"))):
+        rest = d.let(count, v, rest)
+    prose = " AND ".join([f"{d.length('x')} >= {PROSE_LENGTH}", *(d.test("x", p) for p in PROSE)])
+    return d.let(strip(d, text), "x", f"CASE WHEN x = '' THEN false WHEN {d.test('x', r'^\$')} AND {d.test('x', r'\$$')} THEN true WHEN {prose} THEN false ELSE {rest} END")
 
 
-def formulaish(d: Dialect, x: str) -> str:
-    return f"(({math_like(d, x)}) OR {d.test(x, MATH_SYMBOL)} OR {d.test(x, MATH_CHARACTER)})"
+def formulaish(d: Dialect, text: str) -> str:
+    return d.let(strip(d, text), "f", f"(f <> '' AND ({d.test('f', FORMULA_CHARACTER)} OR {d.test('f', MATH_SYMBOL)} OR ({math_like(d, 'f')})))")
 
 
 def force_translatable(d: Dialect, text: str) -> str:
     """Fragments that look like formulas but are words."""
-    x = strip(d, text)
-    return f"({d.test(x, f'^[A-Za-z]{{2,}}[{WS}]*-[{WS}]*[A-Za-z]{{2,}}$')} OR {d.test(x, '(?i)^(symbol |denoted by )')} OR ({d.test(x, '[A-Za-z]{4,}')} AND {d.count(x, MATH_SYMBOL)} <= 2))"
+    few = f"{d.count('f', MATH_SYMBOL)} + {d.count('f', MATH_CHARACTER)} <= 2"
+    return d.let(strip(d, text), "f", f"({d.test('f', f'^[A-Za-z]{{2,}}[{WS}]*-[{WS}]*[A-Za-z]{{2,}}$')} OR {d.test('f', '(?i)^(symbol |denoted by )')} OR ({d.test('f', '[A-Za-z]{4,}')} AND {few}))")
 
 
 def worth_translating(d: Dialect, heading: str) -> str:
     """Whether a heading has anything to translate."""
-    x = strip(d, heading)
-    return f"({d.test(x, '[A-Za-z]')} AND NOT ({math_like(d, heading)}) AND NOT ({d.length(x)} <= 3 AND {x} = upper({x}) AND {x} <> lower({x})))"
+    return d.let(strip(d, heading), "h", f"({d.test('h', '[A-Za-z]')} AND NOT ({d.length('h')} <= 3 AND h = upper(h) AND h <> lower(h)) AND NOT ({math_like(d, 'h')}))")
 
 
 def collapsed(d: Dialect, x: str) -> str:

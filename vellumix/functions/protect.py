@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumix.functions.dialect import DUCK, SPARK, Dialect
+from vellumix.functions.text import WS
 
 # Labels in the order of their passes, and what each protects.
 PASSES = (
@@ -15,8 +16,10 @@ PASSES = (
     ("LINK", r"(?<!!)\[[^\]]+\]\([^)]+\)"),
     ("INLINE_MATH", r"(?<!\$)\$[^$\n]+\$(?!\$)"),
     ("INLINE_CODE", r"`[^`\n]+`"),
-    ("URL", r"https?://[^ \t\n\r\f\x0b)>\]]+"),
+    ("URL", rf"https?://[^{WS})>\]]+"),
 )
+#: What a text holds if a pass has anything to protect.
+HINTS = {"FENCE": "```", "DISPLAY_MATH": "$$", "IMAGE": "![", "LINK": "](", "INLINE_MATH": "$", "INLINE_CODE": "`", "URL": "://"}
 MARK = "\x01"
 
 
@@ -40,6 +43,8 @@ def steps(d: Dialect, label: str, pattern: str, x: str, fragments: str) -> tuple
     """Expressions for a pass: the parts; then, over a column of them named ``parts``, the text and the fragments."""
     n = d.size(fragments)
     parts = d.split(_marked(d, label, pattern, x), MARK)
+    if d is SPARK:
+        parts = f"CASE WHEN contains({x}, '{HINTS[label]}') THEN {parts} ELSE array({x}) END"
     token = _token(d, label, f"{n} + CAST(floor(k / 2) AS BIGINT)")
     text = d.join(d.imap("parts", "p", "k", f"CASE WHEN k % 2 = 1 THEN {token} ELSE p END"), "''")
     none = d.struct(token="''", value="''")

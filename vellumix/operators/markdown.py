@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumix.functions import arrays, protect
+from vellumix.functions import ordered, protect
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK
 
@@ -17,7 +17,7 @@ IMAGE_LINK = r"!\[[^\]]*\]\([^)]+\)"
 
 def with_chunks(docs: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` with arrays ``blocks`` and ``chunks``, inside their rows."""
-    return docs.withColumn("blocks", F.expr(arrays.blocks(SPARK, "text"))).withColumn("chunks", F.expr(arrays.chunks(SPARK, "blocks", most)))
+    return ordered.with_chunks(ordered.with_blocks(docs), most)
 
 
 def chunks(docs: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:

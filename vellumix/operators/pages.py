@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumix import shared
-from vellumix.functions import arrays
+from vellumix.functions import ordered
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK
 
@@ -40,15 +40,15 @@ def cleaned(pages: DataFrame, mode: str = "conservative") -> DataFrame:
     empty = F.array().cast("array<string>")
     out = pages.join(repeated, "doc_id", "left").withColumns({"_top": F.coalesce("_top", empty), "_bottom": F.coalesce("_bottom", empty)})
     out = out.withColumn("_text", T.column(T.normalized, "text", mode=mode)).withColumn("_lines", F.expr(T.lines(SPARK, "_text")))
-    out = out.withColumn("_lines", F.expr(SPARK.map("_lines", "e", SPARK.sub("e", f"[{T.WS}]+$", ""))))
-    out = out.withColumn("_lines", F.expr(arrays.without_repeats(SPARK, "_lines", "_top", "_bottom"))).withColumn("_lines", F.expr(arrays.joined_lines(SPARK, "_lines")))
+    out = out.withColumn("_lines", F.expr(SPARK.map("_lines", "e", T.strip_end(SPARK, "e"))))
+    out = out.withColumn("_lines", F.expr(ordered.without_repeats("_lines", "_top", "_bottom"))).withColumn("_lines", F.expr(ordered.joined_lines("_lines")))
     return out.withColumn("text", F.expr(T.strip(SPARK, "array_join(_lines, chr(10))"))).select(pages.columns)
 
 
 def units(clean: DataFrame) -> DataFrame:
     """(doc_id, page_number, unit_no, type, text) of cleaned pages; front matter of a document's first page left out."""
     first = clean.groupBy("doc_id").agg(F.min("page_number").alias("_first"))
-    own = clean.where("text <> ''").withColumn("_units", F.expr(arrays.units(SPARK, "text"))).join(first, "doc_id")
+    own = ordered.with_units(clean.where("text <> ''"), out="_units").join(first, "doc_id")
     matter = SPARK.map("_units", "u", f"u.type = 'bullet' OR NOT {T.front_matter(SPARK, 'u.text')}")
     begin = F.when(F.col("page_number") == F.col("_first"), F.expr(f"array_position({matter}, true)")).otherwise(F.lit(1))
     kept = F.when(begin == 0, F.slice("_units", 1, 0)).otherwise(F.slice("_units", begin.cast("int"), F.greatest(F.size("_units"), F.lit(1))))
@@ -70,7 +70,8 @@ def paragraphs(found: DataFrame) -> DataFrame:
 
 def sections(clean: DataFrame) -> DataFrame:
     """(doc_id, section_index, heading, level, page_numbers, n_paragraphs); a document without any gets a default one."""
-    own = paragraphs(units(clean))
+    found, _ = shared.materialize(units(clean), "units")  # read three times
+    own = paragraphs(found)
     heading = F.max(F.when(F.col("type") == "heading", F.col("text")))
     grouped = own.groupBy("doc_id", "raw").agg(heading.alias("heading"), F.sort_array(F.collect_set("page_number")).alias("page_numbers"), F.count_if(F.col("type") != "heading").alias("n_paragraphs")).where("n_paragraphs > 0")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("raw")) - 1
@@ -98,11 +99,12 @@ def low_text(pages: DataFrame, threshold: int = OCR_THRESHOLD) -> DataFrame:
 
 
 def with_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:
-    """Pages with OCR text (doc_id, page_number, ocr_text) where there is any that isn't blank."""
+    """Pages with OCR text (doc_id, page_number, ocr_text), stripped, where there is any that isn't blank."""
     found = F.coalesce(T.column(T.strip, "ocr_text"), F.lit("")) != ""
-    text = F.when(found, F.col("ocr_text")).otherwise(F.col("text"))
+    text = F.when(found, T.column(T.strip, "ocr_text")).otherwise(F.col("text"))
     joined = pages.join(ocr, ["doc_id", "page_number"], "left")
-    return joined.select("doc_id", "page_number", F.col("text").alias("raw_text"), text.alias("text"), F.length(F.expr(T.strip(SPARK, f"coalesce(CASE WHEN coalesce({T.strip(SPARK, 'ocr_text')}, '') <> '' THEN ocr_text ELSE text END, '')"))).cast("long").alias("text_len"), found.alias("used_ocr"))
+    out = joined.select("doc_id", "page_number", F.col("text").alias("raw_text"), text.alias("text"), found.alias("used_ocr"))
+    return out.select("doc_id", "page_number", "raw_text", "text", F.length(T.column(T.strip, "coalesce(text, '')")).cast("long").alias("text_len"), "used_ocr")
 
 
 def ocr_fallback(pages: DataFrame, recognize, threshold: int = OCR_THRESHOLD, language: str = "eng") -> DataFrame:

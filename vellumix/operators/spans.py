@@ -39,9 +39,12 @@ CONNECTOR = r"\b(?:as|or|and)\b"
 LONGEST = 260
 MATH_TOKEN = r"\[\[MATH_\d{4}\]\]"
 
-_KINDS = [(kind, re.compile(p)) for kind, p in KINDS]
+#: A text without one of a kind's characters has none of its formulas.
+NEEDS = {"sum_product": "∑∏", "set_builder": "|", "set_literal": "{", "union_intersection": "∩∪\\", "relation": "∈∉⊆⊂⊇=≠≤≥"}
+_KINDS = [(kind, re.compile(f"[{re.escape(NEEDS[kind])}]"), re.compile(p)) for kind, p in KINDS]
+_PROSE = [re.compile(p) for p in M.PROSE]
 _SPECIAL, _EQUATION, _CONNECTOR = re.compile(f"({SPECIAL})"), re.compile(f"({EQUATION})"), re.compile(f"({CONNECTOR})", re.I)
-_SIGNAL, _SYMBOL, _CHARACTER, _GREEK = (re.compile(p) for p in (M.SIGNAL, M.MATH_SYMBOL, M.MATH_CHARACTER, M.GREEK_OR_COMMAND))
+_SIGNAL, _SYMBOL, _CHARACTER, _FORMULA, _GREEK = (re.compile(p) for p in (M.SIGNAL, M.MATH_SYMBOL, M.MATH_CHARACTER, M.FORMULA_CHARACTER, M.GREEK_OR_COMMAND))
 _WORD, _LETTERS3 = re.compile("[A-Za-z]+"), re.compile("[A-Za-z]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
@@ -59,7 +62,7 @@ class Formula(NamedTuple):
 
 def formulas(text: str) -> list[Formula]:
     """Formulas that don't overlap, in order: of two that do, the one with more signals, then the longer, stays."""
-    every = [Formula(*m.span(), m.group(), kind) for kind, p in _KINDS for m in p.finditer(text)]
+    every = [Formula(*m.span(), m.group(), kind) for kind, need, p in _KINDS if need.search(text) for m in p.finditer(text)]
     fit = [f for f in every if len(f.text.strip()) >= 3 and f.weight[0] >= 2 and not (f.kind == "set_builder" and len(_LETTERS3.findall(f.text)) > 1)]
     out: list[Formula] = []
     for f in sorted(fit, key=lambda f: (f.start, -f.end)):
@@ -84,18 +87,19 @@ def behind_tokens(text: str) -> tuple[str, list[tuple[str, str]]]:
 def is_math(text: str) -> bool:
     """``math.math_like`` for one string."""
     x = text.strip()
-    words = _WORD.findall(x)
-    letters, tokens = sum(map(len, words)), len(x.split())
-    signs = len(_CHARACTER.findall(x)) + len(_SYMBOL.findall(x))
-    if not x or (len(x) >= 60 and len(words) >= 8 and letters >= 24 and not (x[0] == x[-1] == "$")):
+    if not x:
         return False
     if x[0] == x[-1] == "$":
         return True
-    if words and signs <= 3 and any(c in x for c in ".?!"):
+    if len(x) >= M.PROSE_LENGTH and all(p.match(x) for p in _PROSE):
         return False
-    dense = tokens <= 8 and signs >= 3 and len(_CHARACTER.findall(x)) / len(x) >= 0.18
-    short = tokens <= 6 and "=" in x and signs >= 2 and letters <= 20
-    return bool(_GREEK.search(x) and tokens <= 16) or dense or short or (len(words) <= 2 and signs >= 2)
+    words, tokens, characters = _WORD.findall(x), len(x.split()), len(_CHARACTER.findall(x))
+    signs = characters + len(_SYMBOL.findall(x))
+    if words and signs <= M.SENTENCE_SYMBOLS and any(c in x for c in ".?!"):
+        return False
+    dense = tokens <= M.DENSE_TOKENS and signs >= M.DENSE_SYMBOLS and characters / len(x) >= M.DENSE_SHARE
+    short = tokens <= M.EQUATION_TOKENS and "=" in x and signs >= M.EQUATION_SYMBOLS and sum(map(len, words)) <= M.EQUATION_LETTERS
+    return bool(dense or short or (len(words) <= M.FEW_WORDS and signs >= M.SOME_SYMBOLS) or (tokens <= M.GREEK_TOKENS and _GREEK.search(x)))
 
 
 def _sentences(text: str) -> list[str]:
@@ -128,7 +132,7 @@ def _connected(text: str) -> list[tuple[str, bool]]:
     """A formula's parts around "as", "or" and "and", where some are translated and some aren't; else nothing."""
     if not (_CONNECTOR.search(text) and (is_math(text) or _EQUATION.fullmatch(text))):
         return []
-    formula = lambda t: is_math(t) or _SYMBOL.search(t) or _CHARACTER.search(t)
+    formula = lambda t: t.strip() and (_FORMULA.search(t) or _SYMBOL.search(t) or is_math(t))
     out = [(t, bool(i % 2) or not formula(t)) for i, t in enumerate(_CONNECTOR.split(text)) if t]
     return out if {ok for _, ok in out} == {True, False} else []
 
@@ -136,7 +140,7 @@ def _connected(text: str) -> list[tuple[str, bool]]:
 def _words_like_formulas(text: str) -> bool:
     x = text.strip()
     hyphen = re.fullmatch(r"[A-Za-z]{2,}\s*-\s*[A-Za-z]{2,}", x)
-    return bool(hyphen or x.lower().startswith(("symbol ", "denoted by ")) or (re.search("[A-Za-z]{4,}", x) and len(_SYMBOL.findall(x)) <= 2))
+    return bool(hyphen or x.lower().startswith(("symbol ", "denoted by ")) or (re.search("[A-Za-z]{4,}", x) and len(_SYMBOL.findall(x)) + len(_CHARACTER.findall(x)) <= 2))
 
 
 def spans(text: str) -> list[tuple[str, bool]]:
@@ -183,7 +187,8 @@ def _behind(texts: pd.Series) -> pd.DataFrame:
 def with_spans(df: DataFrame, text: str = "text", mode: str = "conservative") -> DataFrame:
     """``df`` with ``spans`` of the normalized text."""
     shared.ship(df.sparkSession)
-    return df.withColumn("spans", _spans(T.column(T.normalized, f"coalesce({text}, '')", mode=mode)))
+    clean = shared.fenced(df.withColumn("_clean", T.column(T.normalized, f"coalesce({text}, '')", mode=mode)))
+    return clean.withColumn("spans", _spans(F.col("_clean"))).drop("_clean")
 
 
 def with_formulas(df: DataFrame, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumix import errors, settings, shared
-from vellumix.functions import arrays, protect
+from vellumix.functions import arrays, ordered, protect
 from vellumix.functions import math as M
 from vellumix.functions import text as T
 from vellumix.functions.dialect import DUCK, SPARK, Dialect
@@ -74,14 +74,24 @@ _line_rules("q_heading_worth", "math_docs", worth=lambda d: M.worth_translating(
 _rules("q_math_like", "math_docs", ("doc_id",), **{f"{n}_{c}": (lambda d, r=r, c=c: r(d, c)) for c in ("formula", "text") for n, r in (("math", M.math_like), ("formulaish", M.formulaish), ("words", M.force_translatable), ("signals", M.signal_score), ("sums", M.has_sum_or_product))})
 _rules("q_math_layout", "math_docs", ("doc_id",), collapsed=lambda d: M.collapsed(d, "formula"), layout=lambda d: M.sum_layout(d, "'∑ n  i = 1  i2 + formula'"), squares=lambda d: M.squares(d, "formula"), fraction=lambda d: M.set_fraction(d, "formula"), inline=lambda d: M.inline_squares(d, "formula"), tied=lambda d: M.tied_relations(d, "formula"))
 _rules("q_section_count", "md_docs", ("doc_id",), n_sections=lambda d: T.markdown_sections(d, "text"))
-_rules("q_long_split", "math_docs", ("doc_id",), parts=lambda d: arrays.long_split(d, "text", f"({M.math_like(d, 'text')})"))
+
+
+@_add("q_long_split", f"SELECT doc_id, {arrays.long_split(DUCK, 'text', '(' + M.math_like(DUCK, 'text') + ')')} AS parts FROM {views.sql('math_docs')}")
+def _long_split(spark, sf_dir):
+    return ordered.with_long_split(views.frame(spark, sf_dir, "math_docs"), "text", T.column(M.math_like, "text"), "parts").select("doc_id", "parts")
+
+
 _rules("q_quality_retry", "translations", ("doc_id",), english=lambda d: T.english_words(d, "translated"), chinese=lambda d: T.cjk_characters(d, "translated"), retry=lambda d: T.needs_retry(d, f"({M.math_like(d, 'source')})", "translated"))
 _rules("q_retry_better", "translations", ("doc_id",), better=lambda d: T.retry_better(d, "source", "translated"))
 _rules("q_residual", "translations", ("doc_id",), residual=lambda d: T.residual_english(d, f"({M.math_like(d, 'source')})", "translated"))
 _rules("q_boundaries", "translations", ("doc_id",), text=lambda d: T.restore_boundaries(d, "source", "translated"))
 _rules("q_fake_translate", "translations", ("doc_id",), text=lambda d: T.fake_translation(d, "source"))
 _rules("q_cache_key", "translations", ("doc_id",), key=lambda d: T.cache_key(d, "'model-a'", T.fingerprint(d, "'prompt'", f"'{translate.POLICY}'"), "source"))
-_rules("q_md_blocks", "md_docs", ("doc_id",), blocks=lambda d: arrays.blocks(d, "text"))
+
+
+@_add("q_md_blocks", f"SELECT doc_id, {arrays.blocks(DUCK, 'text')} AS blocks FROM {views.sql('md_docs')}")
+def _md_blocks(spark, sf_dir):
+    return ordered.with_blocks(views.frame(spark, sf_dir, "md_docs")).select("doc_id", "blocks")
 
 
 @_add("q_payloads", f"SELECT id, starts_with(payload, '%PDF-') AS is_pdf, {files.payload_error(DUCK, 'payload', 'content_type')} AS error FROM {views.sql('payloads')}")
@@ -197,13 +207,13 @@ def _low(spark, sf_dir):
     return pages.low_text(_doc_pages(spark, sf_dir)).select("doc_id", "text")
 
 
-_OCR = "CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE concat('OCR of ', CAST(doc_id AS {s})) END"
+_OCR = "CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE concat(' OCR of ', CAST(doc_id AS {s}), chr(10)) END"
 
 
 @_add(
     "q_ocr_merge",
     f"""SELECT doc_id, text, length({T.strip(DUCK, 'text')}) AS text_len, used_ocr FROM (
-SELECT doc_id, used_ocr, CASE WHEN used_ocr THEN {_OCR.format(s='VARCHAR')} ELSE t END AS text FROM (
+SELECT doc_id, used_ocr, CASE WHEN used_ocr THEN concat('OCR of ', CAST(doc_id AS VARCHAR)) ELSE t END AS text FROM (
 SELECT doc_id, coalesce(text, '') AS t, length({T.strip(DUCK, "coalesce(text, '')")}) < 50 AND doc_id % 3 <> 0 AS used_ocr FROM documents))""",
 )
 def _ocr(spark, sf_dir):

@@ -10,6 +10,9 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumix.errors import ConfigError
 
 _shipped: set[str] = set()
 _written: dict[str, list[str]] = {}
@@ -33,11 +36,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a folder of our own is used.
+    Only on one machine a session may name none; a folder of our own is used then.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="vellumix-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -67,6 +72,11 @@ def _clean(spark: SparkSession, app: str) -> None:
             discard(spark, path)
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows, whose columns the optimizer moves into nothing above: they are computed once, here. Not for streams."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
