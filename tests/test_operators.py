@@ -1,8 +1,12 @@
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
-from vellumix import errors, settings
-from vellumix.operators import jobs, markdown, pages, spans, translate
+from vellumix import errors, settings, shared
+from vellumix.functions.dialect import SPARK
+from vellumix.operators import documents, jobs, markdown, pages, spans, translate
+from vellumix.plans import pipeline
 from vellumix.sources import files
 from vellumix.streaming import chunks as stream
 
@@ -167,11 +171,11 @@ def test_pdf_pages_downloads_and_conversion(spark, tmp_path):
     def parse(data):
         if not data.startswith(b"%PDF-"):
             raise ValueError("unreadable")
-        return [("page one", [("png", b"1"), ("png", b""), ("jpg", b"3")]), ("page two", [])]
+        return [("page one", [("png", b"1"), ("png", b""), ("jpg", lambda: b"3"), ("gif", lambda: 1 / 0)]), ("page two", [])]
 
     found = files.read_binary(spark, str(tmp_path))
     rows = sorted(files.pages(found, parse, max_pages=1).collect(), key=lambda r: r.doc_id)
-    assert rows[0].text == "page one" and [i.image_id for i in rows[0].images] == ["p1_img1", "p1_img3"] and rows[1].error == "unreadable" and len(rows) == 2
+    assert rows[0].text == "page one" and [i.image_id for i in rows[0].images] == ["p1_img0", "p1_img2"] and rows[1].error == "unreadable" and len(rows) == 2
     urls = spark.createDataFrame([("http://x/good.pdf",), ("http://x/page.pdf",)], "url string")
 
     def fetch(url):
@@ -189,13 +193,30 @@ def test_pdf_pages_downloads_and_conversion(spark, tmp_path):
     assert out[0].text == "# ok" and len(out[1].error) == 8000
 
 
-def test_markdown_files(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "# a\nb"), (2, "c")], "doc_id long, text string")
-    files.write_markdown(docs, str(tmp_path / "out"))
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "x.md").write_text("# a\n\nb")
-    assert [r.text for r in files.read_markdown(spark, str(tmp_path / "in")).collect()] == ["# a\n\nb"]
-    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["doc=1", "doc=2"]
+def test_texts_and_files(spark, tmp_path):
+    docs = spark.createDataFrame([("j1/x.zh.md", "# a\nb"), ("j2/x.zh.md", "c"), ("../y.zh.md", None)], "name string, text string")
+    files.write_texts(docs, str(tmp_path / "table"))
+    assert len(list((tmp_path / "table").glob("part-*"))) <= 8
+    for _ in range(2):  # a second run replaces what the first wrote
+        sizes = {r.name: r.size for r in files.export(spark.read.parquet(str(tmp_path / "table")), str(tmp_path / "out")).collect()}
+    assert sizes == {"j1/x.zh.md": 5, "j2/x.zh.md": 1, "../y.zh.md": 0}
+    found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"j1/x.zh.md": "# a\nb", "j2/x.zh.md": "c", "y.zh.md": ""}
+    assert [r.text for r in files.read_markdown(spark, str(tmp_path / "out")).orderBy("text").collect() if r.text] == ["# a\nb", "c"]
+    names = spark.createDataFrame([("/d/a.b.md",), ("x.pdf",), ("/d.e/none",), ("/d/.md",)], "path string")
+    got = names.select(F.expr(files.output_name(SPARK, "path")).alias("o"), F.expr(files.stem(SPARK, "path")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("/d/a.b.zh.md", "a.b"), ("x.zh.md", "x"), ("/d.e/none.zh.md", "none"), ("/d/.md.zh.md", ".md")]
+
+
+def test_assets_are_copied(spark, tmp_path):
+    (tmp_path / "in" / "img").mkdir(parents=True)
+    (tmp_path / "in" / "img" / "p.png").write_bytes(b"png")
+    docs = spark.createDataFrame([(1, "![f](img/p.png) ![g](img/q.png)")], "doc_id long, text string")
+    [r] = markdown.localized(docs, ["img/p.png", "img/gone.png"]).collect()
+    assert r.text == "![f](assets/p.png) ![g](img/q.png)"
+    copies = spark.createDataFrame([("img/p.png", "p.png"), ("img/gone.png", "gone.png")], "source string, name string")
+    got = {r.source: r.error for r in files.export_assets(copies, str(tmp_path / "in"), str(tmp_path / "out" / "assets")).collect()}
+    assert got["img/p.png"] is None and got["img/gone.png"] and (tmp_path / "out" / "assets" / "p.png").read_bytes() == b"png"
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -218,20 +239,29 @@ def test_jobs_arrive_in_turn(spark, tmp_path):
     assert seen == [1, 1, 1]
 
 
-def test_whole_jobs(spark, tmp_path):
-    from vellumix.plans import pipeline
+def exported(folder):
+    return sorted((str(p.relative_to(folder)), p.read_text()) for p in folder.rglob("*.md"))
 
-    rows = [("a.pdf", bytearray(b"%PDF-a")), ("b.pdf", bytearray(b"broken"))]
+
+def test_whole_jobs(spark, tmp_path):
+    rows = [("d/a.pdf", bytearray(b"%PDF-a")), ("b.pdf", bytearray(b"broken")), ("c.pdf", bytearray(b"%PDF-refused"))]
 
     def convert(data):
         if data == b"broken":
             raise ValueError("unreadable")
-        return "# Title\n\nText"
+        return "# Title\n\nText " + data.decode()
 
-    log = pipeline.translated_files(spark.createDataFrame(rows, "path string, content binary"), convert, markdown.fake, str(tmp_path / "out"))
-    got = sorted((r.status, r.stage, r.error) for r in jobs.latest(log).collect())
-    assert got == [("failed", "marker", "unreadable"), ("succeeded", "done", None)]
-    assert [p.read_text() for p in (tmp_path / "out").rglob("part-*.txt")] == ["[ZH] # Title\n\nText\n"]
+    def call(text):
+        if "refused" in text:
+            raise OSError("no service")
+        return f"[ZH] {text}"
+
+    cheap = translate.service(call, 1, 0.0, errors=True)
+    log = pipeline.translated_files(spark.createDataFrame(rows, "path string, content binary"), convert, cheap, str(tmp_path / "out"))
+    got = sorted((r.status, r.stage, (r.error or "").split(":")[0]) for r in jobs.latest(log).collect())
+    assert got == [("failed", "marker", "unreadable"), ("failed", "translate", "no translation after 1 attempts"), ("succeeded", "done", "")]
+    [text] = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert text.name.endswith("/a.zh.md") and len(text.name.split("/")[0]) == 23 and text.text == "[ZH] # Title\n\nText %PDF-a"
     urls = spark.createDataFrame([("http://x/a.pdf",), ("ftp://x",), ("http://x/gone.pdf",)], "url string")
 
     def fetch(url):
@@ -243,17 +273,115 @@ def test_whole_jobs(spark, tmp_path):
     assert sorted((r.status, r.stage) for r in jobs.latest(log).collect()) == [("failed", "downloading"), ("failed", "downloading"), ("succeeded", "done")]
 
 
+def test_answers_are_remembered(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(text):
+        calls.add(1)
+        if text == "bad":
+            raise OSError("no")
+        return text.upper()
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "bad")], "doc_id long, text string")
+    for n in (3, 4):  # the failure is tried again, all else is known
+        got = {r.doc_id: (r.answer, (r.error or "")[:14]) for r in translate.remembered(df, translate.service(call, 1, 0.0, errors=True), str(tmp_path / "cache"), "m", "f").collect()}
+        assert got == {1: ("A", ""), 2: ("B", ""), 3: ("B", ""), 4: (None, "no translation")} and calls.value == n
+    docs = spark.createDataFrame([(1, "# one\n\ntwo"), (2, "# one")], "doc_id long, text string")
+    before = calls.value
+    for _ in range(2):
+        made = markdown.translated(docs, translate.service(call, 1, 0.0, errors=True), 5, cache=str(tmp_path / "cache2"))
+        assert {r.doc_id: (r.n_chunks, r.text, r.error) for r in made.collect()} == {1: (2, "# ONE\n\nTWO", None), 2: (1, "# ONE", None)}
+        assert calls.value == before + 2
+
+
+def test_document_model(spark):
+    clean = pages.cleaned(book(spark))
+    own = documents.model(clean, spark.createDataFrame([("c", "Given"), ("b", "")], "doc_id string, title string"))
+    assert {r.doc_id: r.title for r in own.titles.collect()} == {"b": "1 Introduction", "c": "Given"}
+    texts = {(r.doc_id, r.section_index, r.paragraph_index): r.text for r in documents.paragraph_texts(own.spans).collect()}
+    units = pages.units(clean).where("type <> 'heading'").collect()
+    assert sorted(t.removeprefix(documents.BULLET) for t in texts.values()) == sorted(r.text for r in units)
+    said = documents.translated(own)
+    assert {r.heading for r in said.sections.collect()} == {"[ZH] 1 Introduction", "[ZH] 2 Methods", "正文"}
+    assert {r.doc_id: r.title for r in said.titles.collect()} == {"b": "1 Introduction", "c": "Given"}
+    before, after = ({tuple(r[k] for k in documents.SPAN_KEYS): r for r in df.collect()} for df in (own.spans, said.spans))
+    assert set(before) == set(after) and all((r.text != before[k].text) == bool(r.translatable and r.text.strip()) for k, r in after.items())
+    counts = {r.doc_id: (r.n_translatable, r.n_passthrough) for r in documents.span_counts(own.spans).collect()}
+    assert counts["b"][0] == sum(r.translatable for r in before.values()) and sum(counts["b"]) == len(before)
+    dirty = documents.Model(own.titles.withColumn("title", F.lit("a\x07")), own.sections, own.spans)
+    assert {r.doc_id: r.n_control for r in documents.control_counts(dirty).collect()} == {"b": 1, "c": 1}
+
+
+def test_bullets_are_marked_and_blank_paragraphs_have_no_spans(spark):
+    clean = pages_of(spark, [("d", 1, "Some text here.\n• first\n• second x = 1 + 2\nand more")])
+    found = pages.paragraphs(pages.units(clean))
+    own = documents.paragraphs(found, pages.outline(found))
+    assert [r.text for r in own.orderBy("paragraph_index").collect()] == ["Some text here.", "• first", "• second x = 1 + 2 and more"]
+    blank = own.withColumn("text", F.when(F.col("paragraph_index") == 0, "  ").otherwise(F.col("text")))
+    assert {r.paragraph_index for r in documents.span_rows(blank).collect()} == {1, 2}
+
+
+def test_submission_and_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("a.pdf",), ("b.pdf",)], "path string")
+    own = jobs.with_ids(rows, short=True).cache()
+    assert all(len(r.job_id) == 12 for r in own.collect()) and len({r.job_id for r in own.collect()}) == 2
+    assert {(r.status, r.stage) for r in jobs.latest(pipeline.submitted(own)).collect()} == {("queued", "queued")}
+    long = jobs.with_ids(rows).first().job_id
+    assert len(long) == 23 and long[14] == "-" and long[:2] == "20"
+    asked = spark.createDataFrame([("a",), ("b",)], "job_id string")
+    known = spark.createDataFrame([("a", "/x/a")], "job_id string, folder string")
+    assert {r.job_id: r.folder for r in jobs.with_folders(asked, known, "/jobs/").collect()} == {"a": "/x/a", "b": "/jobs/b"}
+
+
+def test_ocr_errors_name_the_page(spark):
+    own = pages_of(spark, [("a", 7, "few")])
+
+    def recognize(doc, page, language):
+        raise ValueError("no engine")
+
+    with pytest.raises(Exception, match="OCR failed for page 7: no engine"):
+        pages.ocr_fallback(own, recognize).collect()
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(errors.ConfigError):
+        shared.shared_dir(Session())
+
+
 def test_commands(spark, tmp_path, capsys):
     from vellumix.__main__ import main
 
-    (tmp_path / "in").mkdir()
+    none = ["--env", str(tmp_path / "none"), "--fake"]
+    (tmp_path / "in" / "d").mkdir(parents=True)
     (tmp_path / "in" / "x.md").write_text("# a\n\nb")
-    assert main(["translate-md", "--in", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--env", str(tmp_path / "none"), "--fake"], spark) == 0
-    assert [p.read_text() for p in (tmp_path / "out").rglob("part-*.txt")] == ["[ZH] # a\n\nb\n"]
+    (tmp_path / "in" / "d" / "x.md").write_text("c")
+    assert main(["translate-md", "--in", str(tmp_path / "in"), "--out", str(tmp_path / "out"), *none], spark) == 0
+    assert exported(tmp_path / "out") == [("d/x.zh.md", "[ZH] c"), ("x.zh.md", "[ZH] # a\n\nb")]
     assert main(["translate-md", "--in", "x", "--out", "y", "--env", str(tmp_path / "none")], spark) == 2
     (tmp_path / "in" / "x.pdf").write_bytes(b"%PDF-")
     (tmp_path / "env").write_text("VELLUMIX_CONVERTER_COMMAND=/no/such/command\n")
     assert main(["run", "--in", str(tmp_path / "in"), "--out", str(tmp_path / "o"), "--env", str(tmp_path / "env"), "--fake"], spark) == 4
+    script = tmp_path / "convert"
+    script.write_text(f"#!{sys.executable}\nimport pathlib, sys\nout = pathlib.Path(sys.argv[3])\nout.mkdir(parents=True)\n(out / 'x.md').write_text('# T')\n")
+    script.chmod(0o755)
+    (tmp_path / "env").write_text(f"VELLUMIX_CONVERTER_COMMAND={script}\n")
+    for command in (["run"], ["serve", "--once"]):
+        assert main([*command, "--in", str(tmp_path / "in"), "--out", str(tmp_path / command[0]), "--env", str(tmp_path / "env"), "--fake"], spark) == 0
+        [(name, text)] = exported(tmp_path / command[0])
+        assert name.endswith("/x.zh.md") and text == "[ZH] # T"
     with pytest.raises(SystemExit):
         main(["run", "--out", "x"], spark)
 
@@ -263,8 +391,6 @@ def test_manifests(spark, tmp_path):
     own = spark.createDataFrame(rows, "job_id string, status string, stage string, error string")
     jobs.write_manifests(own, str(tmp_path / "jobs"))
     jobs.write_manifests(own.where("job_id = 'a'").withColumn("error", F.lit(None).cast("string")), str(tmp_path / "jobs"))
-    for p in (tmp_path / "jobs").rglob("part-*.txt"):
-        p.rename(p.with_suffix(".json"))
     got = sorted((r.job_id, r.status, r.error, r.source_url) for r in jobs.read_manifests(spark, str(tmp_path / "jobs")).collect())
     assert got == [("a", "failed", None, None), ("b", "succeeded", None, None)]
 

@@ -1,4 +1,4 @@
-"""Commands: ``translate-md`` for Markdown files, ``run`` for PDF files or a list of URLs."""
+"""Commands: ``translate-md`` for Markdown files, ``run`` for PDF files or a list of URLs, ``serve`` for files as they arrive."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from vellumix import settings
-from vellumix.errors import ConverterError, PipelineError, exit_code
+from vellumix import settings, shared
+from vellumix.errors import ConverterError, PipelineError, TranslateError, exit_code
+from vellumix.functions.dialect import SPARK
 from vellumix.operators import jobs, markdown, translate
 from vellumix.plans import pipeline
 from vellumix.sources import files, services
@@ -19,7 +20,7 @@ from vellumix.sources import files, services
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="vellumix")
     commands = out.add_subparsers(dest="command", required=True)
-    for name in ("translate-md", "run"):
+    for name in ("translate-md", "run", "serve"):
         own = commands.add_parser(name)
         source = own.add_mutually_exclusive_group(required=True) if name == "run" else own
         source.add_argument("--in", dest="source", help="a folder of files", required=name != "run")
@@ -27,26 +28,48 @@ def parser() -> argparse.ArgumentParser:
             source.add_argument("--urls", help="a text file of URLs, one a line")
         own.add_argument("--out", required=True)
         own.add_argument("--env", default=".env", help="settings file")
+        if name == "serve":
+            own.add_argument("--once", action="store_true", help="end when all files that are there are done")
         own.add_argument("--fake", action="store_true", help="mark texts instead of sending them to a model")
     return out
 
 
+def translate_markdown(spark: SparkSession, source: str, out: str, translator, **options) -> int:
+    """Every Markdown file under ``source`` to a file of its name with ``.zh.md`` under ``out``; 5 if a translation failed."""
+    docs = files.read_markdown(spark, source)
+    # The path below the folder, so that files of one name don't meet.
+    whole = F.regexp_replace("path", "^file:/+", "/")
+    root = source.removeprefix("file:").rstrip("/") + "/"
+    below = F.when(F.contains(whole, F.lit(root)), F.substring_index(whole, root, -1)).otherwise(F.element_at(F.split("path", "/"), -1))
+    named = docs.select(below.alias("below"), "text").select(F.expr(files.output_name(SPARK, "below")).alias("doc_id"), "text")
+    made, _ = shared.materialize(markdown.translated(named, translator, **options), "translated")
+    files.export(made.where("error IS NULL").select(F.col("doc_id").alias("name"), "text"), out)
+    if not (failed := made.where("error IS NOT NULL")).isEmpty():
+        raise TranslateError(failed.select("error").first().error)
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         own = settings.load(Path(args.env).read_text().splitlines() if Path(args.env).exists() else [], online=not args.fake)
         spark = spark or SparkSession.builder.getOrCreate()
-        translator = markdown.fake if args.fake else translate.service(services.chat(own), own.retry_attempts)
+        translator = markdown.fake if args.fake else translate.service(services.chat(own), own.retry_attempts, errors=True)
+        options = {"most": own.chunk_chars, "mode": own.symbol_fix_mode} | ({} if args.fake else {"cache": f"{args.out.rstrip('/')}/.cache"})
         if args.command == "translate-md":
-            docs = files.read_markdown(spark, args.source).select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "text")
-            files.write_markdown(markdown.translated(docs, translator, own.chunk_chars, own.symbol_fix_mode), args.out)
-            return 0
+            return translate_markdown(spark, args.source, args.out, translator, **options)
         convert = services.command_converter(own.converter_command, own.force_ocr)
-        if args.urls:
+        texts, log_path = f"{args.out.rstrip('/')}/.texts", f"{args.out.rstrip('/')}/.log"
+        if args.command == "serve":
+            pipeline.run_stream(spark, args.source, convert, translator, texts, log_path, f"{args.out.rstrip('/')}/.checkpoint", forever=not args.once, **options)
+            log = spark.read.schema(pipeline.EVENTS).parquet(log_path)
+            texts += "/batch-*"
+        elif args.urls:
             urls = spark.read.text(args.urls).where("trim(value) <> ''").select(F.trim("value").alias("url"))
-            log = pipeline.translated_urls(urls, services.http_fetch, convert, translator, args.out)
+            log = pipeline.translated_urls(urls, services.http_fetch, convert, translator, texts, **options)
         else:
-            log = pipeline.translated_files(files.read_binary(spark, args.source), convert, translator, args.out, own.chunk_chars, own.symbol_fix_mode)
+            log = pipeline.translated_files(files.read_binary(spark, args.source), convert, translator, texts, **options)
+        files.export(spark.read.schema("name string, text string").parquet(texts), args.out)
         failed = jobs.latest(log).where("status = 'failed'").count()
         if failed:
             raise ConverterError(f"{failed} jobs failed")

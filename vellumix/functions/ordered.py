@@ -61,7 +61,7 @@ def packed_ranges(sizes: list[int], firsts: list[bool], most: int, between: int)
             held = size
         else:
             held += between + size
-    return [(0, a, b) for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True)]
+    return [(0, a, b) for a, b in zip(starts, [*starts[1:], len(sizes)], strict=False)]
 
 
 # Kinds of units, and flags of a page's lines.

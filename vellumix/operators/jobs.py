@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumix.errors import EXIT_CODES
+from vellumix.sources import files
 
 STATUSES = ("queued", "running", "succeeded", "failed")
 STAGES = ("queued", "starting", "downloading", "input", "marker", "translate", "done")
@@ -20,10 +21,25 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifests(jobs: DataFrame, path: str) -> None:
-    """One JSON object for each job, in a folder of its own, through Spark's commit protocol; an earlier one is replaced."""
+    """One JSON object for each job, in a folder of its own; an earlier one is replaced."""
     columns = [c for c in jobs.columns if c != "job_id"]
-    whole = jobs.select(F.col("job_id").alias("job"), F.to_json(F.struct("job_id", *columns)).alias("value"))
-    whole.write.partitionBy("job").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+    files.export(jobs.select(F.concat("job_id", F.lit("/manifest.json")).alias("name"), F.to_json(F.struct("job_id", *columns)).alias("text")), path)
+
+
+def with_ids(df: DataFrame, short: bool = False) -> DataFrame:
+    """``df`` with a new ``job_id`` a row: 12 hexadecimal digits, or the time (UTC, to the second), a dash and 8 digits.
+
+    New every time it is computed, so write the result before it is read twice.
+    """
+    digits = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyyMMddHHmmss")
+    return df.withColumn("job_id", F.left(digits, F.lit(12)) if short else F.concat(now, F.lit("-"), F.left(digits, F.lit(8))))
+
+
+def with_folders(asked: DataFrame, known: DataFrame, root: str) -> DataFrame:
+    """(job_id, folder) of the jobs asked for: the known folder, else the one that a job of that id has under ``root``."""
+    usual = F.concat(F.lit(root.rstrip("/") + "/"), F.col("job_id"))
+    return asked.select("job_id").join(known.select("job_id", F.col("folder").alias("_known")), "job_id", "left").select("job_id", F.coalesce("_known", usual).alias("folder"))
 
 
 def latest(events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumix import shared
+from vellumix.errors import OCRError
 from vellumix.functions import ordered
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK
@@ -68,18 +69,27 @@ def paragraphs(found: DataFrame) -> DataFrame:
     return found.withColumn("_inside", inside).join(by_page.select("doc_id", "page_number", before.alias("_before")), ["doc_id", "page_number"]).withColumn("raw", F.col("_inside") + F.col("_before")).drop("_inside", "_before")
 
 
-def sections(clean: DataFrame) -> DataFrame:
-    """(doc_id, section_index, heading, level, page_numbers, n_paragraphs); a document without any gets a default one."""
-    found, _ = shared.materialize(units(clean), "units")  # read three times
-    own = paragraphs(found)
+def outline(found: DataFrame) -> DataFrame:
+    """(doc_id, raw, section_index, heading, level, page_numbers, n_paragraphs) of the sections that have paragraphs, from units with ``raw``."""
     heading = F.max(F.when(F.col("type") == "heading", F.col("text")))
-    grouped = own.groupBy("doc_id", "raw").agg(heading.alias("heading"), F.sort_array(F.collect_set("page_number")).alias("page_numbers"), F.count_if(F.col("type") != "heading").alias("n_paragraphs")).where("n_paragraphs > 0")
+    grouped = found.groupBy("doc_id", "raw").agg(heading.alias("heading"), F.sort_array(F.collect_set("page_number")).alias("page_numbers"), F.count_if(F.col("type") != "heading").alias("n_paragraphs")).where("n_paragraphs > 0")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("raw")) - 1
-    real = grouped.select("doc_id", index.cast("long").alias("section_index"), F.coalesce("heading", F.lit(DEFAULT_HEADING)).alias("heading"), F.when(F.col("heading").isNull(), F.lit(1).cast("long")).otherwise(T.column(T.heading_level, "heading")).alias("level"), "page_numbers", "n_paragraphs")
+    level = F.when(F.col("heading").isNull(), F.lit(1).cast("long")).otherwise(T.column(T.heading_level, "heading"))
+    return grouped.select("doc_id", "raw", index.cast("long").alias("section_index"), F.coalesce("heading", F.lit(DEFAULT_HEADING)).alias("heading"), level.alias("level"), "page_numbers", "n_paragraphs")
+
+
+def with_default(real: DataFrame, clean: DataFrame) -> DataFrame:
+    """Sections, and a default one for each document without any."""
     none = clean.select("doc_id").distinct().join(real.select("doc_id").distinct(), "doc_id", "left_anti")
     return real.unionByName(none.select("doc_id", F.lit(0).cast("long").alias("section_index"), F.lit(DEFAULT_HEADING).alias("heading"), F.lit(1).cast("long").alias("level"), F.array().cast("array<bigint>").alias("page_numbers"), F.lit(0).cast("long").alias("n_paragraphs")))
 
 
+def sections(clean: DataFrame) -> DataFrame:
+    """(doc_id, section_index, heading, level, page_numbers, n_paragraphs); a document without any gets a default one."""
+    found, _ = shared.materialize(units(clean), "units")  # read three times
+    return with_default(outline(paragraphs(found)).drop("raw"), clean)
+
+
 def image_sections(images: DataFrame, found: DataFrame) -> DataFrame:
     """Images (doc_id, page_number, image_id) with the first section on their page, else the document's last."""
     on_page = found.select("doc_id", "section_index", F.explode("page_numbers").alias("page_number")).groupBy("doc_id", "page_number").agg(F.min("section_index").alias("_own"))
@@ -113,9 +123,15 @@ def ocr_fallback(pages: DataFrame, recognize, threshold: int = OCR_THRESHOLD, la
     Only these reach the function: they are filtered before it, not in it.
     """
 
+    def one(doc, page):
+        try:
+            return recognize(doc, page, language)
+        except Exception as e:
+            raise OCRError(f"OCR failed for page {page}: {e}") from e
+
     def run(batches):
         for frame in batches:
-            frame["ocr_text"] = [recognize(d, p, language) for d, p in zip(frame.doc_id, frame.page_number, strict=True)]
+            frame["ocr_text"] = [one(d, p) for d, p in zip(frame.doc_id, frame.page_number, strict=True)]
             yield frame
 
     shared.ship(pages.sparkSession)

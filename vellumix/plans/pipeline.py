@@ -10,45 +10,78 @@ from pyspark.sql import functions as F
 from vellumix import shared
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK
-from vellumix.operators import markdown, translate
+from vellumix.operators import jobs, markdown, translate
 from vellumix.sources import files
 
 EVENTS = "job_id string, seq long, status string, stage string, error string, sets_error boolean"
 
 
-def _job_id(column: str) -> F.Column:
-    return F.left(F.sha2(F.col(column), 256), F.lit(12))
-
-
-def _event(jobs: DataFrame, seq: int, status: str, stage: str, error: F.Column | None = None) -> DataFrame:
+def _event(own: DataFrame, seq: int, status: str, stage: str, error: F.Column | None = None) -> DataFrame:
     ended = status in ("succeeded", "failed")
-    return jobs.select("job_id", F.lit(seq).cast("long").alias("seq"), F.lit(status).alias("status"), F.lit(stage).alias("stage"), (F.lit(None) if error is None else error).cast("string").alias("error"), F.lit(ended).alias("sets_error"))
+    return own.select("job_id", F.lit(seq).cast("long").alias("seq"), F.lit(status).alias("status"), F.lit(stage).alias("stage"), (F.lit(None) if error is None else error).cast("string").alias("error"), F.lit(ended).alias("sets_error"))
 
 
-def translated_files(inputs: DataFrame, convert: Callable[[bytes], str], translator: translate.Translator, out: str, most: int = markdown.CHUNK_CHARS, mode: str = "conservative") -> DataFrame:
-    """Convert and translate files (path, content), write a text for each under ``out``; returns the events of all jobs.
-
-    A file that fails to convert ends its own job only.
-    """
-    done, _ = shared.materialize(files.convert(inputs, convert).withColumn("job_id", _job_id("path")), "converted")
-    good, bad = done.where("error IS NULL"), done.where("error IS NOT NULL")
-    made, _ = shared.materialize(markdown.translated(good.select(F.col("job_id").alias("doc_id"), "text"), translator, most, mode), "translated")
-    files.write_markdown(made, out)
-    events = [_event(done, 1, "running", "input"), _event(done, 2, "running", "marker"), _event(bad, 3, "failed", "marker", F.col("error")), _event(good, 3, "running", "translate"), _event(good, 4, "succeeded", "done")]
+def _log(*events: DataFrame) -> DataFrame:
     log = events[0]
     for more in events[1:]:
         log = log.unionByName(more)
     return log
 
 
-def translated_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], convert: Callable[[bytes], str], translator: translate.Translator, out: str, attempts: int = 3, pause_s: float = 0.6) -> DataFrame:
+def translated_files(inputs: DataFrame, convert: Callable[[bytes], str], translator: translate.Translator, out: str, most: int = markdown.CHUNK_CHARS, mode: str = "conservative", cache: str | None = None) -> DataFrame:
+    """Convert and translate files (path, content), write (name, text) for each under ``out``; returns the events of all jobs.
+
+    Every file is a job of its own, under a new id unless there is a column ``job_id``. A file that fails
+    to convert, or a text of which the translator fails (``translate.service`` with ``errors``), ends its
+    own job only. With a ``cache`` folder, answers are kept there and not asked for again.
+    """
+    inputs = inputs if "job_id" in inputs.columns else jobs.with_ids(inputs)
+    # Written at once: ids are new every time they are computed.
+    named, _ = shared.materialize(inputs.select("job_id", "path", "content"), "inputs")
+    texts = files.convert(named, convert, ["job_id"])
+    done, _ = shared.materialize(texts.withColumn("name", F.concat_ws("/", "job_id", F.concat(F.expr(files.stem(SPARK, "path")), F.lit(".zh.md")))), "converted")
+    good, unread = done.where("error IS NULL"), done.where("error IS NOT NULL")
+    made, _ = shared.materialize(markdown.translated(good.select(F.col("job_id").alias("doc_id"), "text"), translator, most, mode, **({"cache": cache} if cache else {})).withColumnRenamed("doc_id", "job_id"), "translated")
+    whole, broken = made.where("error IS NULL"), made.where("error IS NOT NULL")
+    files.write_texts(whole.join(done.select("job_id", "name"), "job_id").select("name", "text"), out)
+    return _log(
+        _event(done, 1, "running", "input"),
+        _event(done, 2, "running", "marker"),
+        _event(unread, 3, "failed", "marker", F.col("error")),
+        _event(good, 3, "running", "translate"),
+        _event(broken, 4, "failed", "translate", F.col("error")),
+        _event(whole, 4, "succeeded", "done"),
+    )
+
+
+def translated_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], convert: Callable[[bytes], str], translator: translate.Translator, out: str, attempts: int = 3, pause_s: float = 0.6, **options) -> DataFrame:
     """As ``translated_files`` for (url); a URL that isn't accepted or can't be downloaded fails in its own stage."""
-    checked = urls.select("url", F.expr(T.url_error(SPARK, "url")).alias("refused"))
-    got, _ = shared.materialize(files.download(checked.where("refused IS NULL"), fetch, attempts, pause_s), "downloads")
-    bad = got.where("error IS NOT NULL").select("url", "error").unionByName(checked.where("refused IS NOT NULL").select("url", F.col("refused").alias("error")))
-    failed = bad.withColumn("job_id", _job_id("url"))
-    log = translated_files(got.where("error IS NULL").select(F.col("url").alias("path"), F.col("payload").alias("content")), convert, translator, out)
-    return log.unionByName(_event(failed, 1, "running", "downloading")).unionByName(_event(failed, 2, "failed", "downloading", F.col("error")))
+    asked = urls if "job_id" in urls.columns else jobs.with_ids(urls)
+    checked, _ = shared.materialize(asked.select("job_id", "url", F.expr(T.url_error(SPARK, "url")).alias("refused")), "urls")
+    got, _ = shared.materialize(files.download(checked.where("refused IS NULL"), fetch, attempts, pause_s, ["job_id"]), "downloads")
+    bad = got.where("error IS NOT NULL").select("job_id", "error").unionByName(checked.where("refused IS NOT NULL").select("job_id", F.col("refused").alias("error")))
+    log = translated_files(got.where("error IS NULL").select("job_id", F.col("base_name").alias("path"), F.col("payload").alias("content")), convert, translator, out, **options)
+    return _log(log, _event(bad, 1, "running", "downloading"), _event(bad, 2, "failed", "downloading", F.col("error")))
+
+
+def submitted(inputs: DataFrame) -> DataFrame:
+    """The events of new jobs (with ``job_id``): queued."""
+    return _event(inputs, 0, "queued", "queued")
+
+
+def run_stream(spark, folder: str, convert: Callable[[bytes], str], translator: translate.Translator, out: str, log: str, checkpoint: str, forever: bool = False, **options) -> None:
+    """Jobs for PDF files that arrive in ``folder``, one after another: results under ``out``, events appended to the table ``log``.
+
+    Ends when all that is there is done, unless ``forever``.
+    """
+    from vellumix.streaming import chunks
+
+    def handle(batch: DataFrame, number: int) -> None:
+        own, _ = shared.materialize(jobs.with_ids(batch, short=True), "submitted")
+        submitted(own).write.mode("append").parquet(log)
+        translated_files(own, convert, translator, f"{out}/batch-{number}", **options).write.mode("append").parquet(log)
+
+    chunks.job_stream(spark, folder, handle, checkpoint, forever=forever)
 
 
 def summaries(docs: DataFrame) -> DataFrame:

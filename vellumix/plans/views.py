@@ -76,6 +76,11 @@ def conv_pages(d: Dialect, sf_dir: str = "") -> str:
     return f"SELECT conv_id AS doc_id, CAST(turn + 1 AS BIGINT) AS page_number, concat('Spring 2024', chr(10), 'Lecture  ', CAST(conv_id % 5 AS {text}), chr(10), {body}, chr(10), 'Page ', CAST(turn + 1 AS {text}), ' of 9') AS text FROM {table(d, sf_dir, 'conversations')}"
 
 
+def doc_pages(d: Dialect, sf_dir: str = "") -> str:
+    """Documents as the pages of their sources: few books of very many pages, one of which holds a large share."""
+    return f"SELECT coalesce(source, '') AS doc_id, doc_id AS page_number, coalesce(text, '') AS text FROM {table(d, sf_dir, 'documents')}"
+
+
 def urls(d: Dialect, sf_dir: str = "") -> str:
     cases = ("url", "concat(url, '.pdf')", "concat(url, '/My%20Paper.v2.PDF?x=1#y')", "concat(url, '/a+b%ZZ.pdf')", "concat(url, '.pdf/')", "'https://e.x'", "'ftp://e.x/file.pdf'", "''")
     case = "CASE " + " ".join(f"WHEN page_id % {len(cases)} = {k} THEN {c}" for k, c in enumerate(cases)) + " END"
@@ -108,7 +113,24 @@ def job_events(d: Dialect, sf_dir: str = "") -> str:
     )
 
 
-VIEWS = {f.__name__: f for f in (md_docs, math_docs, dirty_docs, conv_pages, urls, payloads, translations, job_events)}
+ENV_LINES = ("VELLUMIX_LLM_MODEL=a", "# VELLUMIX_LLM_MODEL=b", "export VELLUMIX_LLM_MODEL=c", "OTHER=1", " VELLUMIX_WEB_PORT = 1", "no entry", "VELLUMIX_JOBS_DIR=x")
+
+
+def env_lines(d: Dialect, sf_dir: str = "") -> str:
+    """The customers read as lines of settings files."""
+    text = "STRING" if d is SPARK else "VARCHAR"
+    line = "CASE " + " ".join(f"WHEN c_custkey * 7 % 11 = {k} THEN '{x}'" for k, x in enumerate(ENV_LINES)) + " ELSE '' END"
+    return f"SELECT concat('file', CAST(c_custkey % 13 AS {text})) AS file, CAST(c_custkey AS INT) AS line_no, {line} AS line FROM {table(d, sf_dir, 'customer')}"
+
+
+def failures(d: Dialect, sf_dir: str = "") -> str:
+    """The events read as errors of different kinds."""
+    kinds = ("ConfigError", "DownloadError", "ExtractError", "OCRError", "ConverterError", "TranslateError", "RenderError", "JobError", "PipelineError", "ValueError")
+    kind = "CASE " + " ".join(f"WHEN event_id % {len(kinds)} = {k} THEN '{x}'" for k, x in enumerate(kinds)) + " END"
+    return f"SELECT event_id, {kind} AS kind FROM {table(d, sf_dir, 'events')}"
+
+
+VIEWS = {f.__name__: f for f in (md_docs, math_docs, dirty_docs, conv_pages, urls, payloads, translations, job_events, doc_pages, env_lines, failures)}
 
 
 def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:

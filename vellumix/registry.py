@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumix import errors, settings, shared
+from vellumix import settings, shared
 from vellumix.functions import arrays, ordered, protect
 from vellumix.functions import math as M
 from vellumix.functions import text as T
 from vellumix.functions.dialect import DUCK, SPARK, Dialect
-from vellumix.operators import jobs, markdown, pages, spans, translate
+from vellumix.operators import documents, jobs, markdown, pages, spans, translate
 from vellumix.plans import views
 from vellumix.sources import files
 from vellumix.streaming import chunks as stream
@@ -99,44 +99,47 @@ def _payloads(spark, sf_dir):
     return files.with_payload_error(views.frame(spark, sf_dir, "payloads")).select("id", "is_pdf", "error")
 
 
-# Pages.
-def _as_pages(spark, sf_dir):
-    return views.frame(spark, sf_dir, "conv_pages")
+# Pages: of conversations (short, with headers, headings and bullets), and of sources (long, and very many).
+_STRIPPED = DUCK.keep(DUCK.map(T.lines(DUCK, "text"), "e", T.strip(DUCK, "e")), "e", "e <> ''")
+PAGE_VIEWS = {"": "conv_pages", "doc_": "doc_pages"}
 
 
-_STRIPPED = DUCK.keep(DUCK.map(T.lines(DUCK, "text"), "e", T.strip(DUCK, "e")), "e", "e <> ''")
-_NONBLANK = f"(SELECT doc_id, page_number, {_STRIPPED} AS ls FROM {views.sql('conv_pages')})"
+def _nonblank(view: str) -> str:
+    return f"(SELECT doc_id, page_number, {_STRIPPED} AS ls FROM {views.sql(view)})"
 
 
-@_add("q_lines", f"SELECT doc_id, page_number, CAST(i AS INTEGER) AS line_no, ls[i + 1] AS line FROM (SELECT *, unnest(range(len(ls))) AS i FROM {_NONBLANK})")
-def _lines(spark, sf_dir):
-    return pages.lines(_as_pages(spark, sf_dir))
+def _repeated_sql(view: str) -> str:
+    return f"""SELECT doc_id, side, {T.repeat_key(DUCK, 'line')} AS key, count(*) AS n FROM (
+  SELECT doc_id, 'top' AS side, unnest(ls[1:4]) AS line FROM {_nonblank(view)}
+  UNION ALL SELECT doc_id, 'bottom', unnest(list_reverse(ls)[1:4]) FROM {_nonblank(view)}) GROUP BY ALL HAVING count(*) >= 2"""
 
 
-_REPEATED = f"""SELECT doc_id, side, {T.repeat_key(DUCK, 'line')} AS key, count(*) AS n FROM (
-  SELECT doc_id, 'top' AS side, unnest(ls[1:4]) AS line FROM {_NONBLANK}
-  UNION ALL SELECT doc_id, 'bottom', unnest(list_reverse(ls)[1:4]) FROM {_NONBLANK}) GROUP BY ALL HAVING count(*) >= 2"""
+def _page_queries(prefix: str, view: str) -> None:
+    of = lambda rule: lambda spark, sf_dir: rule(views.frame(spark, sf_dir, view))
+    _add(f"q_{prefix}lines", f"SELECT doc_id, page_number, CAST(i AS INTEGER) AS line_no, ls[i + 1] AS line FROM (SELECT *, unnest(range(len(ls))) AS i FROM {_nonblank(view)})")(of(pages.lines))
+    _add(f"q_{prefix}repeated_lines", _repeated_sql(view))(of(pages.repeated_lines))
+    _add(f"q_{prefix}strip_headers", _cleaned_sql(view) + " SELECT doc_id, page_number, text FROM clean")(of(lambda df: pages.cleaned(df).select("doc_id", "page_number", "text")))
+    _add(f"q_{prefix}title", f"SELECT doc_id, coalesce(left(arg_min(ls[1], page_number) FILTER (len(ls) > 0), 120), 'Translated Document') AS title FROM {_nonblank(view)} GROUP BY doc_id")(of(pages.titles))
+    _add(f"q_{prefix}page_count", f"SELECT doc_id, count(*) AS n_pages FROM {views.sql(view)} GROUP BY doc_id")(of(lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))))
 
 
-@_add("q_repeated_lines", _REPEATED)
-def _repeated(spark, sf_dir):
-    return pages.repeated_lines(_as_pages(spark, sf_dir))
+def _as_pages(spark, sf_dir):
+    return views.frame(spark, sf_dir, "conv_pages")
 
 
-def _cleaned_sql() -> str:
+def _cleaned_sql(view: str = "conv_pages") -> str:
     rstrip = DUCK.map(T.lines(DUCK, "norm"), "e", DUCK.sub("e", f"[{T.WS}]+$", ""))
     return f"""
-WITH rep AS ({_REPEATED}),
+WITH rep AS ({_repeated_sql(view)}),
 sets AS (SELECT doc_id, coalesce(list(key) FILTER (side = 'top'), []) AS top, coalesce(list(key) FILTER (side = 'bottom'), []) AS bottom FROM rep GROUP BY doc_id),
-p AS (SELECT v.doc_id, page_number, {T.normalized(DUCK, 'text')} AS norm, coalesce(top, []) AS top, coalesce(bottom, []) AS bottom FROM {views.sql('conv_pages')} v LEFT JOIN sets USING (doc_id)),
+p AS (SELECT v.doc_id, page_number, {T.normalized(DUCK, 'text')} AS norm, coalesce(top, []) AS top, coalesce(bottom, []) AS bottom FROM {views.sql(view)} v LEFT JOIN sets USING (doc_id)),
 l AS (SELECT *, {rstrip} AS ls FROM p),
 w AS (SELECT *, {arrays.without_repeats(DUCK, 'ls', 'top', 'bottom')} AS kept FROM l),
 clean AS (SELECT doc_id, page_number, {T.strip(DUCK, f"array_to_string({arrays.joined_lines(DUCK, 'kept')}, chr(10))")} AS text FROM w)"""
 
 
-@_add("q_strip_headers", _cleaned_sql() + " SELECT doc_id, page_number, text FROM clean")
-def _clean(spark, sf_dir):
-    return pages.cleaned(_as_pages(spark, sf_dir)).select("doc_id", "page_number", "text")
+for _prefix, _view in PAGE_VIEWS.items():
+    _page_queries(_prefix, _view)
 
 
 def _units_sql() -> str:
@@ -185,14 +188,42 @@ def _images(spark, sf_dir):
     return pages.image_sections(own, pages.sections(clean))
 
 
-@_add("q_title", f"SELECT doc_id, coalesce(left(arg_min(ls[1], page_number) FILTER (len(ls) > 0), 120), 'Translated Document') AS title FROM {_NONBLANK} GROUP BY doc_id")
-def _titles(spark, sf_dir):
-    return pages.titles(_as_pages(spark, sf_dir))
+# The document model: paragraphs, headings and titles; its spans are Python's and have tests of their own.
+_TEXTS = (
+    _SECTIONS
+    + """,
+raw_of AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS section_index FROM g WHERE n_paragraphs > 0),
+paragraphs AS (SELECT doc_id, section_index, row_number() OVER (PARTITION BY doc_id, section_index ORDER BY page_number, unit_no) - 1 AS paragraph_index, CASE WHEN type = 'bullet' THEN concat('• ', text) ELSE text END AS text FROM raws JOIN raw_of USING (doc_id, raw) WHERE type <> 'heading')"""
+)
+
+
+def _found(spark, sf_dir):
+    clean = pages.cleaned(_as_pages(spark, sf_dir))
+    return clean, shared.materialize(pages.paragraphs(shared.materialize(pages.units(clean), "units")[0]), "paragraphs")[0]
+
+
+@_add("q_paragraphs", _TEXTS + " SELECT doc_id, section_index, paragraph_index, text FROM paragraphs")
+def _paragraphs(spark, sf_dir):
+    _, found = _found(spark, sf_dir)
+    return documents.paragraphs(found, pages.outline(found))
+
+
+@_add("q_model_titles", _SECTIONS + " SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Given' ELSE arg_min(heading, section_index) END AS title FROM sections GROUP BY doc_id")
+def _model_titles(spark, sf_dir):
+    clean, found = _found(spark, sf_dir)
+    given = clean.select("doc_id").distinct().select("doc_id", F.when(F.col("doc_id") % 3 == 0, "Given").when(F.col("doc_id") % 3 == 1, "").alias("title"))
+    return documents.titles(pages.with_default(pages.outline(found).drop("raw"), clean), given)
+
+
+@_add("q_model_headings", _SECTIONS + f" SELECT doc_id, section_index, CASE WHEN {M.worth_translating(DUCK, 'heading')} THEN concat('[ZH] ', heading) ELSE heading END AS heading FROM sections")
+def _model_headings(spark, sf_dir):
+    return documents.translated(documents.model(pages.cleaned(_as_pages(spark, sf_dir)))).sections.select("doc_id", "section_index", "heading")
 
 
-@_add("q_page_count", f"SELECT doc_id, count(*) AS n_pages FROM {views.sql('conv_pages')} GROUP BY doc_id")
-def _page_count(spark, sf_dir):
-    return _as_pages(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+@_add("q_model_texts")
+def _model_texts(spark, sf_dir):
+    """Paragraphs of translated documents; spans to translate are marked."""
+    return documents.paragraph_texts(documents.translated(documents.model(pages.cleaned(_as_pages(spark, sf_dir)))).spans)
 
 
 def _doc_pages(spark, sf_dir):
@@ -263,7 +294,7 @@ c AS (SELECT doc_id, chunk_index, {protect.intact(DUCK, 'answer', 'fragments')}
 
 @_add("q_translate_md", _translate_sql("concat('[ZH] ', protected)") + " SELECT doc_id, count(*) AS n_chunks, coalesce(string_agg(translated, chr(10) || chr(10) ORDER BY chunk_index) FILTER (translated <> ''), '') AS text FROM c GROUP BY doc_id")
 def _translate_md(spark, sf_dir):
-    return markdown.translated(views.frame(spark, sf_dir, "md_docs"), most=CAP)
+    return markdown.translated(views.frame(spark, sf_dir, "md_docs"), most=CAP).drop("error")
 
 
 @_add("q_translate_fallback", _translate_sql("CASE WHEN doc_id % 3 = 0 THEN replace(protected, 'URL', 'url') ELSE protected END") + " SELECT doc_id, chunk_index, intact, translated FROM c")
@@ -280,7 +311,10 @@ def _assets(spark, sf_dir):
     return markdown.localized(views.frame(spark, sf_dir, "md_docs"), _FILES).select("doc_id", "text")
 
 
-@_add("q_stream_chunks")
+_DOC_CHUNKS = _CHUNKS.replace(views.sql("md_docs"), "(SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+
+
+@_add("q_stream_chunks", f"SELECT doc_id, i AS chunk_index, chunks[i + 1] AS text FROM (SELECT *, unnest(range(len(chunks))) AS i FROM {_DOC_CHUNKS})")
 def _stream(spark, sf_dir):
     """The chunks of ``documents``, read as a stream of files."""
     folder = shared.scratch(spark, "chunk-stream")
@@ -300,9 +334,49 @@ def _formulas(spark, sf_dir):
     return spans.with_formulas(_math(spark, sf_dir)).select("doc_id", "formulas")
 
 
-@_add("q_math_restore")
+@_add("q_math_restore", f"SELECT doc_id, text AS restored, CAST([] AS VARCHAR[]) AS missing, CAST([] AS VARCHAR[]) AS unexpected FROM {views.sql('math_docs')}")
 def _math_restore(spark, sf_dir):
-    return spans.restored(spans.protected(_math(spark, sf_dir)), "protected").select("doc_id", "protected", "restored", "missing", "unexpected")
+    """What is put behind tokens comes back whole."""
+    return spans.restored(spans.protected(_math(spark, sf_dir)), "protected").select("doc_id", "restored", "missing", "unexpected")
+
+
+# Read off the samples by hand: (sample, formulas as start, end, kind), and (sample, spans; those passed through in brackets).
+_FORMULAS = {
+    0: ((5, 24, "sum_product"),),
+    1: ((8, 23, "set_builder"), (40, 61, "set_builder")),
+    2: ((4, 17, "set_literal"),),
+    3: ((8, 17, "union_intersection"),),
+}
+_SPANS = {
+    0: ("Then ", "[∑n i=1 i2]", " = 6 holds, where ", "[n2 + n]", " is even."),
+    1: ("The set {x ∈ Z ", "[| x > 0} is infinite ]", "and", "[ {a b |]", " a, b integers} is not."),  # bars are cut first
+    2: ("Let ", "[S = {1, 2, 3}]", " be given with ", "[n = k + 1]", " in a ", "non-zero", " case."),
+    3: ("We know ", "[A ∩ B = ∅]", " and x ∈ A or y ∉ B."),
+    4: ("[α + β = γ]",),
+    5: ("symbol = denoted", " by x ≤ y"),
+}
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(str(v) if isinstance(v, (int, bool)) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows) + ")"
+
+
+_FORMULA_ROWS = _values([(k, i, a, z, kind) for k, found in _FORMULAS.items() for i, (a, z, kind) in enumerate(found)])
+_SPAN_ROWS = _values([(k, i, t[1:-1] if t[0] == "[" and t[-1] == "]" else t, t[0] != "[") for k, found in _SPANS.items() for i, t in enumerate(found)])
+
+
+def _samples(spark, sf_dir):
+    return views.frame(spark, sf_dir, "math_docs").select("doc_id", F.col("formula").alias("text"))
+
+
+@_add("q_formula_kinds", f"SELECT doc_id, CAST(v.a AS INTEGER) AS start, CAST(v.z AS INTEGER) AS \"end\", kind FROM {views.sql('math_docs')} d JOIN {_FORMULA_ROWS} v(k, i, a, z, kind) ON d.doc_id % 6 = v.k")
+def _formula_kinds(spark, sf_dir):
+    return spans.with_formulas(_samples(spark, sf_dir)).select("doc_id", F.explode("formulas").alias("f")).select("doc_id", "f.start", "f.end", "f.kind")
+
+
+@_add("q_formula_spans", f"SELECT doc_id, CAST(v.i AS BIGINT) AS span_index, v.t AS text, v.ok AS translatable FROM {views.sql('math_docs')} d JOIN {_SPAN_ROWS} v(k, i, t, ok) ON d.doc_id % 6 = v.k")
+def _formula_spans(spark, sf_dir):
+    return spans.span_rows(spans.with_spans(_samples(spark, sf_dir)))
 
 
 @_add("q_math_stable")
@@ -328,7 +402,8 @@ def _translate_spans(spark, sf_dir):
 
 @_add("q_placeholder_recovery")
 def _recovery(spark, sf_dir):
-    lossy = lambda x: F.when((F.col("doc_id") % 3 == 0) & ~F.startswith(x, F.lit("Critical")), F.regexp_replace(x, r"\[\[MATH_\d+\]\]", "")).otherwise(F.regexp_replace(x, r"(?s)^Critical.*?\n\n", ""))
+    asked_again = F.lit(translate.RECOVERY)
+    lossy = lambda x: F.when((F.col("doc_id") % 3 == 0) & ~F.startswith(x, asked_again), F.regexp_replace(x, r"\[\[MATH_\d+\]\]", "")).otherwise(F.replace(x, asked_again, F.lit("")))
     return translate.keeping_formulas(_math(spark, sf_dir), lossy).select("doc_id", "translated", "outcome")
 
 
@@ -368,27 +443,25 @@ def _fill(spark, sf_dir):
 
 
 # Settings and jobs.
-_ENV = ("VELLUMIX_LLM_MODEL=a", "# VELLUMIX_LLM_MODEL=b", "export VELLUMIX_LLM_MODEL=c", "OTHER=1", "OTHER=2", " VELLUMIX_WEB_PORT = 1", "no entry", "VELLUMIX_LLM_MODEL=d", "VELLUMIX_WEB_PORT=2", "VELLUMIX_JOBS_DIR=x")
 _KEYS = ["VELLUMIX_LLM_MODEL", "VELLUMIX_WEB_PORT", "VELLUMIX_JOBS_DIR"]
-_ENV_ROWS = ", ".join(f"('.env', {n}, '{line}')" for n, line in enumerate(_ENV, 1))
 
 
 @_add(
     "q_env_duplicates",
-    f"""SELECT file, key, list_sort(list(n)) AS line_nos FROM (SELECT file, n, trim(split_part(e, '=', 1)) AS key FROM (SELECT file, n, regexp_replace(trim(line), '^export ', '') AS e FROM (VALUES {_ENV_ROWS}) t(file, n, line)) WHERE NOT starts_with(trim(e), '#') AND contains(e, '='))
+    f"""SELECT file, key, list_sort(list(line_no)) AS line_nos FROM (SELECT file, line_no, trim(split_part(e, '=', 1)) AS key FROM (SELECT file, line_no, regexp_replace(trim(line), '^export ', '') AS e FROM {views.sql('env_lines')}) WHERE NOT starts_with(trim(e), '#') AND contains(e, '='))
 WHERE key IN ({', '.join(f"'{k}'" for k in _KEYS)}) GROUP BY ALL HAVING count(*) > 1""",
 )
 def _env(spark, sf_dir):
-    return settings.duplicate_keys(spark.createDataFrame([(".env", n, line) for n, line in enumerate(_ENV, 1)], "file string, line_no int, line string"), _KEYS)
+    return settings.duplicate_keys(views.frame(spark, sf_dir, "env_lines"), _KEYS)
 
 
-_CODES = ", ".join(f"('{e.__name__}', {n})" for e, n in (*errors.EXIT_CODES, (errors.PipelineError, 1)))
-
-
-@_add("q_exit_codes", f"SELECT kind, exit_code FROM (VALUES {_CODES}) t(kind, exit_code)")
+@_add(
+    "q_exit_codes",
+    f"""SELECT event_id, kind, CASE kind WHEN 'ConfigError' THEN 2 WHEN 'DownloadError' THEN 3 WHEN 'ExtractError' THEN 4 WHEN 'OCRError' THEN 4 WHEN 'ConverterError' THEN 4
+WHEN 'TranslateError' THEN 5 WHEN 'RenderError' THEN 6 WHEN 'JobError' THEN 7 ELSE 1 END AS exit_code FROM {views.sql('failures')}""",
+)
 def _codes(spark, sf_dir):
-    kinds = [(e.__name__,) for e, _ in errors.EXIT_CODES] + [("PipelineError",)]
-    return jobs.with_exit_codes(spark.createDataFrame(kinds, "kind string"))
+    return jobs.with_exit_codes(views.frame(spark, sf_dir, "failures"))
 
 
 @_add(

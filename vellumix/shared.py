@@ -59,6 +59,12 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch path, on whatever file system it is."""
     jvm = spark.sparkContext._jvm

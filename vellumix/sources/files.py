@@ -5,7 +5,10 @@ Libraries and services that may not be installed are given as functions.
 
 from __future__ import annotations
 
+import contextlib
+import shutil
 import time
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumix import shared
+from vellumix.errors import ExtractError
 from vellumix.functions import text as T
 from vellumix.functions.dialect import SPARK, Dialect
 
@@ -55,12 +59,22 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).isin(*IMAGE_SUFFIXES)).orderBy("path")
 
 
-def pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, list[tuple[str, bytes]]]]], max_pages: int | None = None) -> DataFrame:
+Images = list[tuple[str, bytes | Callable[[], bytes]]]
+
+
+def pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, Images]]], max_pages: int | None = None) -> DataFrame:
     """Pages (PAGE_SCHEMA) of PDF files by ``parse(content) -> [(text, [(ext, image)])]``; an unreadable file gives one row with an error.
 
-    Images without bytes are dropped, after they were numbered.
+    An image is its bytes or a function that reads them. Images without bytes, or that can't be read, are
+    dropped, after they were numbered from 0.
     """
 
+    def read(image) -> bytes:
+        try:
+            return image() if callable(image) else image
+        except Exception:
+            return b""
+
     def run(batches):
         for frame in batches:
             rows = []
@@ -73,15 +87,36 @@ def pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, list[tuple[
                     rows.append((path, None, None, [], str(e)))
                     continue
                 for n, (text, own) in enumerate(found, 1):
-                    rows.append((path, n, text, [{"image_id": f"p{n}_img{i}", "ext": ext, "data": data} for i, (ext, data) in enumerate(own, 1) if data], None))
+                    each = [(i, ext, read(image)) for i, (ext, image) in enumerate(own)]
+                    rows.append((path, n, text, [{"image_id": f"p{n}_img{i}", "ext": ext, "data": data} for i, ext, data in each if data], None))
             yield pd.DataFrame(rows, columns=["doc_id", "page_number", "text", "images", "error"]).astype({"page_number": "Int64"})
 
     shared.ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
-def download(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], attempts: int = 3, pause_s: float = 0.6) -> DataFrame:
-    """(url, base_name, content_type, payload, error) by ``fetch(url) -> (content type, bytes)``, tried again after failures and wrong payloads."""
+def fitz_pages(content: bytes) -> list[tuple[str, Images]]:
+    """A parser for ``pages``, where the library is installed."""
+    try:
+        import fitz
+    except ImportError as e:
+        raise ExtractError("reading PDF files needs the library fitz, or another parser") from e
+
+    out = []
+    with fitz.open(stream=content, filetype="pdf") as book:
+        for page in book:
+            own: Images = []
+            for image in page.get_images(full=True):
+                data = {}
+                with contextlib.suppress(Exception):
+                    data = book.extract_image(image[0])
+                own.append((data.get("ext", "bin"), data.get("image", b"")))
+            out.append((page.get_text("text") or "", own))
+    return out
+
+
+def download(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], attempts: int = 3, pause_s: float = 0.6, keep: list[str] | None = None) -> DataFrame:
+    """(url, base_name, content_type, payload, error), and columns to ``keep``, by ``fetch(url) -> (content type, bytes)``, tried again after failures and wrong payloads."""
 
     def one(url: str) -> tuple[str | None, bytes | None, str | None]:
         why = None
@@ -100,15 +135,16 @@ def download(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], attempt
     def run(batches):
         for frame in batches:
             got = [one(u) for u in frame.url]
-            yield pd.DataFrame({"url": frame.url, "content_type": [x[0] for x in got], "payload": [x[1] for x in got], "error": [x[2] for x in got]})
+            yield frame.assign(content_type=[x[0] for x in got], payload=[x[1] for x in got], error=[x[2] for x in got])
 
     shared.ship(urls.sparkSession)
-    out = urls.select("url").mapInPandas(run, "url string, content_type string, payload binary, error string")
+    own = urls.select("url", *(keep or []))
+    out = own.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in own.dtypes) + ", content_type string, payload binary, error string")
     return out.withColumn("base_name", T.column(T.base_name, "url"))
 
 
-def convert(files: DataFrame, converter: Callable[[bytes], str]) -> DataFrame:
-    """(path, text, error): Markdown of each file by ``converter``; the last 8,000 characters of a failure."""
+def convert(files: DataFrame, converter: Callable[[bytes], str], keep: list[str] | None = None) -> DataFrame:
+    """(path, text, error), and columns to ``keep``: Markdown of each file by ``converter``; the last 8,000 characters of a failure."""
 
     def one(content) -> tuple[str | None, str | None]:
         try:
@@ -118,13 +154,81 @@ def convert(files: DataFrame, converter: Callable[[bytes], str]) -> DataFrame:
 
     def run(batches):
         for frame in batches:
-            got = [one(c) for c in frame.content]
-            yield pd.DataFrame({"path": frame.path, "text": [x[0] for x in got], "error": [x[1] for x in got]})
+            got = [one(c) for c in frame.pop("content")]
+            yield frame.assign(text=[x[0] for x in got], error=[x[1] for x in got])
 
     shared.ship(files.sparkSession)
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+    own = files.select("path", *(keep or []), "content")
+    return own.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in own.dtypes if c != "content") + ", text string, error string")
+
+
+def stem(d: Dialect, path: str) -> str:
+    """A file's name without its folders and its last extension."""
+    return d.sub(d.first(path, r"[^/\\]*$"), r"([^.].*)\.[^.]*$", r"\1")
+
+
+def output_name(d: Dialect, path: str) -> str:
+    """The name of a file's translation, in its own folder."""
+    return d.cat(d.sub(path, r"([^/\\.][^/\\]*)\.[^./\\]*$", r"\1"), "'.zh.md'")
+
+
+def write_texts(docs: DataFrame, path: str) -> None:
+    """A table of (name, text) under ``path``: few large files, however many texts. ``export`` makes files of them."""
+    docs.select(F.col("name").cast("string"), "text").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
 
+def _filesystem(folder: str):
+    from pyarrow import fs
 
-def write_markdown(docs: DataFrame, path: str, key: str = "doc_id") -> None:
-    """One folder for each key under ``path``, with its text."""
-    docs.select(F.col(key).cast("string").alias("doc"), F.col("text").alias("value")).write.partitionBy("doc").option("lineSep", "\n").mode("overwrite").text(path)
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder
+
+
+def export(docs: DataFrame, folder: str) -> DataFrame:
+    """A file for each (name, text), where folders in ``name`` are made; returns (name, size).
+
+    Executors write them to ``folder``, a path or URI that all of them reach, each file beside its place
+    and then moved there: a task that runs again only replaces what it has written.
+    """
+
+    def run(batches):
+        system, root = _filesystem(folder)
+        for frame in batches:
+            sizes = []
+            for name, text in zip(frame.name, frame.text, strict=True):
+                parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".", "..")]
+                place = "/".join([root.rstrip("/"), *parts])
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                data, beside = (text or "").encode(), f"{place}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(beside) as out:
+                    out.write(data)
+                system.move(beside, place)
+                sizes.append(len(data))
+            yield pd.DataFrame({"name": frame.name, "size": sizes})
+
+    shared.ship(docs.sparkSession)
+    return shared.materialize(docs.select("name", "text").mapInPandas(run, "name string, size long"), "exported")[0]
+
+
+def export_assets(copies: DataFrame, source: str, folder: str) -> DataFrame:
+    """Copies of files (source, name) from the folder ``source`` into ``folder``; returns (source, name, error)."""
+
+    def run(batches):
+        (there, base), (system, root) = _filesystem(source), _filesystem(folder)
+        for frame in batches:
+            why = []
+            for path, name in zip(frame.source, frame.name, strict=True):
+                try:
+                    system.create_dir(root, recursive=True)
+                    beside = f"{root}/{name}.{uuid.uuid4().hex}.part"
+                    with there.open_input_stream(f"{base.rstrip('/')}/{path}") as data, system.open_output_stream(beside) as out:
+                        shutil.copyfileobj(data, out)
+                    system.move(beside, f"{root}/{name}")
+                    why.append(None)
+                except OSError as e:
+                    why.append(str(e))
+            yield frame.assign(error=why)
+
+    shared.ship(copies.sparkSession)
+    return shared.materialize(copies.select("source", "name").distinct().mapInPandas(run, "source string, name string, error string"), "assets")[0]

@@ -19,7 +19,8 @@ def documents_stream(spark: SparkSession, folder: str, schema: StructType, patte
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_at_a_time).parquet(folder)
 
 
-def job_stream(spark: SparkSession, folder: str, handle, checkpoint: str, files_at_a_time: int = 1) -> None:
+def job_stream(spark: SparkSession, folder: str, handle, checkpoint: str, files_at_a_time: int = 1, forever: bool = False) -> None:
     """Jobs for PDF files that arrive in ``folder``: ``handle(batch, number)`` gets them in turn, in order of arrival."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pdf").option("maxFilesPerTrigger", files_at_a_time).load(folder)
-    files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    when = {"processingTime": "2 seconds"} if forever else {"availableNow": True}
+    files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**when).start().awaitTermination()
