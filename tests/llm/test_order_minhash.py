@@ -149,3 +149,14 @@ def test_classes_equal_brute_force(spark, monkeypatch, rounds):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert m.classes(df).count() == 0 and m.one_of_each(df).count() == 0
+
+
+def test_short_texts_miss_no_links(spark):
+    """Pairs of five shingles, four of them shared: each has a chance of 0.005 to be missed by 24 samples, 0.0000001 by all."""
+    rng, rows = random.Random(17), []
+    for k in range(400):
+        words = [f"w{k}x{i}" for i in range(9)]
+        other = [*words[:-1], f"w{k}y"] if rng.random() < 0.5 else [f"w{k}y", *words[1:]]
+        rows += [(2 * k, " ".join(words), "x"), (2 * k + 1, " ".join(other), "x")]
+    got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[2 * k + 1] for k in range(400)] == [2 * k for k in range(400)]

@@ -7,7 +7,8 @@ classes are the connected components of the links, with equal texts in one class
 Sketch: each of ``SAMPLES`` keyed hashes of the occurrence-labelled shingles picks the ``PICKS``
 smallest and keeps them in text order; texts that agree on one sample are candidates. Linked texts
 share two thirds of their shingles at least, so a link is missed by all samples with a chance of
-(1 - (2/3)**3)**24, 0.0002, at the threshold, and far less above it.
+(1 - (2/3)**3)**24, 0.0002, at the threshold, and far less above it. Texts of at most ``SHORT`` shingles
+agree on a sample less often (with 0.2 for 4 of 5 shingles) and have ``SHORT_SAMPLES``.
 
 Candidates: the texts of a bucket are first aligned with one of them, the one that lies in the most
 populous buckets (of a family of near copies, the likely original). Texts of buckets that this
@@ -42,6 +43,8 @@ from vellumix.llm import _common
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, PICKS = 24, 3
+#: Texts of few shingles agree on a sample less often than in the limit, and get more samples.
+SHORT, SHORT_SAMPLES = 16, 72
 ROUNDS = 3  # of dropping texts without possible links; any number from 1 is right
 _MOST = np.uint64((1 << 64) - 1)
 
@@ -99,8 +102,8 @@ def labelled(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 NARROW = 14
 
 
-def sketches(labels: np.ndarray, n: np.ndarray, samples: int = SAMPLES, picks: int = PICKS) -> np.ndarray:
-    """For each text with shingles, a key for each sample: its smallest labels in text order."""
+def sketches(labels: np.ndarray, n: np.ndarray, samples: int = SAMPLES, picks: int = PICKS, first: int = 0) -> np.ndarray:
+    """For each text with shingles, a key for each sample from the ``first`` on: its smallest labels in text order."""
     n = n[n > 0]
     out = np.zeros((len(n), samples), np.uint64)
     if not len(n):
@@ -111,7 +114,7 @@ def sketches(labels: np.ndarray, n: np.ndarray, samples: int = SAMPLES, picks: i
     bound[n <= NARROW] = _MOST
     under, want, last = np.repeat(bound, n), np.minimum(n, picks), len(labels)
     for s in range(samples):
-        v = labels * _odd(s)
+        v = labels * _odd(first + s)
         at = np.flatnonzero(v <= under)
         text = text_of[at]
         short = np.flatnonzero(np.bincount(text, minlength=len(n)) < want)
@@ -120,13 +123,13 @@ def sketches(labels: np.ndarray, n: np.ndarray, samples: int = SAMPLES, picks: i
             text = text_of[at]
         order = np.lexsort((v[at], text))
         at, text = at[order], text[order]
-        first = np.searchsorted(text, np.arange(len(n)))
-        rank = np.arange(len(at)) - first[text]
+        begin = np.searchsorted(text, np.arange(len(n)))
+        rank = np.arange(len(at)) - begin[text]
         places = np.full((len(n), picks), last)
         chosen = rank < picks
         places[text[chosen], rank[chosen]] = at[chosen]
         places.sort(axis=1)
-        key = np.full(len(n), _odd(s + 1000))
+        key = np.full(len(n), _odd(first + s + 1000))
         for p in range(picks):
             here = places[:, p]
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(here < last, labels[np.minimum(here, last - 1)], np.uint64(0)))
@@ -228,9 +231,14 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     def run(batches):
         for batch in _common.slices(batches, "data", 3 << 20):
             hashes, n = shingles(batch.column("data").to_pylist())
-            keys = sketches(labelled(hashes, n), n)
-            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, SAMPLES, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+            labels, short = labelled(hashes, n), (n > 0) & (n <= SHORT)
+            more = sketches(labels[np.repeat(short, n)], n[short], SHORT_SAMPLES - SAMPLES, first=SAMPLES)
+            size = np.where(n > 0, SAMPLES, 0) + np.where(short, SHORT_SAMPLES - SAMPLES, 0)
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            keys = np.zeros(int(offsets[-1]), np.uint64)
+            keys[offsets[:-1][n > 0][:, None] + np.arange(SAMPLES)] = sketches(labels, n)
+            keys[offsets[:-1][short][:, None] + np.arange(SAMPLES, SHORT_SAMPLES)] = more
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(n.astype(np.int32)), lists], names=["doc_id", "digest", "n", "keys"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), digest(text).alias("digest"), _common.text_bytes(text).alias("data"))
@@ -293,9 +301,9 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     """(doc_id, digest, class_id, class_digest, n_links, n_copies) for every row of ``docs``.
 
     ``class_id`` and ``class_digest`` name the document of the class with the least id (of several
-    texts with that id, the least digest); ``n_links`` counts verified links of the row's text with
-    other texts, ``n_copies`` the rows with an equal text. ``docs`` is read more than once, so it
-    should be a table.
+    texts with that id, the least digest); ``n_links`` counts the links of the row's text with other
+    texts that were tried and verified, which may not be all it has; ``n_copies`` the rows with an equal
+    text. ``docs`` is read more than once, so it should be a table.
     """
     spark = docs.sparkSession
     sketched, _ = _common.materialize(sketch(docs, id_column, text), "sketches")
