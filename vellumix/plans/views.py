@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellumix import shared
 from vellumix.functions.dialect import DUCK, SPARK, Dialect
 
 
@@ -134,7 +135,7 @@ VIEWS = {f.__name__: f for f in (md_docs, math_docs, dirty_docs, conv_pages, url
 
 
 def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    return spark.sql(VIEWS[view](SPARK, sf_dir))
+    return shared.spread(spark.sql(VIEWS[view](SPARK, sf_dir)))
 
 
 def sql(view: str) -> str:

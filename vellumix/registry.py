@@ -227,7 +227,7 @@ def _model_texts(spark, sf_dir):
 
 
 def _doc_pages(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).cast("long").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
+    return shared.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.lit(1).cast("long").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 _DOC_LENGTH = f"length({T.strip(DUCK, chr(34) + 'text' + chr(34))})"
@@ -379,6 +379,31 @@ def _formula_spans(spark, sf_dir):
     return spans.span_rows(spans.with_spans(_samples(spark, sf_dir)))
 
 
+_FORMULA_TRANSLATED = f"""SELECT doc_id, string_agg(CASE WHEN v.ok AND trim(v.t) <> '' THEN concat(regexp_extract(v.t, '^ *'), '[ZH] ', v.t) ELSE v.t END, '' ORDER BY v.i) AS text
+FROM {views.sql('math_docs')} d JOIN {_SPAN_ROWS} v(k, i, t, ok) ON d.doc_id % 6 = v.k GROUP BY doc_id"""
+
+
+@_add("q_formula_translated", _FORMULA_TRANSLATED)
+def _formula_translated(spark, sf_dir):
+    return translate.documents(spans.span_rows(spans.with_spans(_samples(spark, sf_dir))))
+
+
+@_add("q_formula_counts", f"SELECT doc_id, count(*) FILTER (v.ok) AS n_translatable, count(*) FILTER (NOT v.ok) AS n_passthrough FROM {views.sql('math_docs')} d JOIN {_SPAN_ROWS} v(k, i, t, ok) ON d.doc_id % 6 = v.k GROUP BY doc_id")
+def _formula_counts(spark, sf_dir):
+    return documents.span_counts(spans.span_rows(spans.with_spans(_samples(spark, sf_dir))))
+
+
+def _losing(lost):
+    """A translator that loses tokens where ``lost``, unless it is asked for them again."""
+    asked_again = F.lit(translate.RECOVERY)
+    return lambda x: F.when(lost & ~F.startswith(x, asked_again), F.regexp_replace(x, r"\[\[MATH_\d+\]\]", "")).otherwise(F.replace(x, asked_again, F.lit("")))
+
+
+@_add("q_formula_recovery", f"SELECT doc_id, formula AS translated, CASE WHEN doc_id % 6 IN (0, 3) THEN 'recovered' ELSE 'kept' END AS outcome FROM {views.sql('math_docs')}")
+def _formula_recovery(spark, sf_dir):
+    return translate.keeping_formulas(_samples(spark, sf_dir), _losing(F.col("doc_id") % 3 == 0)).select("doc_id", "translated", "outcome")
+
+
 @_add("q_math_stable")
 def _stable(spark, sf_dir):
     return spans.stable_layout(_math(spark, sf_dir)).select("doc_id", "stable")
@@ -402,9 +427,7 @@ def _translate_spans(spark, sf_dir):
 
 @_add("q_placeholder_recovery")
 def _recovery(spark, sf_dir):
-    asked_again = F.lit(translate.RECOVERY)
-    lossy = lambda x: F.when((F.col("doc_id") % 3 == 0) & ~F.startswith(x, asked_again), F.regexp_replace(x, r"\[\[MATH_\d+\]\]", "")).otherwise(F.replace(x, asked_again, F.lit("")))
-    return translate.keeping_formulas(_math(spark, sf_dir), lossy).select("doc_id", "translated", "outcome")
+    return translate.keeping_formulas(_math(spark, sf_dir), _losing(F.col("doc_id") % 3 == 0)).select("doc_id", "translated", "outcome")
 
 
 @_add("q_quality_rounds")
@@ -420,7 +443,7 @@ _CACHE = f"(SELECT key, min(CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('[ZH] '
 
 
 def _keyed(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = shared.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = translate.with_keys(docs, _MODEL, _PRINT)
     cache = own.where("doc_id % 2 = 0").groupBy("key").agg(F.min(F.when(F.col("doc_id") % 4 == 0, "").otherwise(markdown.fake(F.col("text")))).alias("value"))
     return own, cache

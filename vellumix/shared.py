@@ -78,6 +78,16 @@ def _clean(spark: SparkSession, app: str) -> None:
             discard(spark, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out to all cores if they come in fewer partitions than there are cores.
+
+    A file of one row group is one partition, however many cores wait. Inputs of more partitions than
+    cores, as large ones are, stay as they are and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows, whose columns the optimizer moves into nothing above: they are computed once, here. Not for streams."""
     return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")
