@@ -10,14 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumix.shared import discard, materialize, scratch, ship
+from vellumix.shared import discard, materialize, scratch, ship, spread
 
 __all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes", "with_text", "without_text"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """One of the input tables, on all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def only(df: DataFrame, condition: Column) -> DataFrame:
