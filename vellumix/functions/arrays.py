@@ -1,7 +1,8 @@
 """Ordered rules that carry a state from line to line, as folds over arrays.
 
-They run inside a row, without a shuffle. The elements are first given the state's own type, which
-both engines can fold.
+These define the rules for the SQL that checks ``ordered``, which is what operators run: a fold copies
+what it has gathered at every step. The elements are first given the state's own type, which both
+engines can fold.
 """
 
 from __future__ import annotations
