@@ -155,6 +155,12 @@ def test_mathematics_or_prose():
         assert spans.is_math(text) is want, text
 
 
+def test_fingerprints(ask):
+    from vellumix.operators import translate
+
+    assert ask(lambda d, a, b: T.fingerprint(d, a, b), "prompt", "policy") == translate.fingerprint("prompt", "policy")
+
+
 def page(spark, text):
     return spark.createDataFrame([(1, 1, text)], "doc_id long, page_number long, text string")
 

@@ -284,12 +284,12 @@ def test_answers_are_remembered(spark, tmp_path):
 
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "bad")], "doc_id long, text string")
     for n in (3, 4):  # the failure is tried again, all else is known
-        got = {r.doc_id: (r.answer, (r.error or "")[:14]) for r in translate.remembered(df, translate.service(call, 1, 0.0, errors=True), str(tmp_path / "cache"), "m", "f").collect()}
+        got = {r.doc_id: (r.answer, (r.error or "")[:14]) for r in translate.remembered(df, translate.service(call, 1, 0.0, errors=True), translate.Cache(str(tmp_path / "cache"), "m", "f")).collect()}
         assert got == {1: ("A", ""), 2: ("B", ""), 3: ("B", ""), 4: (None, "no translation")} and calls.value == n
     docs = spark.createDataFrame([(1, "# one\n\ntwo"), (2, "# one")], "doc_id long, text string")
     before = calls.value
     for _ in range(2):
-        made = markdown.translated(docs, translate.service(call, 1, 0.0, errors=True), 5, cache=str(tmp_path / "cache2"))
+        made = markdown.translated(docs, translate.service(call, 1, 0.0, errors=True), 5, cache=translate.Cache(str(tmp_path / "cache2")))
         assert {r.doc_id: (r.n_chunks, r.text, r.error) for r in made.collect()} == {1: (2, "# ONE\n\nTWO", None), 2: (1, "# ONE", None)}
         assert calls.value == before + 2
 

@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         own = settings.load(Path(args.env).read_text().splitlines() if Path(args.env).exists() else [], online=not args.fake)
         spark = spark or SparkSession.builder.getOrCreate()
         translator = markdown.fake if args.fake else translate.service(services.chat(own), own.retry_attempts, errors=True)
-        options = {"most": own.chunk_chars, "mode": own.symbol_fix_mode} | ({} if args.fake else {"cache": f"{args.out.rstrip('/')}/.cache"})
+        options = {"most": own.chunk_chars, "mode": own.symbol_fix_mode} | {"cache": None if args.fake else translate.Cache(own.cache_dir, own.llm_model, translate.fingerprint(services.PROMPT))}
         if args.command == "translate-md":
             return translate_markdown(spark, args.source, args.out, translator, **options)
         convert = services.command_converter(own.converter_command, own.force_ocr)

@@ -30,10 +30,10 @@ def fake(text: Column) -> Column:
     return F.concat(F.lit("[ZH] "), text)
 
 
-def translated_chunks(found: DataFrame, translate: Callable[[Column], Column] = fake, mode: str = "conservative", cache: str | None = None, model: str = "", fingerprint: str = "") -> DataFrame:
+def translated_chunks(found: DataFrame, translate: Callable[[Column], Column] = fake, mode: str = "conservative", cache=None) -> DataFrame:
     """Chunks with ``translated`` text and ``error``; one whose placeholders the translator lost keeps its raw text, and ``intact`` says so.
 
-    With a ``cache`` folder, what was answered before isn't sent again. A failed chunk has an error and keeps its raw text.
+    With a ``translate.Cache``, what was answered before isn't sent again. A failed chunk has an error and keeps its raw text.
     """
     from vellumix.operators import translate as requests
 
@@ -42,15 +42,15 @@ def translated_chunks(found: DataFrame, translate: Callable[[Column], Column] =
     if cache is None:
         out = requests.answered(out, translate, F.col("protected"), "_answer")
     else:
-        out = requests.remembered(out, translate, cache, model, fingerprint, "protected").withColumnRenamed("answer", "_answer")
+        out = requests.remembered(out, translate, cache, "protected").withColumnRenamed("answer", "_answer")
     out = out.withColumn("_answer", T.column(T.normalized, "coalesce(_answer, '')", mode=mode)).withColumn("intact", F.col("error").isNull() & F.expr(protect.intact(SPARK, "_answer", "fragments")))
     out = out.withColumn("translated", F.when(F.col("intact"), F.expr(protect.restored(SPARK, "_answer", "fragments"))).otherwise(F.col("text")))
     return out.drop("_clean", "_answer", "protected")
 
 
-def translated(docs: DataFrame, translate: Callable[[Column], Column] = fake, most: int = CHUNK_CHARS, mode: str = "conservative", **cache) -> DataFrame:
+def translated(docs: DataFrame, translate: Callable[[Column], Column] = fake, most: int = CHUNK_CHARS, mode: str = "conservative", cache=None) -> DataFrame:
     """(doc_id, n_chunks, text, error): documents translated chunk by chunk and put together in order; the first chunk's error, if any failed."""
-    parts = translated_chunks(chunks(docs, most), translate, mode, **cache)
+    parts = translated_chunks(chunks(docs, most), translate, mode, cache)
     ordered = F.sort_array(F.collect_list(F.struct("chunk_index", "translated")))
     first_error = F.min(F.when(F.col("error").isNotNull(), F.struct("chunk_index", "error")))["error"]
     out = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), ordered.alias("_parts"), first_error.alias("error"))

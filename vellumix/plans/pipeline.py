@@ -28,12 +28,12 @@ def _log(*events: DataFrame) -> DataFrame:
     return log
 
 
-def translated_files(inputs: DataFrame, convert: Callable[[bytes], str], translator: translate.Translator, out: str, most: int = markdown.CHUNK_CHARS, mode: str = "conservative", cache: str | None = None) -> DataFrame:
+def translated_files(inputs: DataFrame, convert: Callable[[bytes], str], translator: translate.Translator, out: str, most: int = markdown.CHUNK_CHARS, mode: str = "conservative", cache: translate.Cache | None = None) -> DataFrame:
     """Convert and translate files (path, content), write (name, text) for each under ``out``; returns the events of all jobs.
 
     Every file is a job of its own, under a new id unless there is a column ``job_id``. A file that fails
     to convert, or a text of which the translator fails (``translate.service`` with ``errors``), ends its
-    own job only. With a ``cache`` folder, answers are kept there and not asked for again.
+    own job only. With a ``cache``, answers are kept there and not asked for again.
     """
     inputs = inputs if "job_id" in inputs.columns else jobs.with_ids(inputs)
     # Written at once: ids are new every time they are computed.
@@ -41,7 +41,7 @@ def translated_files(inputs: DataFrame, convert: Callable[[bytes], str], transla
     texts = files.convert(named, convert, ["job_id"])
     done, _ = shared.materialize(texts.withColumn("name", F.concat_ws("/", "job_id", F.concat(F.expr(files.stem(SPARK, "path")), F.lit(".zh.md")))), "converted")
     good, unread = done.where("error IS NULL"), done.where("error IS NOT NULL")
-    made, _ = shared.materialize(markdown.translated(good.select(F.col("job_id").alias("doc_id"), "text"), translator, most, mode, **({"cache": cache} if cache else {})).withColumnRenamed("doc_id", "job_id"), "translated")
+    made, _ = shared.materialize(markdown.translated(good.select(F.col("job_id").alias("doc_id"), "text"), translator, most, mode, cache).withColumnRenamed("doc_id", "job_id"), "translated")
     whole, broken = made.where("error IS NULL"), made.where("error IS NOT NULL")
     files.write_texts(whole.join(done.select("job_id", "name"), "job_id").select("name", "text"), out)
     return _log(
