@@ -31,7 +31,8 @@ add. So probabilities after a context sum to one, but for the chance of that fal
 Defined results: a null text is an empty one, whose only token is the end; a null id counts as
 the text "" where rows are chosen by id; repeated rows are counted and scored each by itself;
 without training tokens every probability is that of a lone unknown token. Words are known by 64-bit
-hashes: two of a billion different ones share theirs with a chance of 3 %, and then their counts.
+hashes: two of a billion different ones share theirs with a chance of 3 %, and then their counts; n-grams
+by 56 bits, of a billion different ones some seven do.
 """
 
 from __future__ import annotations
@@ -55,8 +56,10 @@ FALSE_GRAMS = 2.0  # expected at most among a vocabulary's words after one conte
 BITS, HIGHER, LOAD = 4, 2, 8.0
 STEPS_AN_OCTAVE = 24
 SEGMENT_TOKENS, PART_BYTES = 4_000_000, 96 << 20
-FLUSH = 3_000_000  # tokens counted at a time in a task
-SLICE = 6 << 20  # bytes of a slice's texts
+FLUSH = 5_000_000  # tokens counted at a time in a task
+SLICE = 10 << 20  # bytes of a slice's texts
+#: N-grams are known by 56 bits, whose steps in sorted order take fewer bytes.
+GRAM_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,7 +112,7 @@ class Slice:
         out, last = [], words
         for k in range(2, order + 1):
             last = gram_hashes(self.before(last, self.vocabulary[0] + np.uint64(k - 2)), words)
-            out.append(last)
+            out.append(last & GRAM_BITS)
         return out
 
 
