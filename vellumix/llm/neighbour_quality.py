@@ -148,31 +148,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
 def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = KEEP) -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), in place of columns of that name."""
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
-    return judged(df, model, text, threshold).select(*[F.col(f"{ROW}.`{c}`") for c in kept], "score", "predicted")
+    kept = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns if c not in ("score", "predicted")]
+    return judged(df, model, text, threshold).select(*kept, "score", "predicted")
 
 
 def accepted(df: DataFrame, model: Model, text: str = "text", threshold: float = KEEP) -> DataFrame:
     """The rows of ``df`` that are predicted good, as they are, whatever their columns are called."""
-    return judged(df, model, text, threshold).where("predicted = 1").select(f"{ROW}.*")
-
-
-ROW = "row"
+    return judged(df, model, text, threshold).where("predicted = 1").select(*_common.with_text(df, text, F.lit(False)))
 
 
 def judged(df: DataFrame, model: Model, text: str, threshold: float) -> DataFrame:
-    """(row, score, predicted): the rows as structs, so that none of their columns clashes with the verdict's."""
+    """(row, text, score, predicted): the rows' other columns as structs, so that none of them clashes with the verdict's."""
     _common.ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), _common.text_bytes(f"`{text}`").alias("data"))
-    schema = StructType([source.schema[ROW], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    source = df.select(_common.without_text(df, text), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = StructType([*source.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         terms = TermPairs()
-        for batch in _common.slices(batches, "data"):
+        for batch in _common.slices(batches, "text"):
             for part in (batch.slice(at, BLOCK) for at in range(0, batch.num_rows, BLOCK)):
-                score = shared.value.scores(counts(part.column("data").to_pylist(), terms))
-                yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+                score = shared.value.scores(counts(texts, terms))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
