@@ -148,6 +148,13 @@ def test_quality_rounds(spark):
     assert {r.doc_id: r.translated for r in translate.improved(df, retry, edit).collect()} == {1: "译文很好。", 2: "好的。", 3: "译文"}
 
 
+def test_retries_keep_formulas(spark):
+    source = "Let S = {1, 2} be a set of numbers and more words in here"
+    df = spark.createDataFrame([(1, source, "one two three four five six seven eight nine")], "doc_id long, source string, translated string")
+    said = lambda x: F.concat(F.lit("译文 "), F.regexp_extract(x, r"\[\[MATH_\d+\]\](?=[^\n]*$)", 0))
+    assert translate.improved(df, said, said).first().translated == "译文 S = {1, 2}"
+
+
 def test_job_state(spark):
     rows = [("a", 1, "queued", "queued", None, False), ("a", 2, "running", "input", None, False), ("a", 4, "succeeded", None, None, True), ("a", 3, "failed", "marker", "why", True), ("b", 1, "queued", "queued", None, False)]
     got = {r.job_id: tuple(r)[1:] for r in jobs.latest(spark.createDataFrame(rows, "job_id string, seq long, status string, stage string, error string, sets_error boolean")).collect()}
@@ -361,7 +368,7 @@ def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch):
         shared.shared_dir(Session())
 
 
-def test_commands(spark, tmp_path, capsys):
+def test_commands(spark, tmp_path, capsys, monkeypatch):
     from vellumix.__main__ import main
 
     none = ["--env", str(tmp_path / "none"), "--fake"]
@@ -373,7 +380,9 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["translate-md", "--in", "x", "--out", "y", "--env", str(tmp_path / "none")], spark) == 2
     (tmp_path / "in" / "x.pdf").write_bytes(b"%PDF-")
     (tmp_path / "env").write_text("VELLUMIX_CONVERTER_COMMAND=/no/such/command\n")
+    monkeypatch.setenv("VELLUMIX_JOBS_DIR", str(tmp_path / "jobs"))
     assert main(["run", "--in", str(tmp_path / "in"), "--out", str(tmp_path / "o"), "--env", str(tmp_path / "env"), "--fake"], spark) == 4
+    assert [p.read_bytes() for p in (tmp_path / "jobs").glob("*/source/x.pdf")] == [b"%PDF-"]
     script = tmp_path / "convert"
     script.write_text(f"#!{sys.executable}\nimport pathlib, sys\nout = pathlib.Path(sys.argv[3])\nout.mkdir(parents=True)\n(out / 'x.md').write_text('# T')\n")
     script.chmod(0o755)

@@ -9,9 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from vellumix import settings, shared
+from vellumix import settings
 from vellumix.errors import ConverterError, PipelineError, TranslateError, exit_code
-from vellumix.functions.dialect import SPARK
 from vellumix.operators import jobs, markdown, translate
 from vellumix.plans import pipeline
 from vellumix.sources import files, services
@@ -34,21 +33,6 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def translate_markdown(spark: SparkSession, source: str, out: str, translator, **options) -> int:
-    """Every Markdown file under ``source`` to a file of its name with ``.zh.md`` under ``out``; 5 if a translation failed."""
-    docs = files.read_markdown(spark, source)
-    # The path below the folder, so that files of one name don't meet.
-    whole = F.regexp_replace("path", "^file:/+", "/")
-    root = source.removeprefix("file:").rstrip("/") + "/"
-    below = F.when(F.contains(whole, F.lit(root)), F.substring_index(whole, root, -1)).otherwise(F.element_at(F.split("path", "/"), -1))
-    named = docs.select(below.alias("below"), "text").select(F.expr(files.output_name(SPARK, "below")).alias("doc_id"), "text")
-    made, _ = shared.materialize(markdown.translated(named, translator, **options), "translated")
-    files.export(made.where("error IS NULL").select(F.col("doc_id").alias("name"), "text"), out)
-    if not (failed := made.where("error IS NOT NULL")).isEmpty():
-        raise TranslateError(failed.select("error").first().error)
-    return 0
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     try:
@@ -57,7 +41,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         translator = markdown.fake if args.fake else translate.service(services.chat(own), own.retry_attempts, errors=True)
         options = {"most": own.chunk_chars, "mode": own.symbol_fix_mode} | {"cache": None if args.fake else translate.Cache(own.cache_dir, own.llm_model, translate.fingerprint(services.PROMPT))}
         if args.command == "translate-md":
-            return translate_markdown(spark, args.source, args.out, translator, **options)
+            failed = pipeline.translated_markdown(spark, args.source, args.out, translator, **options).where("error IS NOT NULL")
+            if not failed.isEmpty():
+                raise TranslateError(failed.first().error)
+            return 0
+        options["copies"] = own.jobs_dir
         convert = services.command_converter(own.converter_command, own.force_ocr)
         texts, log_path = f"{args.out.rstrip('/')}/.texts", f"{args.out.rstrip('/')}/.log"
         if args.command == "serve":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumix import shared
@@ -28,16 +28,19 @@ def _log(*events: DataFrame) -> DataFrame:
     return log
 
 
-def translated_files(inputs: DataFrame, convert: Callable[[bytes], str], translator: translate.Translator, out: str, most: int = markdown.CHUNK_CHARS, mode: str = "conservative", cache: translate.Cache | None = None) -> DataFrame:
+def translated_files(inputs: DataFrame, convert: Callable[[bytes], str], translator: translate.Translator, out: str, most: int = markdown.CHUNK_CHARS, mode: str = "conservative", cache: translate.Cache | None = None, copies: str | None = None) -> DataFrame:
     """Convert and translate files (path, content), write (name, text) for each under ``out``; returns the events of all jobs.
 
     Every file is a job of its own, under a new id unless there is a column ``job_id``. A file that fails
     to convert, or a text of which the translator fails (``translate.service`` with ``errors``), ends its
-    own job only. With a ``cache``, answers are kept there and not asked for again.
+    own job only. With a ``cache``, answers are kept there and not asked for again; with ``copies``, files
+    are copied to their jobs' folders there.
     """
     inputs = inputs if "job_id" in inputs.columns else jobs.with_ids(inputs)
     # Written at once: ids are new every time they are computed.
     named, _ = shared.materialize(inputs.select("job_id", "path", "content"), "inputs")
+    if copies:
+        files.copy_inputs(named, copies)
     texts = files.convert(named, convert, ["job_id"])
     done, _ = shared.materialize(texts.withColumn("name", F.concat_ws("/", "job_id", F.concat(F.expr(files.stem(SPARK, "path")), F.lit(".zh.md")))), "converted")
     good, unread = done.where("error IS NULL"), done.where("error IS NOT NULL")
@@ -64,6 +67,18 @@ def translated_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]],
     return _log(log, _event(bad, 1, "running", "downloading"), _event(bad, 2, "failed", "downloading", F.col("error")))
 
 
+def translated_markdown(spark: SparkSession, source: str, out: str, translator: translate.Translator, most: int = markdown.CHUNK_CHARS, mode: str = "conservative", cache: translate.Cache | None = None) -> DataFrame:
+    """Every Markdown file under ``source`` (or that file) to one of its name with ``.zh.md`` under ``out``; (name, error), null where it's done."""
+    docs = files.read_markdown(spark, source)
+    # The path below the folder, so that files of one name don't meet.
+    whole, root = F.regexp_replace("path", "^file:/+", "/"), source.removeprefix("file:").rstrip("/") + "/"
+    below = F.when(F.contains(whole, F.lit(root)), F.substring_index(whole, root, -1)).otherwise(F.element_at(F.split("path", "/"), -1))
+    named = docs.select(below.alias("below"), "text").select(F.expr(files.output_name(SPARK, "below")).alias("doc_id"), "text")
+    made, _ = shared.materialize(markdown.translated(named, translator, most, mode, cache).withColumnRenamed("doc_id", "name"), "translated")
+    files.export(made.where("error IS NULL").select("name", "text"), out)
+    return made.select("name", "error")
+
+
 def submitted(inputs: DataFrame) -> DataFrame:
     """The events of new jobs (with ``job_id``): queued."""
     return _event(inputs, 0, "queued", "queued")

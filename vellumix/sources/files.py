@@ -185,8 +185,14 @@ def _filesystem(folder: str):
     return fs.LocalFileSystem(), folder
 
 
+def copy_inputs(inputs: DataFrame, folder: str) -> DataFrame:
+    """A copy of every file (job_id, path, content) in its job's folder, under ``source``; returns (name, size)."""
+    name = F.concat("job_id", F.lit("/source/"), F.element_at(F.split("path", r"[/\\\\]"), -1))
+    return export(inputs.select(name.alias("name"), F.col("content").alias("text")), folder)
+
+
 def export(docs: DataFrame, folder: str) -> DataFrame:
-    """A file for each (name, text), where folders in ``name`` are made; returns (name, size).
+    """A file for each (name, text or bytes), where folders in ``name`` are made; returns (name, size).
 
     Executors write them to ``folder``, a path or URI that all of them reach, each file beside its place
     and then moved there: a task that runs again only replaces what it has written.
@@ -200,7 +206,7 @@ def export(docs: DataFrame, folder: str) -> DataFrame:
                 parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".", "..")]
                 place = "/".join([root.rstrip("/"), *parts])
                 system.create_dir(place.rpartition("/")[0], recursive=True)
-                data, beside = (text or "").encode(), f"{place}.{uuid.uuid4().hex}.part"
+                data, beside = text.encode() if isinstance(text, str) else bytes(text or b""), f"{place}.{uuid.uuid4().hex}.part"
                 with system.open_output_stream(beside) as out:
                     out.write(data)
                 system.move(beside, place)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import shutil
 import subprocess
@@ -51,6 +52,21 @@ def resolve_command(command: str, folders: Iterable[str] = ()) -> str:
     return next((found for place in dict.fromkeys(places) if (found := shutil.which(place))), command)
 
 
+def run_shown(args: list[str], keep: int = 8000) -> tuple[int, str]:
+    """Run a program and show what it says as it says it; its exit code and the last ``keep`` characters."""
+    try:
+        own = subprocess.Popen(args, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, bufsize=0)  # noqa: S603
+    except OSError as e:
+        raise ConverterError(f"{args[0]}: {e}") from e
+    said, decoder = "", codecs.getincrementaldecoder("utf-8")("replace")
+    while data := own.stdout.read(4096):  # whatever there is
+        text = decoder.decode(data)
+        sys.stdout.write(text)
+        sys.stdout.flush()
+        said = (said + text)[-keep:]
+    return own.wait(), said
+
+
 def command_converter(command: str, force_ocr: bool = False) -> Callable[[bytes], str]:
     """A converter that runs ``command`` on each PDF, in a folder of its own that goes afterwards."""
 
@@ -59,12 +75,9 @@ def command_converter(command: str, force_ocr: bool = False) -> Callable[[bytes]
             source, out = Path(folder, "source.pdf"), Path(folder, "out")
             source.write_bytes(content)
             args = [resolve_command(command), str(source), "--output_dir", str(out), "--output_format", "markdown", *["--force_ocr"] * force_ocr]
-            try:
-                done = subprocess.run(args, capture_output=True, text=True, check=False)  # noqa: S603
-            except OSError as e:
-                raise ConverterError(f"{command}: {e}") from e
-            if done.returncode:
-                raise ConverterError((done.stdout + done.stderr)[-8000:])
+            code, tail = run_shown(args)
+            if code:
+                raise ConverterError(tail)
             if not (found := sorted(out.rglob("*.md"))):
                 raise ConverterError("the converter wrote no Markdown")
             return found[0].read_text(encoding="utf-8")
