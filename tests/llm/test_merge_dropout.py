@@ -1,4 +1,5 @@
 import functools
+import zlib
 
 import numpy as np
 import pytest
@@ -104,3 +105,16 @@ def test_operator(spark, tmp_path):
     assert m.encode(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         m.encode(df, dropout=1.5)
+
+
+def test_query_equals_the_agenda_of_every_word(spark, tmp_path):
+    merger, _ = tools()
+    texts = ["the international standardization of words and the words of standardization", "a  b\n c", "ü 漢 😀 ▁", "x" * 100, "the same\nthe same", "", None, "the same\nthe same"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in m.op7_merge_dropout(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(t or "" for t in texts):
+        words = merger.words(text)
+        keys = m.keys_of(text.encode(), len(words), m.SEED)
+        ids = [x for w, k in zip(words, keys, strict=True) for x in merger.agenda(w, int(k), m.DROPOUT)]
+        assert (got[i].n_tokens, got[i].n_plain, got[i].lossless) == (len(ids), len(merger.encode(text)), True)
+        assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and merger.decode(ids) == text

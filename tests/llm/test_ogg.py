@@ -1,4 +1,6 @@
 import hashlib
+import random
+import struct
 import zlib
 
 import pytest
@@ -34,9 +36,9 @@ def test_round_trip_of_logical_streams(sizes, segments):
         assert all(p.granule in (ogg.NO_GRANULE, at) for p, (_, at) in zip(mine, own, strict=True))
 
 
-@pytest.mark.parametrize("n", [64, 1024, 1088, 70_016])
+@pytest.mark.parametrize("n", [64, 4096, 4160, 8192, 70_016])
 def test_samples(n):
-    payload = bytes(i * 7 % 256 for i in range(n))
+    payload = random.Random(n).randbytes(n)  # nothing that looks alike in another order
     back, feature = ogg.load_samples(ogg.store_samples(payload))
     assert back == payload
     assert f"seconds={n / 8000:.6f}" in feature and feature.startswith("streams=2;")
@@ -50,6 +52,14 @@ def test_damage_is_seen():
         ogg.load_samples(bytes(media))
 
 
+def test_a_wrong_order_of_times_is_seen():
+    head = [(ogg.pcm_header(8000, 1, 100), 0), (b"c", 0)]
+    gaps = [(0x0A, [*head, (b"a" * 100, 100), (b"c" * 100, 300)]), (0x0B, [*head, (b"b" * 100, 200)])]
+    assert ogg.load_samples(ogg.mux(gaps, 255, alone=True))[0] == b"a" * 100 + b"b" * 100 + b"c" * 100
+    with pytest.raises(ValueError):  # counted back over a gap
+        ogg.load_samples(ogg.mux(gaps, 255))
+
+
 def test_times_are_counted_back_from_the_page():
     head = (ogg.pcm_header(8000, 1, 100), 0)
     media = ogg.mux([(1, [head, (b"c", 0), (b"a" * 100, 100), (b"b" * 50, 150), (b"d" * 10, 160)])], 255)
@@ -75,3 +85,52 @@ def test_query(spark, tmp_path):
     assert (rows[1].n_bytes, rows[1].payload_bytes, rows[3].n_bytes, rows[3].payload_bytes) == (0, 64, 80, 128)
     assert rows[3].payload_sha256 == hashlib.sha256("é".encode() * 40 + bytes(48)).hexdigest()
     assert rows[1].tail_crc32 == zlib.crc32(bytes(64))
+
+
+def slow_pages(media):
+    """(serial, granule, flags, lacing values, body) of each page, by the format's description alone."""
+    at, out = 0, []
+    while at < len(media):
+        magic, version, flags, granule, serial, number, crc, n = struct.unpack_from("<4sBBqIIIB", media, at)
+        assert magic == b"OggS" and version == 0
+        lacing = list(media[at + 27 : at + 27 + n])
+        end = at + 27 + n + sum(lacing)
+        assert slow_checksum(media[at : at + 22] + bytes(4) + media[at + 26 : end]) == crc
+        assert number == sum(s == serial for s, *_ in out)
+        out.append((serial, granule, flags, lacing, media[at + 27 + n : end]))
+        at = end
+    return out
+
+
+def slow_packets(pages):
+    """The packets of each logical stream: a lacing value under 255 ends one."""
+    out, open_ = {}, {}
+    for serial, _, _, lacing, body in pages:
+        at = 0
+        for size in lacing:
+            open_[serial] = open_.get(serial, b"") + body[at : at + size]
+            at += size
+            if size < 255:
+                out.setdefault(serial, []).append(open_.pop(serial))
+    assert not open_
+    return out
+
+
+def test_query_against_a_reader_of_its_own(spark, tmp_path):
+    texts = [None, "", "a", "x" * 64, "é" * 700, "word and word " * 400, "".join(chr(32 + i * i % 90) for i in range(30_000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in ogg.op1_ogg(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        media = ogg.store_samples(payload)
+        pages = slow_pages(media)
+        packets = slow_packets(pages)
+        each = [p[2:] for _, p in sorted(packets.items())]  # after the header and the comment
+        back = b"".join(each[k % 2][k // 2] for k in range(sum(map(len, each))))
+        assert back == payload and all(len(p) == ogg.FRAMES for own in each for p in own[:-1])
+        assert any(flags & ogg.CONTINUED for _, _, flags, _, _ in pages) == (len(payload) >= ogg.SEGMENTS * 255)
+        assert max(g for _, g, *_ in pages) == len(payload)  # a granule is a sample
+        feature = f"streams={len(packets)};pages={len(pages)};packets={sum(map(len, packets.values()))};seconds={len(payload) / 8000:.6f};mean={sum(payload) / len(payload):.4f}"
+        want = (i, len(data), len(payload), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        assert tuple(rows[i]) == want

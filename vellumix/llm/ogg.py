@@ -22,6 +22,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,8 @@ def page_bytes(flags: int, granule: int, serial: int, sequence: int, lacing: byt
     return head + struct.pack("<I", checksum(head + b"\0\0\0\0" + rest)) + rest
 
 
-def _stream_pages(serial: int, packets: list[tuple[bytes, int]], segments: int) -> Iterator[tuple[int, bytes]]:
-    """(granule of the last packet so far, page) for one logical stream; its first packet has a page alone."""
+def _stream_pages(serial: int, packets: list[tuple[bytes, int]], segments: int, alone: bool) -> Iterator[tuple[int, bytes]]:
+    """(granule of the last packet so far, page) for one logical stream; its first packet (all, if ``alone``) ends a page."""
     sequence, lacing, body = 0, bytearray(), bytearray()
     granule, flags, reached = NO_GRANULE, FIRST, 0
     for i, (data, at) in enumerate(packets):
@@ -83,19 +84,20 @@ def _stream_pages(serial: int, packets: list[tuple[bytes, int]], segments: int)
             body += data[len(data) - left : len(data) - left + value]
             left -= value
         granule = reached = at
-        if i == 0 and len(packets) > 1:
+        if (i == 0 or alone) and i < len(packets) - 1:
             yield reached, page_bytes(flags, granule, serial, sequence, bytes(lacing), bytes(body))
-            sequence, flags, granule, lacing, body = 1, 0, NO_GRANULE, bytearray(), bytearray()
+            sequence, flags, granule, lacing, body = sequence + 1, 0, NO_GRANULE, bytearray(), bytearray()
     yield reached, page_bytes(flags | LAST, granule, serial, sequence, bytes(lacing), bytes(body))
 
 
-def mux(streams: list[tuple[int, list[tuple[bytes, int]]]], segments: int = 64) -> bytes:
+def mux(streams: list[tuple[int, list[tuple[bytes, int]]]], segments: int = 64, alone: bool = False) -> bytes:
     """A physical stream of logical ones, each (serial, [(packet, granule at its end)]).
 
     The first pages come first, then all pages in the order of their granules.
-    ``segments``: lacing values on a page, 255 at most.
+    ``segments``: lacing values on a page, 255 at most. ``alone``: every packet ends a page, so that
+    its granule is written; needed where a stream has gaps, over which times can't be counted back.
     """
-    each = [_stream_pages(serial, packets, segments) for serial, packets in streams if packets]
+    each = [_stream_pages(serial, packets, segments, alone) for serial, packets in streams if packets]
     first = [next(pages)[1] for pages in each]
     rest = heapq.merge(*([(at, k, page) for at, page in pages] for k, pages in enumerate(each)), key=lambda x: x[:2])
     return b"".join(first) + b"".join(page for _, _, page in rest)
@@ -278,18 +280,22 @@ def read_packets(df: DataFrame, id_column: str, payload: str) -> DataFrame:
     return _apply(df, id_column, payload, _packet_rows, PACKET_SCHEMA)
 
 
-RATE, FRAMES = 8000, 1024
+RATE, FRAMES, SEGMENTS = 8000, 4096, 12
 SERIALS = (0x0A, 0x0B)
 
 
 def store_samples(payload: bytes) -> bytes:
-    """``payload`` as unsigned 8-bit mono samples, its packets dealt in turn to two logical streams."""
+    """``payload`` as unsigned 8-bit mono samples, its packets dealt in turn to two logical streams.
+
+    So each stream has a gap after every packet, and every packet's granule is written. Packets of
+    more than ``SEGMENTS`` lacing values go on on the next page.
+    """
     comment = struct.pack("<I", 8) + b"vellumix" + struct.pack("<I", 0)
     streams: list[tuple[int, list[tuple[bytes, int]]]] = [(s, [(pcm_header(RATE, 1, FRAMES), 0), (comment, 0)]) for s in SERIALS]
     for i, at in enumerate(range(0, len(payload), FRAMES)):
         part = payload[at : at + FRAMES]
         streams[i % len(SERIALS)][1].append((part, at + len(part)))
-    return mux(streams, segments=32)
+    return mux(streams, SEGMENTS, alone=True)
 
 
 def load_samples(media: bytes) -> tuple[bytes, str]:
@@ -300,7 +306,8 @@ def load_samples(media: bytes) -> tuple[bytes, str]:
     streams = demultiplex(media)
     timed = sorted((e, p.data) for s in streams for p, e in zip(s.packets[s.headers :], s.ends[s.headers :], strict=True) if e is not None)
     payload = b"".join(data for _, data in timed)
-    if any(s.bad_pages for s in streams) or not all(p.complete for s in streams for p in s.packets) or [e for e, _ in timed[-1:]] != [len(payload)]:
+    ends = np.cumsum([len(data) for _, data in timed]).tolist()
+    if any(s.bad_pages for s in streams) or not all(p.complete for s in streams for p in s.packets) or [e for e, _ in timed] != ends:
         raise ValueError("the stored stream is damaged")
     end = timed[-1][0]
     mean = sum(payload) / len(payload)
