@@ -402,6 +402,11 @@ def test_manifests(spark, tmp_path):
     jobs.write_manifests(own.where("job_id = 'a'").withColumn("error", F.lit(None).cast("string")), str(tmp_path / "jobs"))
     got = sorted((r.job_id, r.status, r.error, r.source_url) for r in jobs.read_manifests(spark, str(tmp_path / "jobs")).collect())
     assert got == [("a", "failed", None, None), ("b", "succeeded", None, None)]
+    asked, kept = spark.createDataFrame([("a",), ("z",)], "job_id string"), jobs.read_manifests(spark, str(tmp_path / "jobs"))
+    assert {r.job_id: r.status for r in jobs.manifests_of(asked, kept).collect()} == {"a": "failed", "z": None}
+    assert jobs.manifests_of(asked.where("job_id = 'a'"), kept, required=True).count() == 1
+    with pytest.raises(errors.JobError):
+        jobs.manifests_of(asked, kept, required=True)
 
 
 def test_a_converter_command(tmp_path):
@@ -434,5 +439,7 @@ def test_a_chat_service(monkeypatch):
     monkeypatch.setattr(services.urllib.request, "urlopen", answer)
     own = settings.Settings(llm_api_key="k", llm_base_url="http://m/v1/", llm_model="m")
     assert services.chat(own)("text") == "译文" and asked == [("http://m/v1/chat/completions", "text")]
-    with pytest.raises(errors.ConfigError):
-        services.chat(settings.Settings())
+    assert services.translator(settings.Settings(), fake=True) is markdown.fake and services.translator(own)
+    for build in (services.chat, services.translator):
+        with pytest.raises(errors.ConfigError):
+            build(settings.Settings())

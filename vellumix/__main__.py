@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellumix import settings
 from vellumix.errors import ConverterError, PipelineError, TranslateError, exit_code
-from vellumix.operators import jobs, markdown, translate
+from vellumix.operators import jobs, translate
 from vellumix.plans import pipeline
 from vellumix.sources import files, services
 
@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         own = settings.load(Path(args.env).read_text().splitlines() if Path(args.env).exists() else [], online=not args.fake)
         spark = spark or SparkSession.builder.getOrCreate()
-        translator = markdown.fake if args.fake else translate.service(services.chat(own), own.retry_attempts, errors=True)
+        translator = services.translator(own, args.fake)
         options = {"most": own.chunk_chars, "mode": own.symbol_fix_mode} | {"cache": None if args.fake else translate.Cache(own.cache_dir, own.llm_model, translate.fingerprint(services.PROMPT))}
         if args.command == "translate-md":
             failed = pipeline.translated_markdown(spark, args.source, args.out, translator, **options).where("error IS NOT NULL")

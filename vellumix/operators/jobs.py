@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumix.errors import EXIT_CODES
+from vellumix.errors import EXIT_CODES, JobError
 from vellumix.sources import files
 
 STATUSES = ("queued", "running", "succeeded", "failed")
@@ -20,6 +20,14 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
 
 
+def manifests_of(asked: DataFrame, manifests: DataFrame, required: bool = False) -> DataFrame:
+    """The manifests of the jobs asked for (job_id): nulls for a job without one, or a JobError if they are ``required``."""
+    own = asked.select("job_id").distinct().join(manifests, "job_id", "left_anti").first() if required else None
+    if own is not None:
+        raise JobError(f"no manifest of job {own.job_id}")
+    return asked.select("job_id").join(manifests, "job_id", "left")
+
+
 def write_manifests(jobs: DataFrame, path: str) -> None:
     """One JSON object for each job, in a folder of its own; an earlier one is replaced."""
     columns = [c for c in jobs.columns if c != "job_id"]

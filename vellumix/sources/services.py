@@ -46,6 +46,13 @@ def chat(settings: Settings, timeout_s: float = 60.0, prompt: str = PROMPT) -> C
     return call
 
 
+def translator(settings: Settings, fake: bool = False):
+    """The translator that the settings name; a ConfigError where they name none. ``fake`` only marks texts."""
+    from vellumix.operators import markdown, translate
+
+    return markdown.fake if fake else translate.service(chat(settings), settings.retry_attempts, errors=True)
+
+
 def resolve_command(command: str, folders: Iterable[str] = ()) -> str:
     """The program behind a name: on the search path, as a path, beside the interpreter, in ``folders``; else the name itself."""
     places = [command, *(str(Path(folder, command)) for folder in (Path(sys.executable).parent, *folders))]
