@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumix.shared import discard, materialize, scratch, ship, spread
+from vellumix.shared import apart, discard, materialize, scratch, ship, spread
 
 __all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes", "with_text", "without_text"]
 
@@ -29,15 +31,6 @@ def only(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
 
 
-def apart(df: DataFrame) -> DataFrame:
-    """The same rows, dealt out anew.
-
-    For an aggregate that is joined back by its key: what it is joined with then has a shuffle of
-    the join's own, of which Spark splits the partition of a hot key.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def text_bytes(column: str = "text") -> F.Column:
     """The UTF-8 bytes of a text column; null gives no bytes."""
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
@@ -66,7 +59,8 @@ KEPT: dict = {}
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` has about ``most`` bytes in each (one row at least).
 
-    What another operator has kept in this worker is let go, unless ``keep``.
+    What another operator has kept in this worker is let go, unless ``keep``. At a task's end, what
+    allocators hold unused goes back to the system: workers wait for the next task beside the JVM.
     """
     if not keep:
         KEPT.clear()
@@ -78,3 +72,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20,
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+    release()
+
+
+def release() -> None:
+    """Give unused memory back to the system, where its library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

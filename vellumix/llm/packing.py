@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path:
 
     def run(batches):
         encoder, number = WordIds.of(path), Counter()
-        for batch in _common.slices(batches, "data", 6 << 20, keep=True):
+        for batch in _common.slices(batches, "data", 3 << 20, keep=True):
             rows = []
             [task] = set(batch.column("task").to_pylist())
             ids = encoder.encode([t.decode(errors="replace") for t in batch.column("data").to_pylist()])
