@@ -39,7 +39,7 @@ def cleaned(pages: DataFrame, mode: str = "conservative") -> DataFrame:
     """Pages whose text is normalized, without repeated headers and footers, and with broken formulas joined."""
     repeated = repeated_lines(pages).groupBy("doc_id").agg(F.collect_set(F.when(F.col("side") == "top", F.col("key"))).alias("_top"), F.collect_set(F.when(F.col("side") == "bottom", F.col("key"))).alias("_bottom"))
     empty = F.array().cast("array<string>")
-    out = pages.join(repeated, "doc_id", "left").withColumns({"_top": F.coalesce("_top", empty), "_bottom": F.coalesce("_bottom", empty)})
+    out = pages.join(shared.apart(repeated), "doc_id", "left")  # a document may have any share of all pages.withColumns({"_top": F.coalesce("_top", empty), "_bottom": F.coalesce("_bottom", empty)})
     out = out.withColumn("_text", T.column(T.normalized, "text", mode=mode)).withColumn("_lines", F.expr(T.lines(SPARK, "_text")))
     out = out.withColumn("_lines", F.expr(SPARK.map("_lines", "e", T.strip_end(SPARK, "e"))))
     out = out.withColumn("_lines", F.expr(ordered.without_repeats("_lines", "_top", "_bottom"))).withColumn("_lines", F.expr(ordered.joined_lines("_lines")))
@@ -49,7 +49,7 @@ def cleaned(pages: DataFrame, mode: str = "conservative") -> DataFrame:
 def units(clean: DataFrame) -> DataFrame:
     """(doc_id, page_number, unit_no, type, text) of cleaned pages; front matter of a document's first page left out."""
     first = clean.groupBy("doc_id").agg(F.min("page_number").alias("_first"))
-    own = ordered.with_units(clean.where("text <> ''"), out="_units").join(first, "doc_id")
+    own = ordered.with_units(clean.where("text <> ''"), out="_units").join(shared.apart(first), "doc_id")
     matter = SPARK.map("_units", "u", f"u.type = 'bullet' OR NOT {T.front_matter(SPARK, 'u.text')}")
     begin = F.when(F.col("page_number") == F.col("_first"), F.expr(f"array_position({matter}, true)")).otherwise(F.lit(1))
     kept = F.when(begin == 0, F.slice("_units", 1, 0)).otherwise(F.slice("_units", begin.cast("int"), F.greatest(F.size("_units"), F.lit(1))))
