@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
@@ -168,20 +169,33 @@ def _listed(**fields: K.DataType) -> K.ArrayType:
     return K.ArrayType(_record(**fields))
 
 
-@F.pandas_udf(_listed(text=K.StringType(), translatable=K.BooleanType()))
-def _spans(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(lambda t: [{"text": a, "translatable": bool(b)} for a, b in spans(t)])
+def _lists(rows: list[list[tuple]], **kinds: pa.DataType) -> pa.Array:
+    """Lists of records, column by column."""
+    flat = list(zip(*(record for row in rows for record in row), strict=True)) or [()] * len(kinds)
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    records = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds.values(), strict=True)], names=list(kinds))
+    return pa.ListArray.from_arrays(offsets, records)
 
 
-@F.pandas_udf(_listed(start=K.IntegerType(), end=K.IntegerType(), text=K.StringType(), kind=K.StringType()))
-def _formulas(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(lambda t: [f._asdict() for f in formulas(t)])
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
 
 
-@F.pandas_udf(_record(protected=K.StringType(), fragments=_listed(token=K.StringType(), value=K.StringType())))
-def _behind(texts: pd.Series) -> pd.DataFrame:
-    made = [behind_tokens(t) for t in texts.fillna("")]
-    return pd.DataFrame({"protected": [t for t, _ in made], "fragments": [[{"token": a, "value": b} for a, b in pairs] for _, pairs in made]})
+@F.arrow_udf(_listed(text=K.StringType(), translatable=K.BooleanType()))
+def _spans(texts: pa.Array) -> pa.Array:
+    return _lists([[(t, bool(ok)) for t, ok in spans(x)] for x in _texts(texts)], text=pa.string(), translatable=pa.bool_())
+
+
+@F.arrow_udf(_listed(start=K.IntegerType(), end=K.IntegerType(), text=K.StringType(), kind=K.StringType()))
+def _formulas(texts: pa.Array) -> pa.Array:
+    return _lists([formulas(x) for x in _texts(texts)], start=pa.int32(), end=pa.int32(), text=pa.string(), kind=pa.string())
+
+
+@F.arrow_udf(_record(protected=K.StringType(), fragments=_listed(token=K.StringType(), value=K.StringType())))
+def _behind(texts: pa.Array) -> pa.Array:
+    made = [behind_tokens(x) for x in _texts(texts)]
+    fragments = _lists([pairs for _, pairs in made], token=pa.string(), value=pa.string())
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in made], pa.string()), fragments], names=["protected", "fragments"])
 
 
 def with_spans(df: DataFrame, text: str = "text", mode: str = "conservative") -> DataFrame:
