@@ -120,6 +120,8 @@ def _page_queries(prefix: str, view: str) -> None:
     _add(f"q_{prefix}repeated_lines", _repeated_sql(view))(of(pages.repeated_lines))
     _add(f"q_{prefix}strip_headers", _cleaned_sql(view) + " SELECT doc_id, page_number, text FROM clean")(of(lambda df: pages.cleaned(df).select("doc_id", "page_number", "text")))
     _add(f"q_{prefix}title", f"SELECT doc_id, coalesce(left(arg_min(ls[1], page_number) FILTER (len(ls) > 0), 120), 'Translated Document') AS title FROM {_nonblank(view)} GROUP BY doc_id")(of(pages.titles))
+    _add(f"q_{prefix}units", _units_sql(view) + " SELECT * FROM units")(of(lambda df: pages.units(pages.cleaned(df))))
+    _add(f"q_{prefix}sections", _sections_sql(view) + " SELECT * FROM sections")(of(lambda df: pages.sections(pages.cleaned(df))))
     _add(f"q_{prefix}page_count", f"SELECT doc_id, count(*) AS n_pages FROM {views.sql(view)} GROUP BY doc_id")(of(lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))))
 
 
@@ -127,7 +129,7 @@ def _as_pages(spark, sf_dir):
     return views.frame(spark, sf_dir, "conv_pages")
 
 
-def _cleaned_sql(view: str = "conv_pages") -> str:
+def _cleaned_sql(view: str) -> str:
     rstrip = DUCK.map(T.lines(DUCK, "norm"), "e", DUCK.sub("e", f"[{T.WS}]+$", ""))
     return f"""
 WITH rep AS ({_repeated_sql(view)}),
@@ -138,14 +140,10 @@ w AS (SELECT *, {arrays.without_repeats(DUCK, 'ls', 'top', 'bottom')} AS kept FR
 clean AS (SELECT doc_id, page_number, {T.strip(DUCK, f"array_to_string({arrays.joined_lines(DUCK, 'kept')}, chr(10))")} AS text FROM w)"""
 
 
-for _prefix, _view in PAGE_VIEWS.items():
-    _page_queries(_prefix, _view)
-
-
-def _units_sql() -> str:
+def _units_sql(view: str) -> str:
     matter = DUCK.map("us", "u", f"u.type = 'bullet' OR NOT {T.front_matter(DUCK, 'u.text')}")
     return (
-        _cleaned_sql()
+        _cleaned_sql(view)
         + f""",
 u0 AS (SELECT doc_id, page_number, {arrays.units(DUCK, 'text')} AS us, min(page_number) OVER (PARTITION BY doc_id) AS first FROM clean),
 u1 AS (SELECT doc_id, page_number, CASE WHEN page_number > first THEN us WHEN list_position({matter}, true) IS NULL THEN [] ELSE us[list_position({matter}, true):] END AS us FROM u0 WHERE len(us) > 0),
@@ -153,24 +151,22 @@ units AS (SELECT doc_id, page_number, CAST(i AS INTEGER) AS unit_no, us[i + 1].t
     )
 
 
-@_add("q_units", _units_sql() + " SELECT * FROM units")
-def _units(spark, sf_dir):
-    return pages.units(pages.cleaned(_as_pages(spark, sf_dir)))
-
-
-_SECTIONS = (
-    _units_sql()
-    + f""",
+def _sections_sql(view: str) -> str:
+    return (
+        _units_sql(view)
+        + f""",
 raws AS (SELECT *, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_number, unit_no) AS raw FROM units),
 g AS (SELECT doc_id, raw, max(text) FILTER (type = 'heading') AS heading, list_sort(list(DISTINCT page_number)) AS page_numbers, count(*) FILTER (type <> 'heading') AS n_paragraphs FROM raws GROUP BY doc_id, raw),
 real AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS BIGINT) AS section_index, coalesce(heading, '正文') AS heading, CASE WHEN heading IS NULL THEN 1 ELSE {T.heading_level(DUCK, 'heading')} END AS level, page_numbers, n_paragraphs FROM g WHERE n_paragraphs > 0),
 sections AS (SELECT * FROM real UNION ALL SELECT DISTINCT doc_id, CAST(0 AS BIGINT), '正文', CAST(1 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM clean WHERE doc_id NOT IN (SELECT doc_id FROM real))"""
-)
+    )
+
+
+for _prefix, _view in PAGE_VIEWS.items():
+    _page_queries(_prefix, _view)
 
 
-@_add("q_sections", _SECTIONS + " SELECT * FROM sections")
-def _sections(spark, sf_dir):
-    return pages.sections(pages.cleaned(_as_pages(spark, sf_dir)))
+_SECTIONS = _sections_sql("conv_pages")
 
 
 @_add(
