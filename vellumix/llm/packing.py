@@ -50,7 +50,7 @@ class WordIds:
     Remembers a bounded number of words, from one task of a worker to the next.
     """
 
-    MOST, TOGETHER = 800_000, 20_000
+    MOST, TOGETHER = 2_000_000, 20_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
