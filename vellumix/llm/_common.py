@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumix.shared import apart, discard, materialize, scratch, ship, spread
+from vellumix.shared import apart, discard, fenced, materialize, scratch, ship, spread
 
-__all__ = ["KEPT", "apart", "discard", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes", "with_text", "without_text"]
+__all__ = ["KEPT", "apart", "discard", "fenced", "materialize", "only", "read", "scratch", "ship", "slices", "text_bytes", "with_text", "without_text"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,7 +28,7 @@ def only(df: DataFrame, condition: Column) -> DataFrame:
     Without the column between, the optimizer moves the condition under the projections and
     computes them there again, one inside the other.
     """
-    return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
+    return fenced(df).where(condition)
 
 
 def text_bytes(column: str = "text") -> F.Column:

@@ -152,7 +152,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             "n_failed_lines": (F.size("_lines") - F.size("_good")).cast("long"),
         }
     )
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("kept_words") <= MAX_LOSS * F.col("n_words")))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("kept_words") <= MAX_LOSS * F.col("n_words")))
+    return _common.fenced(out)  # a condition on the measures would compute them again, one inside the other
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
@@ -164,7 +165,7 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
     passes = lambda x: ~(x["punctuation"] | x["navigation"] | x["boilerplate"])
     every = F.transform(F.split(F.col("text").cast("string"), "\n"), counted)
     left = F.transform(F.filter(every, lambda x: (x["n"] == 0) | passes(judged(x))), lambda x: x["line"])
-    out = _common.only(measured(own), F.col("kept")).withColumn("text", F.when(F.col("n_failed_lines") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
+    out = measured(own).where("kept").withColumn("text", F.when(F.col("n_failed_lines") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
     return out.select(*_common.with_text(df, text, F.col("n_failed_lines") > 0))
 
 
